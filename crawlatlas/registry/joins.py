@@ -217,10 +217,10 @@ linked AS (SELECT r.*, CASE WHEN r.redirected AND r.redirect_from_url <> '' AND
 
 
 @query("redirect_parent", f"""WITH RECURSIVE {_REDIRECT},
-following AS (SELECT page_id, parent_idx AS at, min(idx) AS nxt FROM linked WHERE idx > parent_idx GROUP BY 1, 2),
-walk(page_id, at, step) AS (SELECT page_id, idx, 0 FROM browser_request WHERE idx = 0
-  UNION ALL SELECT w.page_id, f.nxt, step + 1 FROM walk w JOIN following f ON f.page_id = w.page_id AND f.at = w.at),
-root AS (SELECT page_id, max_by(at, step) AS root_idx FROM walk GROUP BY 1)
+following AS (SELECT page_id, parent_idx AS pos, min(idx) AS nxt FROM linked WHERE idx > parent_idx GROUP BY 1, 2),
+walk(page_id, pos, step) AS (SELECT page_id, idx, 0 FROM browser_request WHERE idx = 0
+  UNION ALL SELECT w.page_id, f.nxt, step + 1 FROM walk w JOIN following f ON f.page_id = w.page_id AND f.pos = w.pos),
+root AS (SELECT page_id, max_by(pos, step) AS root_idx FROM walk GROUP BY 1)
 SELECT l.page_id, l.idx, l.parent_idx AS redirect_parent_idx, root_idx FROM linked l JOIN root USING (page_id)""")
 def redirect_parent(spark, sf_dir):
     requests = rowwise(spark, sf_dir, "browser_request")

@@ -189,6 +189,28 @@ CONFIG_OBJECT = ("part", [
                  "timestamp '2024-01-01 00:00:00' + to_days(p_size)")),
 ])
 
+_H = "concat('h', user_id % 50, '.example.com')"
+
+SCOPE_CHECK = ("events", [
+    ("id", "event_id"),
+    ("kind", "event_id % 6"),
+    ("uri", f"case event_id % 6 when 0 then concat('http://', {_H}, '/p/', event_id % 200) "
+            f"when 1 then concat('https://sub.', {_H}, '/a b/', event_id % 200, '?q=2&b=1&sid=', event_id % 7, '#top') "
+            f"when 2 then concat('ftp://', {_H}, '/pub') "
+            f"when 3 then concat('http://other', user_id % 4, '.example.org/x//', event_id % 9) "
+            f"when 4 then concat('HTTP://user@', {_H}, ':80/p/./', event_id % 200) "
+            f"else (case when event_id % 12 = 5 then 'http://' else concat('//', {_H}, '/q?z') end) end"),
+    ("seed_uri", f"concat('http://www.', {_H}, '/')"),
+    ("discovery_path", "case event_id % 5 when 0 then '' when 1 then 'L' when 2 then 'LLR' when 3 then 'LLL' else 'RLERLR' end"),
+    ("referrer", "case event_id % 3 when 0 then ' http://ref.example.com/ ' else concat('http://REF', user_id % 3) end"),
+    ("p_schemes", "case when event_id % 7 = 0 then 'HTTPS' else 'https HTTP' end"),
+    ("p_subs", "case when event_id % 3 = 0 then 'no' when event_id % 3 = 1 then 'Yes' else 'true' end"),
+    ("p_alt", "case when event_id % 4 = 3 then concat('http://other', event_id % 2, '.example.org ', 'http://x.org') else '' end"),
+    ("p_hops", "case when event_id % 41 = 0 then null when event_id % 43 = 0 then 'many' else '2' end"),
+    ("p_redirects", "case when event_id % 2 = 0 then 'ok' else 'false' end"),
+    ("p_excluded", "'h3.example.com/p/12 http://h5.example.com/p/../p/105'"),
+])
+
 CRAWLED = ("documents", [
     ("record_id", "concat('d', doc_id)"),
     ("collection", "source"),
@@ -237,6 +259,7 @@ ROWWISE = {
     "schedule": SCHEDULE,
     "crawl_config": CRAWL_CONFIG,
     "config_flat": CONFIG_OBJECT,
+    "scope_check": SCOPE_CHECK,
     "crawled": CRAWLED,
     "robots_fetch": ROBOTS_FETCH,
     "dns_answer": DNS_ANSWER,
@@ -255,6 +278,18 @@ def rowwise_sql(name: str) -> str:
     return f"SELECT {exprs} FROM {base}"
 
 
+def scope_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate URLs with their parameters as a map."""
+    c = rowwise(spark, sf_dir, "scope_check")
+    names = {"scope_allowedSchemes": "p_schemes", "scope_includeSubdomains": "p_subs", "scope_altSeeds": "p_alt",
+             "scope_maxHopsFromSeed": "p_hops", "scope_hopsIncludeRedirects": "p_redirects",
+             "scope_excludedUris": "p_excluded"}
+    entries = F.array_compact(F.array(*[
+        F.when(F.col(v).isNotNull(), F.struct(F.lit(k).alias("key"), F.col(v).alias("value"))) for k, v in names.items()]))
+    return c.select("id", "kind", "uri", "seed_uri", "discovery_path", "referrer",
+                    F.map_from_entries(entries).alias("annotation"))
+
+
 def crawl_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per execution: states vary by its newest event, counters are sums."""
     e = load(spark, sf_dir, "events")
