@@ -33,7 +33,7 @@ def robots_snapshot(spark, sf_dir):
     return snapshots(spark, sf_dir)
 
 
-_REQUESTS = """rq AS (SELECT concat('r', lpad(cast(l_orderkey * 10 + l_linenumber as varchar), 12, '0'), '-', l_partkey, '-', l_suppkey, '-', cast(l_quantity as int), '-', cast(l_extendedprice as bigint)) AS request_id,
+_REQUESTS = """rq AS (SELECT concat('r', lpad(cast(l_orderkey * 10 + l_linenumber as varchar), 12, '0'), '-', l_partkey, '-', l_suppkey, '-', cast(l_quantity as int), '-', cast(floor(l_extendedprice) as bigint)) AS request_id,
   CASE WHEN l_orderkey % 5 = 0 THEN 'unscoped' ELSE concat('coll', l_orderkey % 3) END AS collection,
   CASE WHEN l_orderkey % 4 = 0 THEN 'https' ELSE 'http' END AS scheme, concat('h', l_partkey % 60, '.example.com') AS host,
   CASE WHEN l_orderkey % 4 = 0 THEN 443 ELSE 80 END AS port, epoch_ms(l_shipdate) + l_linenumber * 1000 AS at_ms,
@@ -46,7 +46,7 @@ def robots_requests(spark, sf_dir):
     secure = order % 4 == 0
     return load(spark, sf_dir, "lineitem").where("l_linenumber < 8").select(
         F.concat_ws("-", F.concat(F.lit("r"), F.lpad((order * 10 + F.col("l_linenumber")).cast("string"), 12, "0")), "l_partkey",
-                    "l_suppkey", F.col("l_quantity").cast("int"), F.round("l_extendedprice").cast("bigint")).alias("request_id"),
+                    "l_suppkey", F.col("l_quantity").cast("int"), F.floor("l_extendedprice")).alias("request_id"),
         F.when(order % 5 == 0, "").otherwise(F.concat(F.lit("coll"), order % 3)).alias("collection"),
         F.when(secure, "https").otherwise("http").alias("scheme"),
         F.concat(F.lit("h"), F.col("l_partkey") % 60, F.lit(".example.com")).alias("host"),

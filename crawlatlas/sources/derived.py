@@ -266,10 +266,13 @@ ROWWISE = {
 }
 
 
+def derive(base: DataFrame, name: str) -> DataFrame:
+    """A row-wise table from its base, which may be a stream."""
+    return base.selectExpr(*[f"{e[0] if isinstance(e, tuple) else e} AS {c}" for c, e in ROWWISE[name][1]])
+
+
 def rowwise(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    base, columns = ROWWISE[name]
-    exprs = [f"{e[0] if isinstance(e, tuple) else e} AS {c}" for c, e in columns]
-    return load(spark, sf_dir, base).selectExpr(*exprs)
+    return derive(load(spark, sf_dir, ROWWISE[name][0]), name)
 
 
 def rowwise_sql(name: str) -> str:
