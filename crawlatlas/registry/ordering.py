@@ -18,10 +18,10 @@ def latest_per_job(spark, sf_dir):
     return A.latest_per_job(job_execution(spark, sf_dir)).select("job_id", "id", "state")
 
 
-def recent_rows(spark, sf_dir):
+def recent_rows(spark, sf_dir, events=None):
     """Ingested logs: page logs and crawl logs, some rewritten, some without a warc id."""
     e = F.col("event_id")
-    return load(spark, sf_dir, "events").select(
+    return (load(spark, sf_dir, "events") if events is None else events).select(
         F.when(e % 4 == 0, "page").otherwise("crawl").alias("log_type"),
         F.when(e % 13 == 0, "").otherwise(F.concat(F.lit("w"), e % 3000)).alias("warc_id"),
         F.concat(F.lit("ce"), "user_id", F.lit("_"), e % 10).alias("execution_id"),
