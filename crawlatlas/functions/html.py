@@ -54,6 +54,10 @@ def _resolve(base: pd.Series, href: pd.Series) -> pd.Series:
                      dtype="object")
 
 
+# Spark would copy a deterministic call into every filter above it.
+_resolve = _resolve.asNondeterministic()
+
+
 def raw_links(page: Column) -> Column:
     """Values of every ``a[href]`` and ``area[href]``, comments and scripts left out."""
     live = F.regexp_replace(page, INERT, " ")
@@ -67,10 +71,12 @@ def _unquoted(value: Column) -> Column:
 
 def extract_outlinks(pages: DataFrame) -> DataFrame:
     """Distinct absolute outlinks of each page (``page_id, url, html``), the page itself left out."""
-    base = _unquoted(F.regexp_extract("html", BASE, 1))
-    found = pages.select(
-        "page_id", F.col("url").alias("page_url"), base.alias("_base"),
-        F.explode(F.array_distinct(raw_links(F.col("html")))).alias("_href"))
+    # The page itself ends here: only links and the base address go on. The outer form
+    # of explode keeps Spark from testing the size of the list by finding the links twice.
+    cut = pages.select(
+        "page_id", F.col("url").alias("page_url"), _unquoted(F.regexp_extract("html", BASE, 1)).alias("_base"),
+        F.array_distinct(raw_links(F.col("html"))).alias("_links"))
+    found = cut.select("page_id", "page_url", "_base", F.explode_outer("_links").alias("_href"))
     href = F.trim(F.col("_href"))
     found = found.where((href != "") & (href != "#") & ~F.lower(href).rlike("^(tel|mailto):"))
     site = F.when(F.col("_base") == "", F.regexp_extract("page_url", _SIMPLE_SITE, 1)).otherwise("")

@@ -135,7 +135,8 @@ def _parser(fully: bool, keep_fragment: bool):
         frame = pd.DataFrame(rows, columns=PARSED_URI_FIELDS)
         return frame.astype({"port": "Int32"})
 
-    return parse
+    # Spark would copy a deterministic call into every filter above it.
+    return parse.asNondeterministic()
 
 
 _PARSERS = {(a, b): _parser(a, b) for a in (False, True) for b in (False, True)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlatlas.functions.robots import agent_allowed
 from crawlatlas.operators import ordered
+from crawlatlas.operators.skew import look_up
 
 KEY = ["collection", "scheme", "host", "port"]
 CUSTOM_IF_MISSING = ["CUSTOM_IF_MISSING", "CUSTOM_IF_MISSING_CLASSIC"]
@@ -21,34 +22,42 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 
 def robots_snapshot(fetches: DataFrame, fresh_ms: int, retry_ms: int) -> DataFrame:
-    """Cache row after each fetch of a robots file.
+    """Cache row after each fetch of a robots file; ``rules_seq`` is the fetch that gave its rules.
 
     2xx gives rules and 3xx/4xx gives "no rules", both fresh for a while. Anything else
     keeps the last known rules, not fresh, and suppresses the next try for a while.
     """
     usable = F.col("http_status").between(200, 499)
     ok = F.col("http_status").between(200, 299)
-    known = ordered.last_known(
-        keyed(fetches).withColumn("_known", F.when(usable, F.struct(
-            F.when(ok, F.col("body")).alias("rules"), ok.alias("has_rules")))),
-        KEY, ["fetched_at", "seq"], "_known", "_last")
-    has = F.coalesce(F.col("_last.has_rules"), F.lit(False))
+    narrow = keyed(fetches).select(*KEY, "fetched_at", "seq", "http_status", F.when(
+        usable, F.struct(F.when(ok, F.col("seq")).alias("rules_seq"), ok.alias("has_rules"))).alias("_known"))
+    known = ordered.last_known(narrow, KEY, ["fetched_at", "seq"], "_known", "_last")
     return known.select(
-        *KEY, "fetched_at", "seq", F.col("_last.rules").alias("rules"), has.alias("has_rules"),
+        *KEY, "fetched_at", "seq", F.col("_last.rules_seq").alias("rules_seq"),
+        F.coalesce(F.col("_last.has_rules"), F.lit(False)).alias("has_rules"),
         F.when(usable, F.col("fetched_at") + fresh_ms).alias("fresh_until"),
         F.when(~usable, F.col("fetched_at") + retry_ms).alias("retry_after"))
 
 
+def with_rules(rows: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Add the text of the rules that ``rules_seq`` points at.
+
+    Texts are only joined on at the end, they do not travel through the ordering.
+    """
+    texts = fetches.where(F.col("http_status").between(200, 299)).select("seq", F.col("body").alias("rules"))
+    return look_up(rows, texts, {"rules_seq": "seq"}, ["rules"])
+
+
 def robots_asof(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """For each request the snapshot in force at its time, and the state it is in.
 
     Both tables are put in one order per key and the newest snapshot is carried
     forward, instead of comparing times in a join.
     """
-    values = F.struct("rules", "has_rules", "fresh_until", "retry_after", "fetched_at")
+    values = F.struct("rules_seq", "has_rules", "fresh_until", "retry_after", "fetched_at")
     left = keyed(requests).select(
         *KEY, F.col("at").alias("_t"), F.lit(1).alias("_side"), F.col("request_id").alias("_tie"),
-        F.lit(None).cast("struct<rules:string,has_rules:boolean,fresh_until:bigint,retry_after:bigint,fetched_at:bigint>")
+        F.lit(None).cast("struct<rules_seq:bigint,has_rules:boolean,fresh_until:bigint,retry_after:bigint,fetched_at:bigint>")
         .alias("_snapshot"), "request_id", "uri")
     right = keyed(snapshots).select(
         *KEY, F.col("fetched_at").alias("_t"), F.lit(0).alias("_side"),
@@ -60,7 +69,7 @@ def robots_asof(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
              .when(F.col("_t") < F.col("s.fresh_until"), "fresh")
              .when(F.col("_t") < F.col("s.retry_after"), "suppressed").otherwise("stale"))
     return found.select("request_id", "uri", *KEY, F.col("_t").alias("at"), F.col("s.fetched_at").alias("fetched_at"),
-                        F.col("s.rules").alias("rules"), F.col("s.has_rules").alias("has_rules"), state.alias("state"))
+                        F.col("s.rules_seq").alias("rules_seq"), F.col("s.has_rules").alias("has_rules"), state.alias("state"))
 
 
 def robots_allowed(rows: DataFrame, agent: Column, policy: Column, custom: Column) -> DataFrame:

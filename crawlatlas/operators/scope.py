@@ -29,7 +29,6 @@ BLOCKED = -5001
 BLOCKED_BY_CUSTOM_PROCESSOR = -5002
 NO_RULE = "No scope rules matched"
 
-_ENTRY = "struct<status:int,stop:boolean,needs:int,error:string>"
 
 
 @dataclass(frozen=True)
@@ -133,20 +132,20 @@ def is_same_host(include_subdomains: str | Param = "", alt_seeds: str | Param =
     known = PUBLIC_SUFFIXES if suffixes is None else suffixes
 
     def seeds(c: Candidate) -> Column:
-        return F.concat(_words(c.value(alt_seeds)), F.array(F.coalesce(F.col("seed_uri"), F.lit(""))))
+        given = F.concat(_words(c.value(alt_seeds)), F.array(F.coalesce(F.col("seed_uri"), F.lit(""))))
+        return F.transform(given, host_of)
 
     def same(c: Candidate) -> Column:
         host, deep = c.parsed["host"], as_bool(c.value(include_subdomains))
 
         def one(seed: Column) -> Column:
-            anchor = scope_anchor(host_of(seed), known)
-            return (host == host_of(seed)) | (deep & ((host == anchor) | host.endswith(F.concat(F.lit("."), anchor))))
+            anchor = scope_anchor(seed, known)
+            return (host == seed) | (deep & F.concat(F.lit("."), host).endswith(F.concat(F.lit("."), anchor)))
 
         return F.exists(seeds(c), one)
 
     def unparsable(c: Candidate) -> Column:
-        bad = F.get(F.filter(seeds(c), lambda s: host_of(s) == ""), 0)
-        return F.concat(F.lit("Could not parse seed '"), bad, F.lit("'"))
+        return F.when(F.array_contains(seeds(c), ""), F.lit("Could not parse seed"))
 
     return Rule(same, (include_subdomains, alt_seeds), problem=unparsable, problem_status=ILLEGAL_URI)
 
@@ -238,7 +237,6 @@ def scope_decide(candidates: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``evaluation, exclude_reason, error_msg`` and the parsed candidate as ``include_check_uri``."""
     c = Candidate()
     entries = F.array_compact(F.array(*[e for rule in rules for e in rule.entries(c)]))
-    start = F.lit(None).cast(_ENTRY)
     start = F.struct(F.lit(None).cast("int").alias("status"), F.lit(False).alias("stop"),
                      F.lit(None).cast("int").alias("needs"), F.lit(None).cast("string").alias("error"))
 

@@ -30,7 +30,7 @@ def snapshots(spark, sf_dir):
 
 @query("robots_snapshot", f"WITH {_SNAPSHOT} SELECT * FROM snapshots")
 def robots_snapshot(spark, sf_dir):
-    return snapshots(spark, sf_dir)
+    return B.with_rules(snapshots(spark, sf_dir), rowwise(spark, sf_dir, "robots_fetch")).drop("rules_seq")
 
 
 _REQUESTS = """rq AS (SELECT concat('r', lpad(cast(l_orderkey * 10 + l_linenumber as varchar), 12, '0'), '-', l_partkey, '-', l_suppkey, '-', cast(l_quantity as int), '-', cast(floor(l_extendedprice) as bigint)) AS request_id,
@@ -80,7 +80,8 @@ SELECT request_id, policy, CASE WHEN policy = 'OBEY_ROBOTS' AND state = 'suppres
   WHEN policy IN ('CUSTOM_ROBOTS', 'CUSTOM_IF_MISSING') THEN by_custom ELSE true END AS allowed FROM a""")
 def robots_allowed(spark, sf_dir):
     n = F.length("uri") % 5
-    rows = B.robots_asof(robots_requests(spark, sf_dir), snapshots(spark, sf_dir)).withColumn(
+    found = B.robots_asof(robots_requests(spark, sf_dir), snapshots(spark, sf_dir))
+    rows = B.with_rules(found, rowwise(spark, sf_dir, "robots_fetch")).withColumn(
         "policy", F.when(n == 0, "IGNORE_ROBOTS").when(n == 1, "CUSTOM_ROBOTS").when(n == 2, "CUSTOM_IF_MISSING")
         .otherwise("OBEY_ROBOTS"))
     custom = F.lit("User-agent: crawler\nDisallow: /p/2*\n")
