@@ -70,11 +70,18 @@ def derive_kind(objects: DataFrame) -> DataFrame:
          .otherwise("")).drop("_spec")
 
 
-def _set_path(df: DataFrame, path: str, value: Column) -> DataFrame:
-    head, _, rest = path.partition(".")
-    if not rest:
-        return df.withColumn(head, value)
-    return df.withColumn(head, F.when(F.col(head).isNotNull(), F.col(head).withField(rest, value)))
+def _rebuilt(column: Column, data_type: T.StructType, values: dict[str, Column], prefix: str) -> Column:
+    """A struct with some of its leaves replaced, built in one expression."""
+    fields = []
+    for f in data_type.fields:
+        path = prefix + f.name
+        if path in values:
+            fields.append(values[path].alias(f.name))
+        elif any(p.startswith(path + ".") for p in values):
+            fields.append(_rebuilt(column[f.name], f.dataType, values, path + ".").alias(f.name))
+        else:
+            fields.append(column[f.name].alias(f.name))
+    return F.when(column.isNotNull(), F.struct(*fields))
 
 
 def masked_update(objects: DataFrame, selected: Column, template: dict, mask: list[str], user: str,
@@ -99,13 +106,18 @@ def masked_update(objects: DataFrame, selected: Column, template: dict, mask: li
         else:
             new_values[path] = given
     changed = reduce(lambda a, b: a | b, [~F.col(p).eqNullSafe(v) for p, v in new_values.items()], F.lit(False))
-    rows = objects.withColumn("updated", selected & changed)
-    for path, value in new_values.items():
-        rows = _set_path(rows, path, F.when(F.col("updated"), value).otherwise(F.col(path)))
-    for path, value in (("meta.lastModified", now), ("meta.lastModifiedBy", F.lit(user))):
-        if path.split(".")[1] in objects.schema["meta"].dataType.fieldNames():
-            rows = _set_path(rows, path, F.when(F.col("updated"), value).otherwise(F.col(path)))
-    return rows
+    stamps = {"meta.lastModified": now, "meta.lastModifiedBy": F.lit(user)}
+    known = objects.schema["meta"].dataType.fieldNames()
+    values = {**new_values, **{p: v for p, v in stamps.items() if p.split(".")[1] in known}}
+    heads = {p.split(".")[0] for p in values}
+    columns = []
+    for f in objects.schema.fields:
+        if f.name not in heads:
+            columns.append(F.col(f.name))
+            continue
+        new = values[f.name] if f.name in values else _rebuilt(F.col(f.name), f.dataType, values, f.name + ".")
+        columns.append(F.when(F.col("updated"), new).otherwise(F.col(f.name)).alias(f.name))
+    return objects.withColumn("updated", selected & changed).select(*columns, "updated")
 
 
 def apply_counters(executions: DataFrame, changes: DataFrame) -> DataFrame:
