@@ -62,12 +62,12 @@ def revisit_mark(records: DataFrame, order: list[str], write: str | None = None)
     comparable = F.col("record_type").isin("response", "resource") & digest.isNotNull()
     keyed = records.withColumn("_key", F.when(comparable, digest))
     call = write or "record_id"
-    taking_part = annotate(keyed.where("_key IS NOT NULL"), ["collection", "_key"], {
+    # Rows that take no part share the NULL key, one more group that may be hot.
+    marked = annotate(keyed, ["collection", "_key"], {
         "_first": F.min(F.struct(*order, "record_id", call) if write else F.struct(*order, "record_id"))})
-    repeat = F.col(call) != F.col("_first")[call]
-    marked = taking_part.withColumn("refers_to", F.when(repeat, F.col("_first")["record_id"])).drop("_first")
-    rest = keyed.where("_key IS NULL").withColumn("refers_to", F.lit(None).cast("string"))
-    return marked.unionByName(rest).drop("_key").withColumn("is_revisit", F.col("refers_to").isNotNull())
+    repeat = F.col("_key").isNotNull() & (F.col(call) != F.col("_first")[call])
+    return (marked.withColumn("refers_to", F.when(repeat, F.col("_first")["record_id"]))
+            .drop("_first", "_key").withColumn("is_revisit", F.col("refers_to").isNotNull()))
 
 
 def already_seen(uris: DataFrame, order: str, seen: DataFrame | None = None) -> DataFrame:

@@ -114,7 +114,7 @@ def import_new_seeds(records: DataFrame, known: DataFrame, order: str, top_level
     """First record of each normalized URL that is not known yet."""
     keyed = records.withColumn("key", url_key(F.col("uri"), top_level, ignore_scheme)).where("key IS NOT NULL")
     first = keyed.groupBy("key").agg(F.min_by(F.struct(*keyed.columns), order).alias("r")).select("r.*")
-    return first.join(known.select("key").distinct(), "key", "left_anti")
+    return first.join(known.select("key"), "key", "left_anti")
 
 
 def import_entity_match(records: DataFrame, entities: DataFrame) -> DataFrame:
@@ -130,8 +130,8 @@ def import_existing_code(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Whether a (key, id) is NEW_KEY, NEW_ID or EXISTS among the known pairs."""
     keys = known.select("key").distinct().withColumn("_key", F.lit(True))
     exact = known.select("key", "id").distinct().withColumn("_pair", F.lit(True))
-    return (pairs.join(exact, ["key", "id"], "left").join(keys, "key", "left")
-            .withColumn("code", F.when(F.col("_pair"), "EXISTS").when(F.col("_key"), "NEW_ID").otherwise("NEW_KEY"))
+    marked = look_up(look_up(pairs, exact, {"key": "key", "id": "id"}, ["_pair"]), keys, {"key": "key"}, ["_key"])
+    return (marked.withColumn("code", F.when(F.col("_pair"), "EXISTS").when(F.col("_key"), "NEW_ID").otherwise("NEW_KEY"))
             .drop("_key", "_pair"))
 
 
@@ -143,7 +143,7 @@ def convert_oos(lines: DataFrame, known: DataFrame, entity_name: str = "", entit
     records = lines.select(
         F.lit(entity_id or None).cast("string").alias("entityId"), name.alias("entityName"),
         F.col("value").alias("uri"), labels.alias("seedLabel"), url_key(F.col("value")).alias("key"))
-    return (records.where("key IS NOT NULL").join(known.select("key").distinct(), "key", "left_anti"))
+    return (records.where("key IS NOT NULL").join(known.select("key"), "key", "left_anti"))
 
 
 def host_groups(rows: DataFrame, ranges: DataFrame, use_hostname: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlatlas.functions.labels import matches_all
+from crawlatlas.operators.ordered import row_numbers
 from crawlatlas.operators.projection import CONFIG_MINIMUM, field_at, mask_project
 
 
@@ -135,7 +136,7 @@ def filtered(df: DataFrame, request: ListRequest) -> DataFrame:
 
 def with_ids(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose key is in a table of ids of any length."""
-    return df.join(ids.select(F.col("id").alias(column)).distinct(), column, "left_semi")
+    return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
 
 
 CASE_INSENSITIVE_ORDER = {"meta.name", "meta.label.value"}
@@ -248,10 +249,18 @@ def log_lookup(logs: DataFrame, warc_ids: list[str] | None = None, execution_id:
     if warc_ids:
         return logs.where(F.col("warc_id").isin(warc_ids))
     if execution_id:
-        rows = logs.where(F.col("execution_id") == execution_id).orderBy(F.col(seq).desc())
-        rows = rows.offset(max(offset, 0))
-        return rows.limit(page_size) if page_size > 0 else rows
+        return newest_first(logs.where(F.col("execution_id") == execution_id), seq, offset, page_size)
     if other_filter:
         raise ValueError("logs can be listed by warc id or by execution id only")
-    rows = logs.orderBy(F.col(seq).desc()).offset(max(offset, 0))
-    return rows.limit(page_size if page_size > 0 else 1)
+    return newest_first(logs, seq, offset, page_size if page_size > 0 else 1)
+
+
+def newest_first(rows: DataFrame, seq: str, offset: int, page_size: int) -> DataFrame:
+    """A page of the newest rows; without a page size all from the offset on, sorted over many tasks."""
+    newest = [F.col(seq).desc()]
+    if page_size > 0:
+        return rows.orderBy(*newest).offset(max(offset, 0)).limit(page_size)
+    if offset > 0:
+        numbered = row_numbers(rows, [], newest, "_place")
+        rows = numbered.where(F.col("_place") > offset).drop("_place")
+    return rows.orderBy(*newest)

@@ -92,7 +92,11 @@ def discovery_paths(requests: DataFrame, first_path: str = "queue_path") -> Data
     The parent is the redirect parent if it was logged, else the referrer if it was.
     Requests are taken in order, so a parent that comes later has no path yet.
     """
-    linked = referrer_parents(redirect_parents(requests)).withColumn("discovery_type", discovery_type(first_path))
+    needed = requests.select("page_id", "idx", "request_id", "url", "referrer", "initiator", "redirected",
+                             "redirect_from_url", "has_crawl_log", first_path)
+    # Written once, so that the second look-up does not repeat the first for its counts.
+    linked = referrer_parents(materialize(redirect_parents(needed), "linked"))
+    linked = linked.withColumn("discovery_type", discovery_type(first_path))
     parent = (F.when(F.col("redirect_parent_logged"), F.col("redirect_parent_idx"))
               .when(F.col("referrer_parent_logged"), F.col("referrer_parent_idx")))
     nodes = linked.where("has_crawl_log").select(

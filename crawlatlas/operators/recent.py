@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlatlas.operators import ordered
+from crawlatlas.operators.listing import newest_first
 
 
 def replace_rewritten(rows: DataFrame) -> DataFrame:
@@ -43,6 +44,4 @@ def window_stats(rows: DataFrame, crawl: int, page: int) -> DataFrame:
 
 def by_execution(rows: DataFrame, execution_id: str, offset: int = 0, page_size: int = 0) -> DataFrame:
     """Newest first within an execution; a page size of 0 is unlimited."""
-    found = rows.where(F.col("execution_id") == execution_id).orderBy(F.col("ingestion_seq").desc())
-    found = found.offset(max(offset, 0))
-    return found.limit(page_size) if page_size > 0 else found
+    return newest_first(rows.where(F.col("execution_id") == execution_id), "ingestion_seq", offset, page_size)

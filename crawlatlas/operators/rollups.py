@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlatlas.functions.archive import mime_of
-from crawlatlas.operators.skew import annotate
+from crawlatlas.operators.skew import annotate, look_up
 from crawlatlas.schemas import COUNTERS, RUNNING_STATES
 
 # Upper bounds of the page fetch histogram, in seconds.
@@ -43,8 +43,8 @@ def job_totals_from_changes(changes: DataFrame, known_jobs: DataFrame | None = N
     marked = annotate(changes, ["job_execution_id"], {
         "_created": F.min(F.when(F.col("new_state") == "CREATED", F.col("seq")))})
     if known_jobs is not None:
-        known = known_jobs.select(F.col("id").alias("job_execution_id")).distinct().withColumn("_known", F.lit(True))
-        marked = marked.join(known, "job_execution_id", "left")
+        known = known_jobs.select("id").distinct().withColumn("_known", F.lit(True))
+        marked = look_up(marked, known, {"job_execution_id": "id"}, ["_known"])
     else:
         marked = marked.withColumn("_known", F.lit(None).cast("boolean"))
     counted = marked.where(F.col("_known") | (F.col("seq") >= F.col("_created")))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlatlas.operators.skew import look_up
 from crawlatlas.schemas import ABORT_STATES, ACTIVE_STATES
 
 # Schemes a browser resolves without the network.
@@ -67,8 +68,8 @@ def validate_write_requests(requests: DataFrame, collections: DataFrame) -> Data
     def blank(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit("")) == ""
 
-    known = collections.select(F.col("id").alias("collection_id")).distinct().withColumn("_known", F.lit(True))
-    return requests.join(known, "collection_id", "left").withColumn(
+    known = collections.select("id").distinct().withColumn("_known", F.lit(True))
+    return look_up(requests, known, {"collection_id": "id"}, ["_known"]).withColumn(
         "reason",
         F.when(~F.col("has_meta"), "missing metadata object")
          .when(blank("collection_id"), "missing collection ref")

@@ -173,8 +173,8 @@ def new_executions(seeds: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
 
 def purge_queue(queue: DataFrame, executions: DataFrame, keep_active: bool) -> tuple[DataFrame, DataFrame]:
     """Remove the queued URIs of executions; the report has deleted and kept rows per execution."""
-    gone = executions.select(F.col("id").alias("execution_id")).distinct().withColumn("_purge", F.lit(True))
-    marked = queue.join(gone, "execution_id", "left")
+    gone = executions.select("id").distinct().withColumn("_purge", F.lit(True))
+    marked = look_up(queue, gone, {"execution_id": "id"}, ["_purge"])
     keep = F.col("_purge").isNull() | (F.lit(keep_active) & F.col("fetch_started"))
     left = marked.where(keep).drop("_purge")
     report = marked.where("_purge").groupBy("execution_id").agg(
