@@ -91,7 +91,7 @@ def has_error(spark, sf_dir):
 
 @query("filter_string", """
 SELECT id, kind, name FROM config_flat WHERE kind = 'seed' AND coalesce(disabled, false) = false
-  AND label_brand = 'Brand#7' AND size % 25 = size % 25""")
+  AND label_brand = 'Brand#7'""")
 def filter_string(spark, sf_dir):
     return R.filter_string(config_object(spark, sf_dir), "kind=seed", "seed.disabled=false",
                            "meta.label+=Brand:Brand#7").selectExpr(*CONFIG_COLUMNS)

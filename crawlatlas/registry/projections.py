@@ -83,8 +83,8 @@ def page_log_from_events(spark, sf_dir):
 
 
 @query("array_append_set", """
-SELECT id, CASE WHEN label_brand = 'Brand#1' THEN 2 ELSE 3 END
-  + CASE WHEN label_size IS NOT NULL THEN 1 ELSE 0 END AS n FROM config_flat""")
+SELECT id, cast(CASE WHEN label_brand = 'Brand#1' THEN 2 ELSE 3 END
+  + CASE WHEN label_size IS NOT NULL THEN 1 ELSE 0 END as bigint) AS n FROM config_flat""")
 def array_append_set(spark, sf_dir):
     from crawlatlas.operators.updates import append_set
     added = F.array(F.struct(F.lit("Brand").alias("key"), F.lit("Brand#1").alias("value")))
@@ -93,8 +93,8 @@ def array_append_set(spark, sf_dir):
 
 
 @query("array_remove_set", """
-SELECT id, CASE WHEN label_type = 'ECONOMY' THEN 1 ELSE 2 END
-  + CASE WHEN label_size IS NOT NULL THEN 1 ELSE 0 END AS n FROM config_flat""")
+SELECT id, cast(CASE WHEN label_type = 'ECONOMY' THEN 1 ELSE 2 END
+  + CASE WHEN label_size IS NOT NULL THEN 1 ELSE 0 END as bigint) AS n FROM config_flat""")
 def array_remove_set(spark, sf_dir):
     from crawlatlas.operators.updates import remove_set
     gone = F.array(F.struct(F.lit("type").alias("key"), F.lit("ECONOMY").alias("value")))

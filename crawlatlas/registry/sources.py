@@ -101,7 +101,7 @@ def collection_dir(spark, sf_dir):
 
 @query("file_manifest", """
 SELECT CASE collection_final_name WHEN 'coll0' THEN 'a/b' WHEN 'coll1' THEN 'a_b' ELSE 'default' END AS collection, count(*) AS rows,
-  true AS all_dated, 0 AS gone FROM crawl_log GROUP BY 1""")
+  true AS all_dated, cast(0 as bigint) AS gone FROM crawl_log GROUP BY 1""")
 def file_manifest(spark, sf_dir):
     files = L.listing(spark, archived_logs(spark, sf_dir), "crawl_log")
     early = F.lit("2024-01-01 00:00:00").cast("timestamp")

@@ -53,9 +53,9 @@ def derive_kind(spark, sf_dir):
 
 @query("masked_update", """
 SELECT id, name, CASE WHEN kind = 'crawlJob' THEN NULL ELSE description END AS description,
-  CASE WHEN kind <> 'crawlJob' THEN false ELSE description IS NOT NULL OR label_type = 'ECONOMY' OR true END AS updated,
-  1 + CASE WHEN kind = 'crawlJob' THEN 1 ELSE 0 END + CASE WHEN kind = 'crawlJob' AND label_type = 'ECONOMY' THEN 0 ELSE 1 END
-    + CASE WHEN label_size IS NOT NULL THEN 1 ELSE 0 END AS labels,
+  CASE WHEN kind <> 'crawlJob' THEN false ELSE true END AS updated,
+  cast(1 + CASE WHEN kind = 'crawlJob' THEN 1 ELSE 0 END + CASE WHEN kind = 'crawlJob' AND label_type = 'ECONOMY' THEN 0 ELSE 1 END
+    + CASE WHEN label_size IS NOT NULL THEN 1 ELSE 0 END as bigint) AS labels,
   CASE WHEN kind = 'crawlJob' THEN 'ann' ELSE 'importer' END AS modified_by FROM config_flat""")
 def masked_update(spark, sf_dir):
     template = {"meta": {"label": [{"key": "big", "value": "bang"}], "name": "ignored"}}

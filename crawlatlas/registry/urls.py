@@ -24,7 +24,7 @@ def _parsed(spark, sf_dir, fully):
 
 
 @query("canonicalize_crawl", f"""WITH {_C}
-SELECT page_id, href, scheme, host, CASE scheme WHEN 'http' THEN 80 ELSE 443 END AS port, path, query, NULL AS error FROM c""")
+SELECT page_id, href, scheme, host, CASE scheme WHEN 'http' THEN 80 ELSE 443 END AS port, path, query, CAST(NULL AS VARCHAR) AS error FROM c""")
 def canonicalize_crawl(spark, sf_dir):
     return _parsed(spark, sf_dir, False)
 
@@ -183,7 +183,7 @@ SELECT page_id, uri, concat('ce', page_id % 20) AS execution_id, page_id % 9 + 1
   CASE WHEN reason0 IS NULL AND rn = 1 THEN 'QUEUED' ELSE 'REJECTED' END AS decision,
   CASE WHEN reason0 IS NULL AND rn > 1 THEN -4100 ELSE reason0 END AS reason,
   CASE WHEN reason0 IS NULL AND rn = 1 THEN d = 1 END AS for_retry,
-  CASE WHEN page_id % 2 = 0 THEN 2.0 ELSE 1.0 END AS priority_weight,
+  CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS priority_weight,
   CASE WHEN reason0 IS NULL AND rn = 1 THEN CASE WHEN d = 1 THEN concat('TEMP_CHG_', {_SHA.format('host')})
     ELSE {_SHA.format("concat('10.0.', length(host), '.1')")} END END AS crawl_host_group_id
 FROM s""")
