@@ -8,6 +8,7 @@ from crawlatlas.functions.labels import first_label
 from crawlatlas.operators import dns as D
 from crawlatlas.operators import robots as B
 from crawlatlas.registry.base import query
+from crawlatlas.session import materialize
 from crawlatlas.sources.derived import crawl_execution, rowwise, seed_object
 from crawlatlas.sources.tables import load
 
@@ -25,7 +26,8 @@ snapshots AS (SELECT s.collection, s.scheme, s.host, s.port, s.fetched_at, s.seq
 
 
 def snapshots(spark, sf_dir):
-    return B.robots_snapshot(rowwise(spark, sf_dir, "robots_fetch"), FRESH, RETRY)
+    """The snapshot table, stored as it would be between runs."""
+    return materialize(B.robots_snapshot(rowwise(spark, sf_dir, "robots_fetch"), FRESH, RETRY), "snapshots")
 
 
 @query("robots_snapshot", f"WITH {_SNAPSHOT} SELECT * FROM snapshots")

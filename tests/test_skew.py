@@ -34,7 +34,7 @@ def test_look_up_matches_left_join(spark, rows, hot_rows):
     assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-@pytest.mark.parametrize("slices", [1, 5, 40])
+@pytest.mark.parametrize("slices", [None, 1, 5, 40])
 def test_ordered_forms_match_windows(rows, slices):
     order = ["seq", "id"]
     w = Window.partitionBy("key").orderBy(*order)
@@ -55,3 +55,11 @@ def test_a_hot_key_is_spread_over_tasks(rows):
     got = skew.annotate(rows, ["key"], {"top": F.max("value")}, hot_rows=50)
     per_task = (got.where("key = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert len(per_task) > 1
+
+
+def test_large_groups_are_sliced(rows, monkeypatch):
+    assert ordered.fits_windows(rows, ["key"]) and not ordered.fits_windows(rows, ["key"], 100)
+    monkeypatch.setattr(ordered, "fits_windows", lambda df, keys: False)
+    got = ordered.row_numbers(rows, ["key"], [F.col("seq"), F.col("id")], "n")
+    assert got.where("key = 'hot'").agg(F.max("n"), F.count_distinct("n")).first() == (
+        rows.where("key = 'hot'").count(),) * 2
