@@ -227,12 +227,16 @@ def filter_string(df: DataFrame, *texts: str) -> DataFrame:
     return df.where(template_matches(df.schema, template, [m.rstrip("+-") for m in mask]))
 
 
-def sort_nulls_last(df: DataFrame, column: str, kind: str = "text", descending: bool = False) -> DataFrame:
+def nulls_last_order(column: str, kind: str = "text", descending: bool = False) -> list[Column]:
     """Case-insensitive text, number or date order; blank or invalid values last either way."""
     blank_free = F.nullif(F.trim(F.col(column).cast("string")), F.lit(""))
     key = {"text": F.lower(blank_free), "number": blank_free.try_cast("double"),
            "date": blank_free.try_cast("timestamp_ntz")}[kind]
-    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("id").asc())
+    return [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col("id").asc()]
+
+
+def sort_nulls_last(df: DataFrame, column: str, kind: str = "text", descending: bool = False) -> DataFrame:
+    return df.orderBy(*nulls_last_order(column, kind, descending))
 
 
 def query_limit(df: DataFrame, limit: int) -> DataFrame:

@@ -109,19 +109,19 @@ def import_records(spark, sf_dir):
     return rowwise(spark, sf_dir, "seed").select(
         F.col("id").alias("record"), F.substring("id", 5, 20).cast("bigint").alias("pos"),
         F.regexp_replace(F.regexp_replace("name", "^https?", "http"), r"\.example\.com", ".example.net").alias("uri"),
-        F.concat(F.lit("Entity "), F.substring("id", 5, 20).cast("bigint") % 90).alias("entity_name"))
+        F.concat(F.lit("Entity "), F.substring("id", 5, 20).cast("bigint") % 90).alias("entity_name"), "balance")
 
 
 _RECORDS = f"""{_SEED_KEY},
-records AS (SELECT id AS record, cast(substring(id, 5) as bigint) AS pos, concat('Entity ', cast(substring(id, 5) as bigint) % 90) AS entity_name,
+records AS (SELECT id AS record, cast(substring(id, 5) as bigint) AS pos, balance, concat('Entity ', cast(substring(id, 5) as bigint) % 90) AS entity_name,
   regexp_replace(regexp_replace(key, '^https?', 'http'), '\\.example\\.com', '.example.net') AS key,
   regexp_replace(regexp_replace(name, '^https?', 'http'), '\\.example\\.com', '.example.net') AS uri FROM seed JOIN seed_key USING (id)),
-known AS (SELECT key, id FROM (SELECT record AS id, key FROM records WHERE pos % 7 = 0))"""
+known AS (SELECT key, id FROM (SELECT record AS id, key FROM records WHERE balance = 'debt'))"""
 
 
 def known_pairs(spark, sf_dir):
     from crawlatlas.functions.urls import url_key
-    return import_records(spark, sf_dir).where("pos % 7 = 0").select(
+    return import_records(spark, sf_dir).where("balance = 'debt'").select(
         url_key(F.col("uri")).alias("key"), F.col("record").alias("id"))
 
 

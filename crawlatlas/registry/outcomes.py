@@ -39,14 +39,14 @@ _REQUESTS = """rq AS (SELECT concat('r', lpad(cast(l_orderkey * 10 + l_linenumbe
   CASE WHEN l_orderkey % 5 = 0 THEN 'unscoped' ELSE concat('coll', l_orderkey % 3) END AS collection,
   CASE WHEN l_orderkey % 4 = 0 THEN 'https' ELSE 'http' END AS scheme, concat('h', l_partkey % 60, '.example.com') AS host,
   CASE WHEN l_orderkey % 4 = 0 THEN 443 ELSE 80 END AS port, epoch_ms(l_shipdate) + l_linenumber * 1000 AS at_ms,
-  concat('http://h', l_partkey % 60, '.example.com/p/', l_suppkey) AS uri FROM lineitem WHERE l_linenumber < 8)"""
+  concat('http://h', l_partkey % 60, '.example.com/p/', l_suppkey) AS uri FROM lineitem)"""
 
 
 def robots_requests(spark, sf_dir):
     """URLs to check, one per line item."""
     order = F.col("l_orderkey")
     secure = order % 4 == 0
-    return load(spark, sf_dir, "lineitem").where("l_linenumber < 8").select(
+    return load(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", F.concat(F.lit("r"), F.lpad((order * 10 + F.col("l_linenumber")).cast("string"), 12, "0")), "l_partkey",
                     "l_suppkey", F.col("l_quantity").cast("int"), F.floor("l_extendedprice")).alias("request_id"),
         F.when(order % 5 == 0, "").otherwise(F.concat(F.lit("coll"), order % 3)).alias("collection"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from crawlatlas.functions import labels as L
 from crawlatlas.operators import listing as R
 from crawlatlas.operators import selection as S
+from crawlatlas.operators.ordered import row_numbers
 from crawlatlas.registry.base import query
 from crawlatlas.sources.derived import (
     config_object, crawl_execution, job_execution, rowwise, seed_object,
@@ -174,18 +175,20 @@ def browser_local_scheme(spark, sf_dir):
 @query("valid_write_request", """
 SELECT record_id, CASE WHEN seq % 31 = 0 THEN 'missing metadata object' WHEN seq % 29 = 0 THEN 'missing collection ref'
   WHEN seq % 23 = 0 THEN 'missing IP-address' WHEN seq % 19 = 0 THEN 'missing target URI'
-  WHEN collection NOT IN (SELECT source FROM documents WHERE doc_id % 40 = 0) THEN concat('unknown collection: ', collection)
+  WHEN record_type = 'metadata' THEN concat('unknown collection: ', collection, '-gone')
   WHEN digest = '' THEN 'missing record metadata' ELSE '' END AS reason FROM crawled""")
 def valid_write_request(spark, sf_dir):
     c = rowwise(spark, sf_dir, "crawled")
     blank = F.lit(None).cast("string")
     requests = c.select(
         "record_id", (F.col("seq") % 31 != 0).alias("has_meta"),
-        F.when(F.col("seq") % 29 == 0, blank).otherwise(F.col("collection")).alias("collection_id"),
+        F.when(F.col("seq") % 29 == 0, blank).when(
+            F.col("record_type") == "metadata", F.concat("collection", F.lit("-gone")))
+        .otherwise(F.col("collection")).alias("collection_id"),
         F.when(F.col("seq") % 23 == 0, "").otherwise("10.0.0.1").alias("ip_address"),
         F.when(F.col("seq") % 19 == 0, "").otherwise(F.col("uri")).alias("target_uri"),
         (F.col("digest") != "").alias("has_record_meta"))
-    known = load(spark, sf_dir, "documents").where("doc_id % 40 = 0").select(F.col("source").alias("id")).distinct()
+    known = load(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct()
     return S.validate_write_requests(requests, known).select("record_id", "reason")
 
 
@@ -212,10 +215,11 @@ def page_slice(spark, sf_dir):
 
 @query("sort_nulls_last", """
 SELECT id, row_number() OVER (ORDER BY lower(nullif(trim(description), '')) DESC NULLS LAST, id) AS pos
-FROM config_flat ORDER BY pos LIMIT 2000""")
+FROM config_flat""")
 def sort_nulls_last(spark, sf_dir):
-    rows = R.sort_nulls_last(rowwise(spark, sf_dir, "config_flat"), "description", descending=True)
-    return _positions(rows.select("id").limit(2000))
+    order = R.nulls_last_order("description", descending=True)
+    return row_numbers(rowwise(spark, sf_dir, "config_flat").select("id", "description"), [], order, "pos").select(
+        "id", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("recent_top_n", """

@@ -57,15 +57,14 @@ def job_running_count(spark, sf_dir):
 
 
 @query("job_finalize", """
-WITH done AS (SELECT job_execution_id, cast(sum(bytes_crawled) as bigint) AS bytes_crawled FROM crawl_execution
-  WHERE id NOT LIKE '%_7' GROUP BY 1
+WITH done AS (SELECT job_execution_id, cast(sum(bytes_crawled) as bigint) AS bytes_crawled FROM crawl_execution GROUP BY 1
   HAVING count(*) FILTER (WHERE state IN ('UNDEFINED', 'CREATED', 'FETCHING', 'SLEEPING') AND seed_id LIKE '%1') = 0)
 SELECT j.id, CASE WHEN d.job_execution_id IS NULL OR state IN ('FAILED', 'ABORTED_MANUAL') THEN state
     ELSE coalesce(desired_state, 'FINISHED') END AS state,
   CASE WHEN d.job_execution_id IS NULL THEN end_time ELSE timestamp '2024-02-01 00:00:00' END AS end_time, bytes_crawled
 FROM job_execution j LEFT JOIN done d ON d.job_execution_id = j.id""")
 def job_finalize(spark, sf_dir):
-    e = crawl_execution(spark, sf_dir).where("id NOT LIKE '%\\\\_7'")
+    e = crawl_execution(spark, sf_dir)
     open_state = F.col("seed_id").endswith("1") | ~F.col("state").isin("UNDEFINED", "CREATED", "FETCHING", "SLEEPING")
     e = e.withColumn("state", F.when(open_state, F.col("state")).otherwise("FINISHED"))
     done = A.job_finalize(job_execution(spark, sf_dir), e, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))

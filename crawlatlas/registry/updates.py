@@ -11,6 +11,7 @@ from crawlatlas.schemas import COUNTERS
 from crawlatlas.sources.derived import (
     config_object, crawl_execution, job_execution, rowwise,
 )
+from crawlatlas.sources.tables import load
 
 
 def _at(text):
@@ -73,10 +74,10 @@ _ADDED = ", ".join(f"cast(e.{c} + coalesce(d.{c}, 0) as bigint) AS {c}" for c in
 
 
 @query("apply_counters", f"""
-WITH d AS (SELECT execution_id, {", ".join(f"sum(add_{c}) AS {c}" for c in COUNTERS)} FROM execution_change WHERE seq % 2 = 0 GROUP BY 1)
+WITH d AS (SELECT execution_id, {", ".join(f"sum(add_{c}) AS {c}" for c in COUNTERS)} FROM execution_change GROUP BY 1)
 SELECT e.id, {_ADDED} FROM crawl_execution e LEFT JOIN d ON d.execution_id = e.id""")
 def apply_counters(spark, sf_dir):
-    changes = rowwise(spark, sf_dir, "execution_change").where("seq % 2 = 0")
+    changes = rowwise(spark, sf_dir, "execution_change")
     return U.apply_counters(crawl_execution(spark, sf_dir), changes).select("id", *COUNTERS)
 
 
@@ -99,13 +100,18 @@ def abort_job(spark, sf_dir):
 
 
 @query("fail_if_empty", """
-WITH used AS (SELECT DISTINCT job_execution_id FROM crawl_execution WHERE job_execution_id NOT IN ('je0', 'je1', 'je3')),
-j AS (SELECT *, state = 'RUNNING' AND end_time IS NULL AND id NOT IN (SELECT job_execution_id FROM used) AS empty FROM job_execution)
+WITH jobs AS (SELECT id, state, end_time FROM job_execution
+  UNION ALL SELECT concat('jn', n_nationkey), CASE n_regionkey WHEN 0 THEN 'CREATED' ELSE 'RUNNING' END, NULL FROM nation),
+j AS (SELECT *, state = 'RUNNING' AND end_time IS NULL AND id NOT IN (SELECT job_execution_id FROM crawl_execution) AS empty FROM jobs)
 SELECT id, CASE WHEN empty THEN 'FAILED' ELSE state END AS state, CASE WHEN empty THEN timestamp '2024-03-01 00:00:00' ELSE end_time END AS end_time,
   CASE WHEN empty THEN 'no seeds' END AS error_msg FROM j""")
 def fail_if_empty(spark, sf_dir):
-    some = crawl_execution(spark, sf_dir).where("job_execution_id NOT IN ('je0', 'je1', 'je3')")
-    return U.fail_if_empty(job_execution(spark, sf_dir), some, "no seeds", _at("2024-03-01 00:00:00")).select(
+    waiting = load(spark, sf_dir, "nation").select(
+        F.concat(F.lit("jn"), "n_nationkey").alias("id"),
+        F.when(F.col("n_regionkey") == 0, "CREATED").otherwise("RUNNING").alias("state"),
+        F.lit(None).cast("timestamp_ntz").alias("end_time"))
+    jobs = job_execution(spark, sf_dir).select("id", "state", "end_time").unionByName(waiting)
+    return U.fail_if_empty(jobs, crawl_execution(spark, sf_dir), "no seeds", _at("2024-03-01 00:00:00")).select(
         "id", "state", "end_time", "error_msg")
 
 
@@ -183,13 +189,13 @@ _ENDED = "state IN ('FINISHED', 'ABORTED_TIMEOUT', 'ABORTED_SIZE', 'ABORTED_MANU
 
 
 @query("reconcile_executions", f"""
-WITH q AS (SELECT execution_id, count(*) AS n, count(*) FILTER (WHERE fetch_started) AS active FROM queued_uri WHERE sequence < 60 GROUP BY 1),
+WITH q AS (SELECT execution_id, count(*) AS n, count(*) FILTER (WHERE fetch_started) AS active FROM queued_uri WHERE error_code = 0 GROUP BY 1),
 a AS (SELECT e.id, desired_state, CASE WHEN {_ENDED} THEN 'PURGE_AND_REPAIR_JOB' WHEN {_ABORT} AND active > 0 THEN 'PURGE_PENDING_AND_WAIT'
   WHEN {_ABORT} THEN 'PURGE_AND_END' WHEN coalesce(n, 0) = 0 THEN 'FINISH' ELSE 'NONE' END AS action
   FROM crawl_execution e LEFT JOIN q ON q.execution_id = e.id)
 SELECT id, action, CASE action WHEN 'PURGE_AND_END' THEN desired_state WHEN 'FINISH' THEN 'FINISHED' END AS end_state FROM a""")
 def reconcile_executions(spark, sf_dir):
-    queue = rowwise(spark, sf_dir, "queued_uri").where("sequence < 60")
+    queue = rowwise(spark, sf_dir, "queued_uri").where("error_code = 0")
     return U.reconcile_executions(crawl_execution(spark, sf_dir), queue).select("id", "action", "end_state")
 
 

@@ -25,7 +25,9 @@ def stateful_session(spark: SparkSession) -> SparkSession:
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # Every partition keeps a store and a Python worker busy, so more than a few per core only cost.
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", min(asked, 2 * spark.sparkContext.defaultParallelism))
     return session
 
 
