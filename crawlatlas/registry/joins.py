@@ -6,7 +6,7 @@ from crawlatlas.operators import joins as J
 from crawlatlas.operators import pagegraph as G
 from crawlatlas.operators import rollups as A
 from crawlatlas.registry.base import query
-from crawlatlas.registry.rollups import _SEED_KEY, seed_pairs
+from crawlatlas.registry.rollups import _SEED_KEY
 from crawlatlas.sources.derived import crawl_execution, rowwise, seed_object
 from crawlatlas.sources.tables import load
 

@@ -6,7 +6,6 @@ from crawlatlas.operators import parameters as P
 from crawlatlas.operators import scope as S
 from crawlatlas.registry.base import query
 from crawlatlas.sources.derived import rowwise, scope_candidates
-from crawlatlas.sources.tables import load
 
 _HOST = "regexp_extract(uri, '^(?:[A-Za-z]+:)?//(?:[^@/]*@)?([^/:?#]*)', 1)"
 _F = f"""f AS (SELECT *, kind = 5 AND id % 12 = 5 AS bad,

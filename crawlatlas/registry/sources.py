@@ -4,7 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from crawlatlas.functions import urls as U
 from crawlatlas.operators import pagelog
 from crawlatlas.plans import stored
 from crawlatlas.registry.base import query
@@ -17,7 +16,6 @@ from crawlatlas.sources.derived import crawl_execution, rowwise
 from crawlatlas.sources.tables import load
 
 _NAMES = [c.strip().split()[0] for c in CRAWL_LOG.split(",")]
-_COLLECTION = "CASE user_id % 3 WHEN 0 THEN 'a/b' WHEN 1 THEN 'a_b' ELSE '  ' END"
 
 
 def archived_logs(spark, sf_dir):
