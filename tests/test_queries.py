@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry_points
+from crawlatlas.registry import QUERIES, SQL
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -24,10 +25,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("key", sorted(entry_points.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_sql(spark, con, key):
     df = entry_points.queries()[key](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
