@@ -207,6 +207,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) ->
     return both.select(F.col("key").alias(key), "base", spans.alias("spans"))
 
 
+def count_of(spans: str, kind: str):
+    """How many of the spans are of a kind."""
+    number = KINDS.index(kind)
+    return F.size(F.filter(spans, lambda s: s["kind"] == number)).cast("long")
+
+
 def shown(spans: str):
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
