@@ -15,12 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-_ATTRIBUTES = r"""(?:[\s/]+(?!href[\s=])[^\s=>"'/]+(?:\s*=\s*""" + _VALUE + r")?)*"
-_HREF = r"[\s/]+href\s*=\s*(" + _VALUE + ")"
-LINK = r"(?is)<a(?:rea)?" + _ATTRIBUTES + _HREF
-BASE = r"(?is)<base" + _ATTRIBUTES + _HREF
-INERT = r"(?is)<!--.*?-->|<(script|style|template|textarea|title)\b.*?</\1\s*>"
+# Every repetition is possessive: no attribute is tried twice, and the JVM does not recurse into a
+# repeated group. A tag matches with or without the link, so what was read is not read again.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_ATTRIBUTES = r"""(?:[\s/]++(?!href[\s=])[^\s=>"'/]++(?:\s*+=\s*+""" + _VALUE + r")?+)*+"
+_HREF = r"(?:[\s/]++href\s*+=\s*+(" + _VALUE + "))?+"
+LINK = r"(?is)<a(?:rea)?(?=[\s/])" + _ATTRIBUTES + _HREF
+BASE = r"(?is)<base(?=[\s/])" + _ATTRIBUTES + _HREF
+# What is not closed goes on to the end of the page, so each place is looked at once.
+INERT = r"(?is)<!--.*?(?:-->|\z)" + "".join(
+    rf"|<{tag}\b.*?(?:</{tag}\s*+>|\z)" for tag in ("script", "style", "template", "textarea", "title"))
 
 _SIMPLE_SITE = r"^(https?://(?:[a-z0-9-]+\.)+[a-z]+)(?:[/?#].*)?$"
 _SIMPLE_HREF = r"^(/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)+/?$"
@@ -61,7 +65,12 @@ _resolve = _resolve.asNondeterministic()
 def raw_links(page: Column) -> Column:
     """Values of every ``a[href]`` and ``area[href]``, comments and scripts left out."""
     live = F.regexp_replace(page, INERT, " ")
-    return F.transform(F.regexp_extract_all(live, F.lit(LINK), F.lit(1)), _unquoted)
+    return F.transform(_values(live, LINK), _unquoted)
+
+
+def _values(text: Column, tag: str) -> Column:
+    """The link of each tag that has one."""
+    return F.filter(F.regexp_extract_all(text, F.lit(tag), F.lit(1)), lambda v: v != "")
 
 
 def _unquoted(value: Column) -> Column:
@@ -74,7 +83,7 @@ def extract_outlinks(pages: DataFrame) -> DataFrame:
     # The page itself ends here: only links and the base address go on. The outer form
     # of explode keeps Spark from testing the size of the list by finding the links twice.
     cut = pages.select(
-        "page_id", F.col("url").alias("page_url"), _unquoted(F.regexp_extract("html", BASE, 1)).alias("_base"),
+        "page_id", F.col("url").alias("page_url"), _unquoted(F.coalesce(F.get(_values(F.col("html"), BASE), 0), F.lit(""))).alias("_base"),
         F.array_distinct(raw_links(F.col("html"))).alias("_links"))
     found = cut.select("page_id", "page_url", "_base", F.explode_outer("_links").alias("_href"))
     href = F.trim(F.col("_href"))

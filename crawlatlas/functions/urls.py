@@ -31,6 +31,8 @@ PUBLIC_SUFFIXES = [
     "github.io", "blogspot.com",
 ]
 
+COUNTRY_SUFFIX = r"^(?:ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$"
+
 _SIMPLE = r"^https?://[a-z0-9]([a-z0-9-]*\.)+[a-z]+(/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)*/?$"
 _SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
 _BAD_HOST = re.compile(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]")
@@ -168,6 +170,11 @@ def _canonical_list(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else one(t))
 
 
+def canonical_text(url: str) -> str:
+    """One URL in canonical form."""
+    return parse_uri(url, True)[0]
+
+
 def canonical_list(urls: Column) -> Column:
     """Space-separated URLs to an array of canonical ones; the same text is parsed once."""
     return _canonical_list(urls)
@@ -244,7 +251,10 @@ def range_blocks(first: Column, last: Column) -> Column:
 def scope_anchor(host: Column, suffixes: list[str] | None = None) -> Column:
     """Host without one www label, unless what is left is itself a public suffix."""
     rest = F.regexp_extract(host, r"(?i)^www[0-9]*\.(.+)$", 1)
-    registrable = rest.contains(".") & ~rest.isin(PUBLIC_SUFFIXES if suffixes is None else suffixes)
+    known = PUBLIC_SUFFIXES if suffixes is None else suffixes
+    # Without a full list, a generic label under a country's domain is taken for a suffix too.
+    generic = F.lit(False) if suffixes is not None else rest.rlike(COUNTRY_SUFFIX)
+    registrable = rest.contains(".") & ~rest.isin(known) & ~generic
     return F.when((rest != "") & registrable, rest).otherwise(host)
 
 

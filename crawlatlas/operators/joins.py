@@ -25,9 +25,9 @@ def join_job_config_chain(jobs: DataFrame, crawl_configs: DataFrame, browser_con
 
 def join_seed_entity(seeds: DataFrame, entities: DataFrame) -> DataFrame:
     """Seed with the name and description of its entity."""
-    e = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name"),
-                        F.col("description").alias("entity_description"))
-    return seeds.withColumn("entity_id", F.col("seed.entityRef.id")).join(e, "entity_id", "left")
+    e = entities.select("id", F.col("name").alias("entity_name"), F.col("description").alias("entity_description"))
+    return look_up(seeds.withColumn("entity_id", F.col("seed.entityRef.id")), e, {"entity_id": "id"},
+                   ["entity_name", "entity_description"])
 
 
 def duplicate_seed_report(seeds: DataFrame, entities: DataFrame, top_level: bool = False,
@@ -78,8 +78,9 @@ def dangling_refs(references: DataFrame, objects: DataFrame) -> DataFrame:
     absent = references.where(F.col("id").isNull() & F.col("required")).withColumn("reason", F.lit("missing"))
     present = references.where(F.col("id").isNotNull())
     wrong = present.where(F.col("kind") != F.col("expected")).withColumn("reason", F.lit("wrong kind"))
-    gone = (present.where(F.col("kind") == F.col("expected"))
-            .join(objects.select("kind", "id"), ["kind", "id"], "left_anti").withColumn("reason", F.lit("not found")))
+    known = objects.select("kind", "id").distinct().withColumn("_known", F.lit(True))
+    right = look_up(present.where(F.col("kind") == F.col("expected")), known, {"kind": "kind", "id": "id"}, ["_known"])
+    gone = right.where(F.col("_known").isNull()).drop("_known").withColumn("reason", F.lit("not found"))
     return absent.unionByName(wrong).unionByName(gone).select("source_id", "field", "kind", "id", "reason")
 
 
@@ -187,10 +188,13 @@ def revisit_original(logs: DataFrame) -> DataFrame:
 def script_selector_match(configs: DataFrame, scripts: DataFrame) -> DataFrame:
     """Scripts whose labels satisfy every selector of a browser configuration.
 
-    Labels and selectors meet on tokens, so this is an equi join and not a theta join.
+    Labels and selectors meet on tokens, so this is an equi join and not a theta join. A selector
+    for any label asks for nothing beside others, and only counts where it stands alone.
     """
-    asked = configs.select("config_id", F.size(F.array_distinct("script_selector")).alias("_wanted"),
-                           F.explode(F.array_distinct("script_selector")).alias("_selector"))
+    given = F.array_distinct("script_selector")
+    narrow = F.filter(given, lambda s: s != ":")
+    wanted = F.when(F.size(narrow) > 0, narrow).otherwise(given)
+    asked = configs.select("config_id", F.size(wanted).alias("_wanted"), F.explode(wanted).alias("_selector"))
     asked = asked.withColumn("token", selector_token(F.col("_selector")))
     offered = scripts.select("script_id", F.explode(selector_tokens(F.col("label"))).alias("token"))
     met = offered.join(asked, "token").groupBy("config_id", "script_id").agg(

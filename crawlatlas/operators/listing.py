@@ -143,9 +143,15 @@ CASE_INSENSITIVE_ORDER = {"meta.name", "meta.label.value"}
 
 
 def order_by_path(df: DataFrame, path: str, descending: bool = False) -> list[Column]:
-    """Sort columns for a dotted path with the id as tie-break; names compare lower-cased."""
+    """Sort columns for a dotted path with the id as tie-break; names compare lower-cased.
+
+    A path through an array sorts by its values one after the other.
+    """
     field_at(df.schema, path)
-    column = F.lower(F.col(path)) if path in CASE_INSENSITIVE_ORDER else F.col(path)
+    column = F.col(path)
+    if path in CASE_INSENSITIVE_ORDER:
+        many = isinstance(df.select(path).schema[0].dataType, T.ArrayType)
+        column = F.transform(column, F.lower) if many else F.lower(column)
     return [column.desc() if descending else column.asc(), F.col("id").asc()]
 
 

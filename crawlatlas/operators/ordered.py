@@ -1,9 +1,7 @@
 """Per-group orderings that hold when one group fills a large share of the table.
 
-A window over a whole group runs in one task. The sizes of the groups are counted
-first; while the largest is small, a plain window with its one shuffle is used. Beyond
-that, rows are range-partitioned on (group, order), so a large group spans many slices;
-each slice is summed up on its own, the sums of earlier slices are carried over, and
+A window over a whole group runs in one task. So rows are range-partitioned on (group,
+order), and a large group spans many slices; each slice is summed up on its own, the sums of earlier slices are carried over, and
 only then does a window run inside (group, slice). Only groups that cross a slice
 border need a carried value, so that table has fewer rows than there are slices and is
 safe to broadcast.
@@ -16,16 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlatlas.operators.skew import HOT_ROWS
 from crawlatlas.session import materialize
 
 
-def fits_windows(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> bool:
-    """Whether no group has more rows than one task should order."""
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) <= rows
-
-
 def in_slices(df: DataFrame, keys: list[str], order: list[Column], slices: int | None = None) -> DataFrame:
     """Range-partition by keys and order; ``_slice`` numbers the partitions in that order.
 
@@ -55,9 +46,6 @@ def _with_carry(sliced: DataFrame, carry: DataFrame, keys: list[str]) -> DataFra
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str,
                 slices: int | None = None) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the group (0 for the first)."""
-    if slices is None and fits_windows(df, keys):
-        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
     sliced = in_slices(df.withColumn("_value", value), keys, order, slices)
     carry = _carry(sliced, keys, F.sum("_value"), F.sum)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -70,8 +58,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], out: str,
                 slices: int | None = None) -> DataFrame:
     """Number the rows of each group from 1 in ``order``, which must be total."""
-    if slices is None and fits_windows(df, keys):
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     sliced = in_slices(df, keys, order, slices)
     carry = _carry(sliced, keys, F.count(F.lit(1)), F.sum)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -83,10 +69,6 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], out: str,
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                slices: int | None = None) -> DataFrame:
     """Newest non-null ``value`` at or before each row of the group, in ascending ``order``."""
-    if slices is None and fits_windows(df, keys):
-        upto = (Window.partitionBy(*keys).orderBy(*order)
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(upto))
     sliced = in_slices(df, keys, [F.col(c) for c in order], slices)
     newest = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
     carry = _carry(sliced, keys, newest, lambda c: F.last(c, ignorenulls=True))

@@ -6,12 +6,14 @@ a group: lists come out as rows, or are bounded by an enumeration.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlatlas.functions.archive import mime_of
 from crawlatlas.operators.skew import annotate, look_up
-from crawlatlas.schemas import COUNTERS, RUNNING_STATES
+from crawlatlas.schemas import COUNTERS, EXECUTION_STATES, RUNNING_STATES
 
 # Upper bounds of the page fetch histogram, in seconds.
 PAGE_FETCH_BOUNDS = [.005, .01, .025, .05, .075, .1, .25, .5, .75, 1, 2.5, 5, 7.5, 10, 20, 30, 40, 50, 60, 120, 180, 240]
@@ -35,11 +37,8 @@ def job_totals(executions: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("state", "n"))).alias("executions_state"))
 
 
-def job_totals_from_changes(changes: DataFrame, known_jobs: DataFrame | None = None) -> DataFrame:
-    """State counts per job execution from deltas: +1 new state, -1 old state.
-
-    Deltas of a job nobody has created yet are ignored up to the one that creates it.
-    """
+def counted_changes(changes: DataFrame, known_jobs: DataFrame | None = None) -> DataFrame:
+    """Deltas from the one on that creates their job execution; those of a job nobody has created are ignored."""
     marked = annotate(changes, ["job_execution_id"], {
         "_created": F.min(F.when(F.col("new_state") == "CREATED", F.col("seq")))})
     if known_jobs is not None:
@@ -47,18 +46,27 @@ def job_totals_from_changes(changes: DataFrame, known_jobs: DataFrame | None = N
         marked = look_up(marked, known, {"job_execution_id": "id"}, ["_known"])
     else:
         marked = marked.withColumn("_known", F.lit(None).cast("boolean"))
-    counted = marked.where(F.col("_known") | (F.col("seq") >= F.col("_created")))
-    steps = F.array(F.struct(F.col("new_state").alias("state"), F.lit(1).alias("step")),
-                    F.struct(F.col("old_state").alias("state"), F.lit(-1).alias("step")))
-    states = (counted.withColumn("s", F.explode(steps)).where("s.state <> 'UNDEFINED' AND s.state <> ''")
-              .groupBy("job_execution_id", F.col("s.state").alias("state"))
-              .agg(F.sum("s.step").alias("n")))
-    return states
+    return marked.where(F.col("_known") | (F.col("seq") >= F.col("_created")))
+
+
+def change_sums(counted: DataFrame) -> DataFrame:
+    """Per job execution: sums of the counters, a column for each state's count, and how many are running."""
+    def count(state: str) -> Column:
+        return F.count_if(F.col("new_state") == state) - F.count_if(F.col("old_state") == state)
 
+    sums = counted.groupBy("job_execution_id").agg(
+        *[F.sum("add_" + c).alias(c) for c in COUNTERS], *[count(s).alias(s.lower()) for s in EXECUTION_STATES if s != "UNDEFINED"])
+    return with_running(sums)
 
-def job_counters_from_changes(changes: DataFrame) -> DataFrame:
-    """Counter sums per job execution from deltas."""
-    return changes.groupBy("job_execution_id").agg(*[F.sum("add_" + c).alias(c) for c in COUNTERS])
+
+def with_running(sums: DataFrame) -> DataFrame:
+    running = [F.col(s.lower()) for s in RUNNING_STATES if s != "UNDEFINED"]
+    return sums.withColumn("running", reduce(lambda a, b: a + b, running))
+
+
+def job_totals_from_changes(changes: DataFrame, known_jobs: DataFrame | None = None) -> DataFrame:
+    """Counters, state counts and running executions per job execution, from deltas."""
+    return change_sums(counted_changes(changes, known_jobs))
 
 
 def job_running_count(executions: DataFrame) -> DataFrame:
@@ -117,18 +125,11 @@ def size_summary(logs: DataFrame) -> DataFrame:
     return positive_summary(logs, "size").select("count", F.col("sum").alias("sum_bytes"))
 
 
-def page_counters(pages: DataFrame) -> DataFrame:
-    """Page, outlink, resource and cache totals of nested page logs, one row per counter.
-
-    The parts of a long page count as one page.
-    """
-    sizes = pages.select(
-        "page_id",
-        F.size("outlink").alias("outlinks"),
-        F.size("resource").alias("resources"),
-        F.size(F.filter("resource", lambda r: r["from_cache"])).alias("cached"))
-    per_page = sizes.groupBy("page_id").agg(
-        *[F.sum(c).alias(c) for c in ("outlinks", "resources", "cached")])
+def page_counters(messages: DataFrame) -> DataFrame:
+    """Page, outlink, resource and cache totals of page log messages, one row per counter."""
+    per_page = messages.groupBy("page_id").agg(
+        F.count("outlink").alias("outlinks"), F.count("resource").alias("resources"),
+        F.count_if(F.col("resource.from_cache")).alias("cached"))
     totals = per_page.agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.col("outlinks") > 0).alias("pages_with_outlinks"),

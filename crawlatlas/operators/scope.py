@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlatlas.functions.urls import PUBLIC_SUFFIXES, canonical, canonical_list, host_of, scope_anchor
+from crawlatlas.functions.urls import canonical, canonical_list, canonical_text, host_of, scope_anchor
 
 # Scope statuses.
 INCLUDE = 0
@@ -29,6 +29,9 @@ BLOCKED = -5001
 BLOCKED_BY_CUSTOM_PROCESSOR = -5002
 NO_RULE = "No scope rules matched"
 
+# Seeds whose hosts are already in canonical form but for case.
+PLAIN_SEEDS = r"^[A-Za-z0-9:/?#.&=_~+, -]*$"
+
 
 
 @dataclass(frozen=True)
@@ -129,17 +132,18 @@ def is_referrer(referrers: str | Param) -> Rule:
 
 def is_same_host(include_subdomains: str | Param = "", alt_seeds: str | Param = "",
                  suffixes: list[str] | None = None) -> Rule:
-    known = PUBLIC_SUFFIXES if suffixes is None else suffixes
-
     def seeds(c: Candidate) -> Column:
+        """Hosts as the canonicalizer writes them; only seeds that are not plain text take that way."""
         given = F.concat(_words(c.value(alt_seeds)), F.array(F.coalesce(F.col("seed_uri"), F.lit(""))))
-        return F.transform(given, host_of)
+        text = F.concat_ws(" ", given)
+        plain = text.rlike(PLAIN_SEEDS)
+        return F.transform(F.when(plain, given).otherwise(canonical_list(F.when(~plain, text))), host_of)
 
     def same(c: Candidate) -> Column:
         host, deep = c.parsed["host"], as_bool(c.value(include_subdomains))
 
         def one(seed: Column) -> Column:
-            anchor = scope_anchor(seed, known)
+            anchor = scope_anchor(seed, suffixes)
             return (host == seed) | (deep & F.concat(F.lit("."), host).endswith(F.concat(F.lit("."), anchor)))
 
         return F.exists(seeds(c), one)
@@ -165,7 +169,11 @@ def max_hops_from_seed(hops: str | Param, include_redirects: str | Param = "") -
 
 
 def is_url(urls: str | Param) -> Rule:
-    return Rule(lambda c: F.array_contains(canonical_list(c.value(urls)), c.href), (urls,))
+    """A list given as text is made canonical once, here; one from a parameter, for each different text."""
+    if isinstance(urls, Param):
+        return Rule(lambda c: F.array_contains(canonical_list(c.value(urls)), c.href), (urls,))
+    known = [canonical_text(u) for u in urls.split()]
+    return Rule(lambda c: c.href.isin(known) if known else F.lit(False), (urls,))
 
 
 def is_path_prefix(prefixes: str | Param) -> Rule:

@@ -81,7 +81,10 @@ def _rebuilt(column: Column, data_type: T.StructType, values: dict[str, Column],
             fields.append(_rebuilt(column[f.name], f.dataType, values, path + ".").alias(f.name))
         else:
             fields.append(column[f.name].alias(f.name))
-    return F.when(column.isNotNull(), F.struct(*fields))
+    # An absent parent is built when there is something to put below it.
+    below = [v for p, v in values.items() if p.startswith(prefix)]
+    given = reduce(lambda a, b: a | b, [v.isNotNull() for v in below], F.lit(False))
+    return F.when(column.isNotNull() | given, F.struct(*fields))
 
 
 def masked_update(objects: DataFrame, selected: Column, template: dict, mask: list[str], user: str,
@@ -157,16 +160,18 @@ def fail_if_empty(jobs: DataFrame, executions: DataFrame, message: str, now: Col
     joined = jobs.join(used, "id", "left")
     empty = (F.col("state") == "RUNNING") & F.col("end_time").isNull() & F.col("_used").isNull()
     return (joined.withColumn("_empty", empty)
-            .withColumn("error_msg", F.when(F.col("_empty"), F.lit(message)))
+            .withColumn("error_msg", F.when(F.col("_empty"), F.lit(message)).otherwise(
+                F.col("error_msg") if "error_msg" in jobs.columns else F.lit(None).cast("string")))
             .withColumn("state", F.when(F.col("_empty"), "FAILED").otherwise(F.col("state")))
             .withColumn("end_time", F.when(F.col("_empty"), now).otherwise(F.col("end_time"))).drop("_used", "_empty"))
 
 
 def new_executions(seeds: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """New executions for (job execution, seed) pairs; an abort already wanted on the job is inherited."""
-    wanted = jobs.select(F.col("id").alias("job_execution_id"), "job_id", F.col("desired_state").alias("_wanted"))
+    wanted = jobs.select("id", "job_id", F.col("desired_state").alias("_wanted"))
     inherited = F.when(F.col("_wanted").isin("ABORTED_MANUAL", "ABORTED_TIMEOUT", "ABORTED_SIZE"), F.col("_wanted"))
-    return seeds.join(wanted, "job_execution_id", "left").select(
+    # A broad crawl has one job execution for all of its seeds.
+    return look_up(seeds.drop("job_id"), wanted, {"job_execution_id": "id"}, ["job_id", "_wanted"]).select(
         F.concat_ws("-", "job_execution_id", "seed_id").alias("id"), F.lit("CREATED").alias("state"),
         "job_id", "seed_id", "job_execution_id", inherited.alias("desired_state"), now.alias("created_time"))
 
@@ -276,7 +281,8 @@ def due_items(items: DataFrame, now_ms: int, due: str = "due_ms") -> DataFrame:
 
 def execution_timeouts(executions: DataFrame, limits: DataFrame, now: Column) -> DataFrame:
     """Unended executions past their longest duration, now wanted ABORTED_TIMEOUT."""
-    limit = limits.select(F.col("id").alias("job_id"), "max_duration_s")
+    limit = limits.select(F.col("id").alias("_job"), "max_duration_s")
     due = F.col("created_time") + F.make_interval(secs=F.col("max_duration_s"))
     late = (F.col("max_duration_s") > 0) & (due <= now) & F.col("end_time").isNull() & F.col("state").isin(RUNNING_STATES)
-    return executions.join(limit, "job_id").where(late).withColumn("desired_state", F.lit("ABORTED_TIMEOUT"))
+    limited = look_up(executions, limit, {"job_id": "_job"}, ["max_duration_s"])
+    return limited.where(late).withColumn("desired_state", F.lit("ABORTED_TIMEOUT"))

@@ -19,12 +19,12 @@ FROM crawl_job j LEFT JOIN crawl_config c ON c.id = j.crawl_config_id LEFT JOIN
 def join_job_config_chain(spark, sf_dir):
     r = load(spark, sf_dir, "region")
     n = F.col("r_regionkey")
-    browser = r.where("r_regionkey < 2").select(
+    browser = r.select(
         F.concat(F.lit("bc"), n).alias("id"), F.concat(F.lit("agent"), n).alias("user_agent"))
-    polite = r.where("r_regionkey < 2").select(
+    polite = r.select(
         F.concat(F.lit("pol"), n).alias("id"),
         F.when(n == 0, "OBEY_ROBOTS").otherwise("IGNORE_ROBOTS").alias("robots_policy"))
-    collections = r.where("r_regionkey < 3").select(
+    collections = r.select(
         F.concat(F.lit("col"), n).alias("id"),
         F.when(n == 0, "HOURLY").when(n == 1, "DAILY").otherwise("NONE").alias("dedup_policy"))
     return J.join_job_config_chain(

@@ -28,7 +28,10 @@ def job_totals(spark, sf_dir):
 
 def deltas(spark, sf_dir):
     """Execution deltas with the state left and the state entered."""
-    changes = rowwise(spark, sf_dir, "execution_change")
+    return with_states(rowwise(spark, sf_dir, "execution_change"))
+
+
+def with_states(changes):
     old = F.when(F.col("seq") % 3 == 0, "CREATED").when(F.col("seq") % 3 == 1, "FETCHING").otherwise("UNDEFINED")
     return changes.withColumn("new_state", F.col("state")).withColumn("old_state", old)
 
@@ -37,14 +40,17 @@ _DELTAS = """
 deltas AS (SELECT *, state AS new_state, CASE seq % 3 WHEN 0 THEN 'CREATED' WHEN 1 THEN 'FETCHING' ELSE 'UNDEFINED' END AS old_state
   FROM execution_change),
 born AS (SELECT job_execution_id, min(seq) AS born FROM deltas WHERE new_state = 'CREATED' GROUP BY 1),
-live AS (SELECT d.* FROM deltas d JOIN born USING (job_execution_id) WHERE d.seq >= born),
-steps AS (SELECT job_execution_id, new_state AS state, 1 AS step FROM live
-  UNION ALL SELECT job_execution_id, old_state, -1 FROM live)
+live AS (SELECT d.* FROM deltas d JOIN born USING (job_execution_id) WHERE d.seq >= born)
 """
+_CHANGED = [s for s in EXECUTION_STATES if s != "UNDEFINED"]
+_CHANGE_SUMS = ", ".join(f"cast(sum(add_{c}) as bigint) AS {c}" for c in COUNTERS) + ", " + ", ".join(
+    f"count(*) FILTER (WHERE new_state = '{s}') - count(*) FILTER (WHERE old_state = '{s}') AS {s.lower()}" for s in _CHANGED)
+_RUNNING = "count(*) FILTER (WHERE new_state IN ({0})) - count(*) FILTER (WHERE old_state IN ({0})) AS running".format(
+    "'CREATED', 'FETCHING', 'SLEEPING'")
+JOB_CHANGES = f"WITH {_DELTAS} SELECT job_execution_id, {_CHANGE_SUMS}, {_RUNNING} FROM live GROUP BY 1"
 
 
-@query("job_totals_incremental", f"""WITH {_DELTAS}
-SELECT job_execution_id, state, cast(sum(step) as bigint) AS n FROM steps WHERE state <> 'UNDEFINED' GROUP BY ALL""")
+@query("job_totals_incremental", JOB_CHANGES)
 def job_totals_incremental(spark, sf_dir):
     return A.job_totals_from_changes(deltas(spark, sf_dir))
 
@@ -116,8 +122,7 @@ t AS (SELECT count(*) AS pages, count(*) FILTER (WHERE outlinks > 0) AS pages_wi
     cast(sum(resources - cached) as bigint) AS links_resources_notcached FROM p)
 UNPIVOT t ON COLUMNS(*) INTO NAME counter VALUE n""")
 def page_counters(spark, sf_dir):
-    return A.page_counters(pagelog.assemble_page_logs(
-        pagelog.page_log_messages(rowwise(spark, sf_dir, "browser_request"))))
+    return A.page_counters(pagelog.page_log_messages(rowwise(spark, sf_dir, "browser_request")))
 
 
 @query("queue_total", "SELECT count(*) AS n FROM queued_uri")

@@ -46,13 +46,17 @@ def sink_crawl_log(spark, sf_dir):
 
 def archived_pages(spark, sf_dir):
     base = scratch(spark, "archive")
-    pages = pagelog.assemble_page_logs(pagelog.page_log_messages(rowwise(spark, sf_dir, "browser_request")))
-    blank = F.lit(None).cast("string")
-    nested = pages.select(
-        F.col("page_id").alias("warc_id"), blank.alias("execution_id"), blank.alias("job_execution_id"),
-        F.concat(F.lit("coll "), F.substring("page_id", 2, 20).cast("bigint") % 3).alias("collection_final_name"),
-        "uri", blank.alias("referrer"), "method", "resource", "outlink")
-    L.sink_page_logs(nested, base)
+    n = F.substring("page_id", 2, 20).cast("bigint")
+    first = F.col("idx") == 0
+    requests = rowwise(spark, sf_dir, "browser_request").select(
+        "*", F.concat(F.lit("ce"), n % 50).alias("execution_id"), F.concat(F.lit("je"), n % 5).alias("job_execution_id"),
+        F.concat(F.lit("coll "), n % 3).alias("collection_final_name"), F.repeat(F.lit("L"), F.col("idx")).alias("discovery_path"),
+        (F.col("content_type") == "text/html").alias("renderable"),
+        F.when(F.col("error_code") != 0, F.concat(F.lit("failed "), "error_code")).alias("error_msg"),
+        F.when(F.col("error_code") != 0, "no detail").alias("error_detail"))
+    # A page's key is the id of its record.
+    requests = requests.withColumn("warc_id", F.when(first, F.col("page_id")).otherwise(F.col("warc_id")))
+    L.sink_page_messages(pagelog.page_log_messages(requests), base)
     return base
 
 
@@ -62,19 +66,23 @@ _PAGES = """p AS (SELECT page_id, max(url) FILTER (WHERE idx = 0) AS uri,
 
 
 @query("scan_page_log", f"""WITH {_PAGES}
-SELECT page_id AS warc_id, uri, concat('coll ', cast(substring(page_id, 2) as bigint) % 3) AS collection, outlinks, coalesce(links, '') AS links FROM p""")
+SELECT page_id AS warc_id, uri, concat('ce', cast(substring(page_id, 2) as bigint) % 50) AS execution_id,
+  concat('je', cast(substring(page_id, 2) as bigint) % 5) AS job_execution_id, '' AS referrer,
+  concat('coll ', cast(substring(page_id, 2) as bigint) % 3) AS collection, outlinks, coalesce(links, '') AS links FROM p""")
 def scan_page_log(spark, sf_dir):
     return L.scan_page_log(spark, archived_pages(spark, sf_dir)).select(
-        "warc_id", "uri", "collection", F.size("outlinks").cast("bigint").alias("outlinks"),
+        "warc_id", "uri", "execution_id", "job_execution_id", "referrer", "collection", F.size("outlinks").cast("bigint").alias("outlinks"),
         F.concat_ws(" ", "outlinks").alias("links"))
 
 
 @query("scan_resource", """
-SELECT page_id, url AS uri, warc_id, resource_type, from_cache, concat('coll ', cast(substring(page_id, 2) as bigint) % 3) AS collection
+SELECT page_id, warc_id, url AS uri, referrer, resource_type, content_type, repeat('L', idx) AS discovery_path, method, status_code,
+  from_cache, content_type = 'text/html' AS renderable, error_code, CASE WHEN error_code <> 0 THEN concat('failed ', error_code) END AS error_msg,
+  CASE WHEN error_code <> 0 THEN 'no detail' END AS error_detail, concat('coll ', cast(substring(page_id, 2) as bigint) % 3) AS collection
 FROM browser_request WHERE idx > 0 AND has_crawl_log""")
 def scan_resource(spark, sf_dir):
     return L.scan_resource(spark, archived_pages(spark, sf_dir)).select(
-        "page_id", "uri", "warc_id", "resource_type", "from_cache", "collection")
+        "page_id", *pagelog.RESOURCE_FIELDS, "collection")
 
 
 @query("sink_page_log_split", f"""WITH {_PAGES}

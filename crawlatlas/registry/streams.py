@@ -7,6 +7,7 @@ from crawlatlas.operators import updates as UP
 from crawlatlas.operators.executions import fold_changes
 from crawlatlas.registry.base import query
 from crawlatlas.registry.ordering import _RECENT, recent_rows
+from crawlatlas.registry.rollups import JOB_CHANGES, with_states
 from crawlatlas.registry.updates import _at
 from crawlatlas.schemas import COUNTERS, TERMINAL_STATES
 from crawlatlas.session import scratch
@@ -43,23 +44,14 @@ def execution_state_fold(spark, sf_dir):
 
 @query("execution_state_machine", _FOLD)
 def execution_state_machine(spark, sf_dir):
-    session = E.stateful_session(spark)
-    out = T.updated(E.state_machine(stream_of(session, sf_dir, "execution_change")), ["execution_id"], "states")
-    rows = spark.read.parquet(stored_path(out))
-    return rows.select("execution_id", "state", *[F.col(c).cast("timestamp_ntz").alias(c) for c in (
+    out = T.updated(E.state_machine(stream_of(spark, sf_dir, "execution_change")), ["execution_id"], "states")
+    return out.select("execution_id", "state", *[F.col(c).cast("timestamp_ntz").alias(c) for c in (
         "start_time", "end_time", "last_change_time")], "error_code", "desired_cleared", *COUNTERS)
 
 
-def stored_path(out):
-    """Write a result of another session to the shared folder and give its path."""
-    path = scratch(out.sparkSession, "result")
-    out.write.parquet(path)
-    return path
-
-
-@query("job_totals_stream", f"SELECT job_execution_id, {_SUMS} FROM execution_change GROUP BY 1")
+@query("job_totals_stream", JOB_CHANGES)
 def job_totals_stream(spark, sf_dir):
-    return T.updated(E.job_totals_stream(stream_of(spark, sf_dir, "execution_change")), ["job_execution_id"], "totals")
+    return E.job_totals_stream(with_states(stream_of(spark, sf_dir, "execution_change")))
 
 
 @query("watch_executions", """

@@ -104,13 +104,14 @@ WITH jobs AS (SELECT id, state, end_time FROM job_execution
   UNION ALL SELECT concat('jn', n_nationkey), CASE n_regionkey WHEN 0 THEN 'CREATED' ELSE 'RUNNING' END, NULL FROM nation),
 j AS (SELECT *, state = 'RUNNING' AND end_time IS NULL AND id NOT IN (SELECT job_execution_id FROM crawl_execution) AS empty FROM jobs)
 SELECT id, CASE WHEN empty THEN 'FAILED' ELSE state END AS state, CASE WHEN empty THEN timestamp '2024-03-01 00:00:00' ELSE end_time END AS end_time,
-  CASE WHEN empty THEN 'no seeds' END AS error_msg FROM j""")
+  CASE WHEN empty THEN 'no seeds' ELSE concat('was ', id) END AS error_msg FROM j""")
 def fail_if_empty(spark, sf_dir):
     waiting = load(spark, sf_dir, "nation").select(
         F.concat(F.lit("jn"), "n_nationkey").alias("id"),
         F.when(F.col("n_regionkey") == 0, "CREATED").otherwise("RUNNING").alias("state"),
         F.lit(None).cast("timestamp_ntz").alias("end_time"))
     jobs = job_execution(spark, sf_dir).select("id", "state", "end_time").unionByName(waiting)
+    jobs = jobs.withColumn("error_msg", F.concat(F.lit("was "), "id"))
     return U.fail_if_empty(jobs, crawl_execution(spark, sf_dir), "no seeds", _at("2024-03-01 00:00:00")).select(
         "id", "state", "end_time", "error_msg")
 
@@ -189,14 +190,13 @@ _ENDED = "state IN ('FINISHED', 'ABORTED_TIMEOUT', 'ABORTED_SIZE', 'ABORTED_MANU
 
 
 @query("reconcile_executions", f"""
-WITH q AS (SELECT execution_id, count(*) AS n, count(*) FILTER (WHERE fetch_started) AS active FROM queued_uri WHERE error_code = 0 GROUP BY 1),
+WITH q AS (SELECT execution_id, count(*) AS n, count(*) FILTER (WHERE fetch_started) AS active FROM queued_uri GROUP BY 1),
 a AS (SELECT e.id, desired_state, CASE WHEN {_ENDED} THEN 'PURGE_AND_REPAIR_JOB' WHEN {_ABORT} AND active > 0 THEN 'PURGE_PENDING_AND_WAIT'
   WHEN {_ABORT} THEN 'PURGE_AND_END' WHEN coalesce(n, 0) = 0 THEN 'FINISH' ELSE 'NONE' END AS action
   FROM crawl_execution e LEFT JOIN q ON q.execution_id = e.id)
 SELECT id, action, CASE action WHEN 'PURGE_AND_END' THEN desired_state WHEN 'FINISH' THEN 'FINISHED' END AS end_state FROM a""")
 def reconcile_executions(spark, sf_dir):
-    queue = rowwise(spark, sf_dir, "queued_uri").where("error_code = 0")
-    return U.reconcile_executions(crawl_execution(spark, sf_dir), queue).select("id", "action", "end_state")
+    return U.reconcile_executions(crawl_execution(spark, sf_dir), rowwise(spark, sf_dir, "queued_uri")).select("id", "action", "end_state")
 
 
 @query("anti_entropy", f"""

@@ -11,7 +11,7 @@ from crawlatlas.plans.admission import admit_outlinks
 from crawlatlas.registry.base import query
 from crawlatlas.registry.joins import _SHA
 from crawlatlas.sources.derived import rowwise
-from crawlatlas.sources.tables import load, spread
+from crawlatlas.sources.tables import load
 
 _C = """c AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS href, split_part(url, '://', 1) AS scheme,
   regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
@@ -135,7 +135,7 @@ _ENCODED = "concat(site, '/', replace(url_encode(substring(href, 2)), '%2C', ','
 
 @query("extract_outlinks", f"SELECT DISTINCT page_id, {_ENCODED} AS uri FROM link")
 def extract_outlinks(spark, sf_dir):
-    return H.extract_outlinks(spread(load(spark, sf_dir, "pages"))).select("page_id", "uri")
+    return H.extract_outlinks(load(spark, sf_dir, "pages")).select("page_id", "uri")
 
 
 @query("outlink_rows", f"""
@@ -145,7 +145,7 @@ def outlink_rows(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     n = F.col("page_id") % 3
     roots = pages.select("page_id", "url", F.when(n == 0, "").when(n == 1, "R").otherwise("LR").alias("discovery_path"))
-    return H.outlink_rows(H.extract_outlinks(spread(pages)), roots)
+    return H.outlink_rows(H.extract_outlinks(pages), roots)
 
 
 def admission_input(spark, sf_dir):
@@ -189,7 +189,7 @@ SELECT page_id, uri, concat('ce', page_id % 20) AS execution_id, page_id % 9 + 1
 FROM s""")
 def admit(spark, sf_dir):
     parents, dns, robots = admission_input(spark, sf_dir)
-    outlinks = H.extract_outlinks(spread(load(spark, sf_dir, "pages")))
+    outlinks = H.extract_outlinks(load(spark, sf_dir, "pages"))
     rows = admit_outlinks(outlinks, parents, dns, robots, scope_default(), "crawler")
     return rows.select("page_id", "uri", "execution_id", "sequence", "decision", "reason", "for_retry",
                        "priority_weight", "crawl_host_group_id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlatlas.sources.tables import load, spread
+from crawlatlas.sources.tables import load
 
 _MS = ("unix_millis(cast(ts as timestamp))", "(epoch_us(ts) // 1000)")
 
@@ -283,7 +283,7 @@ def rowwise_sql(name: str) -> str:
 
 def scope_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate URLs with their parameters as a map."""
-    c = derive(spread(load(spark, sf_dir, "events").select("event_id", "user_id")), "scope_check")
+    c = derive(load(spark, sf_dir, "events").select("event_id", "user_id"), "scope_check")
     names = {"scope_allowedSchemes": "p_schemes", "scope_includeSubdomains": "p_subs", "scope_altSeeds": "p_alt",
              "scope_maxHopsFromSeed": "p_hops", "scope_hopsIncludeRedirects": "p_redirects",
              "scope_excludedUris": "p_excluded"}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlatlas import schemas
-from crawlatlas.operators.pagelog import decode_outlinks, split_page_logs
+from crawlatlas.operators.pagelog import archive_rows, decode_outlinks, split_page_logs
 
 ROWS_PER_FILE = 100_000
 TABLES = {"crawl_log": schemas.CRAWL_LOG, "page_log": schemas.PAGE_LOG, "resource": schemas.RESOURCE}
@@ -88,6 +88,13 @@ def sink_page_logs(pages: DataFrame, base: str, rows_per_file: int = ROWS_PER_FI
     write_table(resource, base, "resource", rows_per_file=rows_per_file, mode=mode)
 
 
+def sink_page_messages(messages: DataFrame, base: str, rows_per_file: int = ROWS_PER_FILE, mode: str = "append") -> None:
+    """Write the messages of page loads as page rows and resource rows, without nesting them."""
+    page, resource = archive_rows(messages)
+    write_table(page, base, "page_log", rows_per_file=rows_per_file, mode=mode)
+    write_table(resource, base, "resource", rows_per_file=rows_per_file, mode=mode)
+
+
 def listing(spark: SparkSession, base: str, table: str) -> DataFrame:
     """Finished files of a table with their row count and modification time."""
     files = _scan(spark, base, table, plain_layout=False)

@@ -9,12 +9,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; projections and filters reach the scan through Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy Python work when the input has very few splits.
-
-    A table of many files already has more splits than cores and is left alone,
-    so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

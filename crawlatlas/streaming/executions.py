@@ -2,92 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from crawlatlas.operators.rollups import change_sums, counted_changes, with_running
 from crawlatlas.schemas import ABORT_STATES, COUNTERS, TERMINAL_STATES
 from crawlatlas.session import scratch
-from crawlatlas.streaming.tables import run_available, write_batch
-
-STATE = ("state string, start_time timestamp, end_time timestamp, last_change_time timestamp, error_code int, "
-         "desired_cleared boolean, " + ", ".join(f"{c} bigint" for c in COUNTERS))
-OUTPUT = "execution_id string, " + STATE
-_FIELDS = [f.strip().split()[0] for f in STATE.split(",")]
-
-
-def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application with the state store that stateful processors need."""
-    session = spark.newSession()
-    session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.streaming.stateStore.providerClass",
-                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # Every partition keeps a store and a Python worker busy, so more than a few per core only cost.
-    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    session.conf.set("spark.sql.shuffle.partitions", min(asked, 2 * spark.sparkContext.defaultParallelism))
-    return session
-
-
-class ExecutionStateMachine(StatefulProcessor):
-    """Keeps one row per execution; the changes of a batch pass through, they are not kept."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("execution", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = dict(zip(_FIELDS, self.stored.get())) if self.stored.exists() else {
-            **dict.fromkeys(_FIELDS), "state": "CREATED", "desired_cleared": False, **dict.fromkeys(COUNTERS, 0)}
-        for batch in rows:
-            for change in batch.sort_values("seq").to_dict("records"):
-                apply_change(now, change)
-        self.stored.update(tuple(now[f] for f in _FIELDS))
-        out = pd.DataFrame([{"execution_id": key[0], **now}])
-        out["error_code"] = out["error_code"].astype("Int32")
-        for c in ("start_time", "end_time", "last_change_time"):
-            out[c] = pd.to_datetime(out[c])
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-def apply_change(now: dict, change: dict) -> None:
-    """One change of one execution, in place."""
-    state = change["state"]
-    if state == "CREATED":
-        return
-    at = change["change_time"]
-    ended = now["state"] in TERMINAL_STATES
-    end = None if pd.isna(change["end_time"]) else change["end_time"]
-    if end is not None and not (ended and now["end_time"] is not None):
-        now["end_time"] = end
-    if not ended and (state in TERMINAL_STATES or state in ("FETCHING", "SLEEPING")):
-        now["state"] = state
-    if now["start_time"] is None and (state == "FETCHING" or state in TERMINAL_STATES):
-        now["start_time"] = at
-    now["last_change_time"] = at
-    if not pd.isna(change["error_code"]):
-        now["error_code"] = int(change["error_code"])
-    now["desired_cleared"] = now["desired_cleared"] or state in ABORT_STATES
-    for c in COUNTERS:
-        now[c] += int(change["add_" + c])
-
+from crawlatlas.streaming.tables import batches, earlier, run_available, write_batch
 
 def state_machine(changes: DataFrame) -> DataFrame:
-    """Stream of execution rows, one per execution that a batch changed."""
-    timed = changes
+    """Stream of execution rows, one per execution that a batch changed.
+
+    The rules come down to first and last values by sequence number (see ``fold_changes``), so the
+    state is a built-in aggregate: changes of one execution are combined before they are shuffled,
+    and changes that arrive late, in any batch, take their place by number. Only which end time
+    holds depends on the first terminal change; the few changes with an end time are kept for that.
+    """
+    timed = changes.where(F.col("state") != "CREATED")
     for c in ("change_time", "end_time"):
         timed = timed.withColumn(c, F.col(c).cast("timestamp"))
-    return timed.groupBy("execution_id").transformWithStateInPandas(
-        ExecutionStateMachine(), OUTPUT, "Update", "None")
+    terminal, seq = F.col("state").isin(TERMINAL_STATES), F.col("seq")
+    moves = F.col("state").isin("FETCHING", "SLEEPING")
+    folded = timed.groupBy("execution_id").agg(
+        F.coalesce(F.min_by("state", F.when(terminal, seq)), F.max_by("state", F.when(moves, seq)),
+                   F.lit("CREATED")).alias("state"),
+        F.min(F.when(terminal, seq)).alias("_ended"),
+        F.array_sort(F.collect_set(F.when(F.col("end_time").isNotNull(), F.struct("seq", "end_time")))).alias("_ends"),
+        F.min_by("change_time", F.when(terminal | (F.col("state") == "FETCHING"), seq)).alias("start_time"),
+        F.max_by("change_time", seq).alias("last_change_time"),
+        F.max_by("error_code", F.when(F.col("error_code").isNotNull(), seq)).alias("error_code"),
+        F.coalesce(F.bool_or(F.col("state").isin(ABORT_STATES)), F.lit(False)).alias("desired_cleared"),
+        *[F.sum("add_" + c).alias(c) for c in COUNTERS])
+    ended = F.col("_ended")
+    in_time = F.filter("_ends", lambda e: ended.isNull() | (e["seq"] <= ended))
+    later = F.filter("_ends", lambda e: e["seq"] > ended)
+    end = F.coalesce(F.get(in_time, F.size(in_time) - 1), F.get(later, F.lit(0)))["end_time"]
+    return folded.select("execution_id", "state", "start_time", end.alias("end_time"), "last_change_time", "error_code",
+                         "desired_cleared", *COUNTERS)
 
 
 def job_totals_stream(changes: DataFrame) -> DataFrame:
-    """Counter sums per job execution, for update mode."""
-    return changes.groupBy("job_execution_id").agg(*[F.sum("add_" + c).alias(c) for c in COUNTERS])
+    """Counters, state counts and running executions per job execution after the changes there are.
+
+    Changes count from the one on that creates their job execution. Each batch writes its sums and the
+    jobs it saw created; a batch knows those that earlier ones wrote.
+    """
+    spark = changes.sparkSession
+    path = scratch(spark, "totals")
+    created = changes.select(F.col("job_execution_id").alias("id")).schema
+
+    def each(rows: DataFrame, batch: int) -> None:
+        counted = counted_changes(rows, earlier(spark, path, "created", batch, created))
+        write_batch(change_sums(counted).drop("running"), path, "sums", batch)
+        new = rows.where(F.col("new_state") == "CREATED").select(F.col("job_execution_id").alias("id")).distinct()
+        write_batch(new, path, "created", batch)
+
+    run_available(changes, each, path)
+    if not batches(spark, path, "sums"):
+        return change_sums(spark.createDataFrame([], changes.schema))
+    sums = spark.read.parquet(f"{path}/sums").drop("batch")
+    names = [c for c in sums.columns if c != "job_execution_id"]
+    return with_running(sums.groupBy("job_execution_id").agg(*[F.sum(c).alias(c) for c in names]))
 
 
 def watch(changes: DataFrame, condition, delay: str = "1 hour") -> DataFrame:
@@ -110,4 +85,6 @@ def watch_with_initial(changes: DataFrame, current: DataFrame, condition) -> Dat
         write_batch(found, path, "out", batch)
 
     run_available(changes, each, path)
+    if not batches(spark, path, "out"):  # nothing came in, the snapshot still goes out
+        return current.where(condition).withColumn("initial", F.lit(True))
     return spark.read.parquet(f"{path}/out").select(*columns, "initial")

@@ -47,8 +47,10 @@ def recent_window(stream: DataFrame, crawl: int, page: int) -> DataFrame:
         write_batch(retain(replace_rewritten(before.unionByName(rows)), crawl, page), path, "window", batch)
 
     run_available(stream, each, path)
-    newest = batches(spark, path, "window")[-1]
-    return spark.read.schema(stream.schema).parquet(batch_dir(path, "window", newest))
+    written = batches(spark, path, "window")
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(batch_dir(path, "window", written[-1]))
 
 
 def already_seen_stream(stream: DataFrame, order: str, ended_jobs: DataFrame | None = None) -> DataFrame:

@@ -54,14 +54,38 @@ def test_outlinks_round_trip(spark):
     assert got["q"] == ("", [])
 
 
-def test_long_pages_continue_in_parts(spark):
-    rows = spark.range(25).select(
-        F.lit("p").alias("page_id"), F.col("id").alias("seq"), F.lit("u").alias("uri"), F.lit("GET").alias("method"),
-        F.lit("w").alias("warc_id"), F.lit(None).cast(PL.RESOURCE_TYPE).alias("resource"),
-        F.concat(F.lit("l"), F.lpad("id", 2, "0")).alias("outlink"))
-    parts = PL.assemble_page_logs(rows, part_size=10).orderBy("part").collect()
-    assert [len(p["outlink"]) for p in parts] == [10, 10, 5]
-    assert [x for p in parts for x in p["outlink"]] == [f"l{i:02d}" for i in range(25)]
+def page_requests(spark, n):
+    """A page with n requests, of which the first is the page itself."""
+    i = F.col("id")
+    return spark.range(n).select(
+        F.lit("p").alias("page_id"), i.alias("seq"), i.cast("int").alias("idx"), F.concat(F.lit("u"), i).alias("url"),
+        F.lit("GET").alias("method"), F.concat(F.lit("w"), i).alias("warc_id"), F.lit(True).alias("has_crawl_log"),
+        F.when(i % 2 == 0, "Script").otherwise("Image").alias("resource_type"), F.lit(False).alias("from_cache"),
+        F.lit("e").alias("execution_id"), F.lit("j").alias("job_execution_id"), F.lit("r").alias("referrer"),
+        F.lit("c").alias("collection_final_name"), F.lit(404).alias("status_code"), F.lit("image/png").alias("content_type"),
+        F.lit("L").alias("discovery_path"), F.lit(True).alias("renderable"), F.lit(-5).alias("error_code"),
+        F.lit("m").alias("error_msg"), F.lit("d").alias("error_detail"))
+
+
+def test_long_pages_keep_every_resource(spark):
+    n = 60_001
+    messages = PL.page_log_messages(page_requests(spark, n))
+    page, resource = PL.archive_rows(messages)
+    row = page.first()
+    assert page.count() == 1 and len(parsed(row["outlinks"])) == n // 2
+    assert (row["uri"], row["warc_id"], row["execution_id"], row["job_execution_id"], row["referrer"],
+            row["collection_final_name"]) == ("u0", "w0", "e", "j", "r", "c")
+    assert resource.count() == n - 1
+    assert resource.select("page_id", "collection_final_name").distinct().collect() == [("w0", "c")]
+    nested = PL.assemble_page_logs(PL.page_log_messages(page_requests(spark, 25))).first()
+    assert [r["uri"] for r in nested["resource"]] == [f"u{i}" for i in range(1, 25)]
+    assert tuple(nested["resource"][0]) == ("w1", "u1", "r", "Image", "image/png", "L", "GET", 404, False, True, -5, "m", "d")
+
+
+def parsed(text):
+    import json
+
+    return json.loads(text)
 
 
 def test_yaml_import(spark):

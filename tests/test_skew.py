@@ -57,9 +57,7 @@ def test_a_hot_key_is_spread_over_tasks(rows):
     assert len(per_task) > 1
 
 
-def test_large_groups_are_sliced(rows, monkeypatch):
-    assert ordered.fits_windows(rows, ["key"]) and not ordered.fits_windows(rows, ["key"], 100)
-    monkeypatch.setattr(ordered, "fits_windows", lambda df, keys: False)
+def test_large_groups_are_sliced(rows):
     got = ordered.row_numbers(rows, ["key"], [F.col("seq"), F.col("id")], "n")
     assert got.where("key = 'hot'").agg(F.max("n"), F.count_distinct("n")).first() == (
         rows.where("key = 'hot'").count(),) * 2

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlatlas.operators.executions import fold_changes
+from crawlatlas.operators.rollups import job_totals_from_changes
 from crawlatlas.operators.frontier import already_seen, revisit_mark
 from crawlatlas.operators.recent import replace_rewritten, retain
 from crawlatlas.session import scratch
@@ -55,14 +56,42 @@ def test_state_machine_golden(changes):
 
 
 def test_state_machine_stream(spark, changes):
-    session = E.stateful_session(spark)
-    stream = batches(session, changes, 3, "seq")
+    stream = batches(spark, changes, 3, "seq")
     out = T.updated(E.state_machine(stream), ["execution_id"], "states")
     columns = fold_changes(changes).columns
     got = out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c.endswith("_time") else F.col(c) for c in columns])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold_changes(changes).collect()))
 
 
+def test_state_machine_over_shuffled_batches(spark):
+    """30 000 changes of one execution, shuffled over batches, lead where they lead in order."""
+    i = F.col("id")
+    states = F.element_at(F.array(*[F.lit(s) for s in ("FETCHING", "SLEEPING", "UNDEFINED", "CREATED", "FETCHING")]), (i % 5 + 1).cast("int"))
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + i).cast("timestamp_ntz")
+    state = F.when(i == 20_011, "FAILED").when(i == 25_000, "FINISHED").otherwise(states)
+    rows = spark.range(30_000).select(
+        F.lit("x").alias("execution_id"), F.lit("j").alias("job_execution_id"), i.alias("seq"), state.alias("state"),
+        at.alias("change_time"), F.when(i % 4999 == 0, at).alias("end_time"),
+        *[(i % 3).alias(c.split()[0]) for c in CHANGE.split(", ") if c.startswith("add_")],
+        F.when(i % 7001 == 5, i.cast("int")).alias("error_code"), F.xxhash64(i).alias("shuffled"))
+    want = fold_changes(rows.drop("shuffled")).first()
+    for n in (1, 3):
+        stream = batches(spark, rows, n, "shuffled").drop("shuffled")
+        got = T.updated(E.state_machine(stream), ["execution_id"], "states")
+        got = got.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c.endswith("_time") else F.col(c)
+                           for c in fold_changes(rows).columns]).first()
+        assert tuple(got) == tuple(want) and got["state"] == "FAILED"
+
+
+def test_job_totals_over_batches(spark, changes):
+    old = F.when(F.col("state") == "CREATED", "UNDEFINED").otherwise("CREATED")
+    rows = changes.withColumn("new_state", F.col("state")).withColumn("old_state", old).withColumn(
+        "job_execution_id", F.when(F.col("execution_id") == "d", "unknown").otherwise("j"))
+    want = {r["job_execution_id"]: r.asDict() for r in job_totals_from_changes(rows).collect()}
+    got = {r["job_execution_id"]: r.asDict() for r in E.job_totals_stream(batches(spark, rows, 3, "seq")).collect()}
+    assert got == want and set(want) == {"j"} and want["j"]["documents_crawled"] == sum(range(1, 14))
+
+
 def test_recent_window(spark):
     rows = spark.createDataFrame([
         ("crawl", "crawl-1", "e", 1, "a"), ("crawl", "crawl-2", "e", 2, "b"), ("crawl", "crawl-3", "e", 3, "c"),
