@@ -33,6 +33,8 @@ import hashlib
 import math
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlatlas.llm.common import Bounded, materialize
+from crawlatlas.llm.common import CHUNK, materialize
 from crawlatlas.llm.components import components
 
 #: Ratio of the sizes in a band, rows that make a subset hot, documents that one task reduces together.
@@ -65,25 +67,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = Bounded(xxhash.xxh64_intdigest, 400_000)
-
-
-def hashed(text: bytes | None, n: int) -> np.ndarray:
-    """Different 64-bit hashes of a text's shingles, in ascending order."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
+def hashed(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Different 64-bit hashes of each text's shingles, in ascending order."""
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
     with np.errstate(over="ignore"):
-        w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-        if len(words) < n:
-            h = np.full(1, len(words), np.uint64)
-            for x in w:
-                h = _mix(h * ODD + x)
-            return h
-        h = np.full(len(w) - n + 1, n + 1000, np.uint64)
+        w = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+        # Runs of n words from each place on; those that cross the end of a text are left out below.
+        h = np.full(max(0, len(w) - n + 1), n + 1000, np.uint64)
         for i in range(n):
-            h = _mix(h * ODD + w[i:len(w) - n + 1 + i])
-        return np.unique(h)
+            h = _mix(h * ODD + w[i:i + len(h)])
+        out = []
+        for size, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+            if size >= n:
+                own = np.sort(h[end - size:end - n + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            elif size:
+                whole = np.full(1, size, np.uint64)
+                for x in w[end - size:end]:
+                    whole = _mix(whole * ODD + x)
+                out.append(whole)
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 @dataclass(frozen=True)
@@ -198,12 +205,12 @@ def described(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text")
     def run(batches):
         for batch in batches:
             sizes, p1, p2 = [], [], []
-            for t in batch.column(1).to_pylist():
-                h = hashed(t, n)
-                digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-                sizes.append(len(h))
-                p1.append(int.from_bytes(digest[:8], "little", signed=True))
-                p2.append(int.from_bytes(digest[8:], "little", signed=True))
+            for at in range(0, batch.num_rows, CHUNK):
+                for h in hashed(batch.column(1).slice(at, CHUNK).to_pylist(), n):
+                    digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+                    sizes.append(len(h))
+                    p1.append(int.from_bytes(digest[:8], "little", signed=True))
+                    p2.append(int.from_bytes(digest[8:], "little", signed=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, p1, p2))],
                                              ["doc", "size", "p1", "p2"])
 
@@ -235,10 +242,12 @@ def subset_rows(docs: DataFrame, scheme: Scheme, n: int, key: str, text: str) ->
 
         ids, sets, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sets.append(hashed(t.as_py(), n))
-                ids.append(i)
-                size += len(sets[-1])
+            for at in range(0, batch.num_rows, CHUNK // 4):
+                part = batch.slice(at, CHUNK // 4)
+                new = hashed(part.column(1).to_pylist(), n)
+                sets += new
+                ids += part.column(0).to_pylist()
+                size += sum(map(len, new))
                 if len(ids) >= TOGETHER or size > 600 * TOGETHER:
                     yield some(ids, sets)
                     ids, sets, size = [], [], 0
@@ -265,15 +274,14 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction, key:
     both = left.join(texts, F.col("b") == F.col("t_doc")).select("a", "b", "a_text", F.col("t").alias("b_text"))
 
     def run(batches):
+        # Pairs come grouped by one side, and few other texts meet it.
+        set_of = lru_cache(maxsize=64)(lambda t: shingles(words_of(t), n))
         for batch in batches:
-            keep, last, own = [], None, set()
+            keep = []
             for i in range(batch.num_rows):
-                mine, other = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if mine != last:
-                    last, own = mine, shingles(words_of(mine), n)
-                others = shingles(words_of(other), n)
-                common = len(own & others)
-                keep.append(common > 0 and under * common >= over * (len(own) + len(others) - common))
+                x, y = set_of(batch.column(2)[i].as_py()), set_of(batch.column(3)[i].as_py())
+                common = len(x & y)
+                keep.append(common > 0 and under * common >= over * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long").distinct()
