@@ -14,10 +14,13 @@ all of them (its group is then one of near copies). ``allocate`` takes the r of
 histogram of sizes over all documents.
 
 What meets in a subset is first compared with its smallest document only, a star. Links found make
-components. Only subsets that still hold several components are looked at again, and there all
-pairs of different components are compared, so that no link between documents is lost, while copies
-and near copies cost a number of comparisons in proportion to their number. Each comparison is exact,
-on the words themselves.
+components. Subsets that still hold several components are looked at again: there, documents of
+different components are compared by parity sketches, of which no more bits can differ than shingles
+do. Sketches are compared inside a task, in blocks of at most ``BLOCK`` documents a side, so no pair
+leaves it that is not near. First a forest of the nearest ones is followed up, which is fewer pairs than
+rows; with the components that it makes, all near pairs that are left. So no link is lost, while copies
+and near copies cost comparisons of words in proportion to their number. What is taken for a link is
+compared exactly, on the words themselves.
 
 Before rows are shuffled by subset, each task reduces those of equal subset to one, so a subset that
 a third of all documents share is not a third of the rows of one task.
@@ -47,6 +50,8 @@ from crawlatlas.llm.components import components
 
 #: Ratio of the sizes in a band, rows that make a subset hot, documents that one task reduces together.
 RATIO, HOT, TOGETHER = 1.5, 48, 2048
+#: Documents a side that one task compares by sketches; bits of a sketch.
+BLOCK, BITS = 4096, 2048
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,23 +204,131 @@ def rows_of(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, ...]:
     return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(tags)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the numbers of tokens that fall on each bit."""
+    with np.errstate(over="ignore"):
+        at = (_mix(tokens * ODD + np.uint64(7)) >> np.uint64(30)) % np.uint64(BITS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def near_in_unit(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks: np.ndarray, bits: np.ndarray,
+                 threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second place, and differing bits, of the near pairs of different components in a unit.
+
+    ``own`` tells the two blocks of a unit apart; rows of one block are compared with each other only
+    if the unit has no other.
+    """
+    first, second, bit_counts = [], [], []
+    parts, whole = threshold.numerator, threshold.numerator + threshold.denominator
+    crossed = len(own) and own.min() != own.max()
+    for at in range(0, len(size), 32):
+        one, rest = slice(at, at + 32), slice(at + 1, None)
+        differ = np.bitwise_count(bits[one, None, :] ^ bits[None, rest, :]).sum(axis=2, dtype=np.int64)
+        both = size[one, None] + size[None, rest]
+        good = differ <= both - 2 * -(-both * parts // whole)
+        good &= component[one, None] != component[None, rest]
+        good &= ~(asks[one, None] & asks[None, rest])
+        if crossed:
+            good &= own[one, None] != own[None, rest]
+        i, j = np.nonzero(good)
+        later = j + 1 > i
+        first.append(at + i[later])
+        second.append(at + 1 + j[later])
+        bit_counts.append(differ[i[later], j[later]])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second, bit_counts))
+
+
+def forest(first: np.ndarray, second: np.ndarray, distance: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Places of pairs, nearest first, of which each joins components that those before it do not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k in np.argsort(distance, kind="stable").tolist():
+        a, b = root(int(component[first[k]])), root(int(component[second[k]]))
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def near_pairs(rows: DataFrame, threshold: Fraction, only_forest: bool, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of different components that share a subset and whose sketches are near.
+
+    ``rows`` are key, rep, size, component, asks, sketch and shared (the rows of the key).
+    """
+    blocks = F.ceil(F.col("shared") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    units = rows.withColumn("own", own).select("*", other.alias("other")).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
+        "own", "rep", "size", "component", "asks", "sketch")
+
+    def run(batches):
+        unit, held = None, []
+
+        def pairs():
+            own, rep, size, component, asks, bits = (np.concatenate(c) for c in zip(*held, strict=True))
+            a, b, distance = near_in_unit(own, size, component, asks, bits, threshold)
+            if only_forest and len(a) > 1:
+                kept = forest(a, b, distance, component)
+                a, b = a[kept], b[kept]
+            return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
+
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out():
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            found.clear()
+            both = np.unique(np.stack([a, b]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(0).to_numpy()
+            bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)] + [bits]
+            cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])).tolist()
+            for x, y in zip(cuts, [*cuts[1:], len(number)], strict=True):
+                if number[x] != unit:
+                    if len(held) > 1 or held and len(held[0][0]) > 1:
+                        found.append(pairs())
+                        if sum(len(f[0]) for f in found) > 100_000:
+                            yield out()
+                    unit, held = number[x], []
+                held.append([c[x:y] for c in columns])
+        if held:
+            found.append(pairs())
+        if found:
+            yield out()
+
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
+
+
 def described(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc (key), size (of its set) and p1, p2 (128 bits that name the set)."""
+    """doc (key), size (of its set), p1, p2 (128 bits that name the set) and its sketch."""
 
     def run(batches):
         for batch in batches:
-            sizes, p1, p2 = [], [], []
+            sizes, p1, p2, sketches = [], [], [], []
             for at in range(0, batch.num_rows, CHUNK):
                 for h in hashed(batch.column(1).slice(at, CHUNK).to_pylist(), n):
                     digest = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
                     sizes.append(len(h))
                     p1.append(int.from_bytes(digest[:8], "little", signed=True))
                     p2.append(int.from_bytes(digest[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, p1, p2))],
-                                             ["doc", "size", "p1", "p2"])
+                    sketches.append(sketch(h))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, p1, p2)), pa.array(sketches, pa.binary())],
+                ["doc", "size", "p1", "p2", "sketch"])
 
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        run, "doc long, size long, p1 long, p2 long")
+        run, "doc long, size long, p1 long, p2 long, sketch binary")
 
 
 def subset_rows(docs: DataFrame, scheme: Scheme, n: int, key: str, text: str) -> DataFrame:
@@ -325,8 +438,10 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     keyed = known.where(F.col("doc").isNotNull() & (F.col("size") > 0))
 
     # Sets that are equal are one class, named by its smallest document.
-    classes = keyed.groupBy("p1", "p2", "size").agg(F.min("doc").alias("rep"))
-    of_class = materialize(keyed.join(classes, ["p1", "p2", "size"]).select("doc", "rep", "size").distinct(), "classes")
+    classes = materialize(keyed.groupBy("p1", "p2", "size").agg(F.min(F.struct("doc", "sketch")).alias("m")).select(
+        "p1", "p2", "size", F.col("m.doc").alias("rep"), "m.sketch"), "classes")
+    of_class = materialize(keyed.drop("sketch").join(classes.drop("sketch"), ["p1", "p2", "size"])
+                           .select("doc", "rep", "size").distinct(), "members")
 
     band = F.udf(band_of, "int")
     counted = keyed.groupBy("size").agg(F.count(F.lit(1)).alias("sets"))
@@ -350,20 +465,24 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     links = materialize(links.unionByName(same), "links")
     joined = components(links)
 
-    # Subsets that still hold different components: the pairs of these, once.
-    placed = kept.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "key", "rep", "size", F.coalesce("component", "rep").alias("component"),
-        (F.col("tag").bitwiseAND(2) != 0).alias("asks"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    rest = materialize(placed.join(mixed.select("key"), "key"), "rest")
-    sides = [rest.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "size", "component", "asks")]) for side in "ab"]
-    pairs = sides[0].join(sides[1], "key").where(
-        (F.col("a_rep") < F.col("b_rep")) & (F.col("a_component") != F.col("b_component"))
-        & ~(F.col("a_asks") & F.col("b_asks")))
-    pairs = _fitting(pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"), "a_size", "b_size"), threshold).distinct()
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        joined = components(links.unionByName(linked(docs, pairs, n, threshold, key, text)))
+    # Subsets that still hold different components, first by a forest, then by all that is near.
+    sketches = classes.select(F.col("rep").alias("s_rep"), F.col("size").alias("s_size"), "sketch")
+    known_pairs = stars
+    for only_forest in (True, False):
+        placed = kept.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+            "key", "rep", "size", F.coalesce("component", "rep").alias("component"),
+            (F.col("tag").bitwiseAND(2) != 0).alias("asks"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                          F.count(F.lit(1)).alias("shared")).where("lo != hi").select("key", "shared")
+        rest = placed.join(mixed, "key").join(
+            sketches, (F.col("rep") == F.col("s_rep")) & (F.col("size") == F.col("s_size")))
+        pairs = near_pairs(rest, threshold, only_forest).join(known_pairs, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        links = materialize(links.unionByName(linked(docs, pairs, n, threshold, key, text)), "links")
+        joined = components(links)
+        known_pairs = known_pairs.unionByName(pairs)
 
     reps = of_class.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy(
         F.col("doc").alias("c_doc")).agg(F.min(F.coalesce("component", "rep")).alias("component"))
