@@ -22,8 +22,9 @@ rows; with the components that it makes, all near pairs that are left. So no lin
 and near copies cost comparisons of words in proportion to their number. What is taken for a link is
 compared exactly, on the words themselves.
 
-Before rows are shuffled by subset, each task reduces those of equal subset to one, so a subset that
-a third of all documents share is not a third of the rows of one task.
+Rows travel packed, about eight bytes each. Before they are shuffled by subset, each task reduces those
+of equal subset to one, so a subset that a third of all documents share is not a third of the rows of
+one task.
 
 Defined results: a text with fewer words than a shingle is one shingle; null text and text without
 words has none and is linked with nothing; equal rows are linked; rows with a null key take no part in
@@ -42,7 +43,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlatlas.llm.common import CHUNK, materialize
@@ -50,8 +51,12 @@ from crawlatlas.llm.components import components
 
 #: Ratio of the sizes in a band, rows that make a subset hot, documents that one task reduces together.
 RATIO, HOT, TOGETHER = 1.5, 48, 2048
-#: Documents a side that one task compares by sketches; bits of a sketch.
-BLOCK, BITS = 4096, 2048
+#: Documents a side that one task compares by sketches; least bits of a sketch, and bits a shingle;
+#: what a comparison by sketches costs, a row being 1.
+BLOCK, BITS, WIDTH, COMPARED = 4096, 2048, 3, 0.05
+SEGMENTS = 4096
+#: Bands that a key has numbers for, up to 10^11 shingles.
+BANDS = 63
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,11 +116,10 @@ class Scheme:
     threshold: Fraction
     bands: dict[int, Band]
 
-    def roles(self, size: int) -> list[tuple[Band, bool]]:
-        """The bands in which a set has rows, and whether it is indexed there or only asks."""
-        own = band_of(size)
+    def roles(self, size: int) -> list[Band]:
+        """The bands in which a set has rows: its own, and those in which it asks."""
         least = math.ceil(self.threshold * size)
-        return [(self.bands[b], b == own) for b in range(band_of(max(1, least)), own + 1) if b in self.bands]
+        return [self.bands[b] for b in range(band_of(max(1, least)), band_of(size) + 1) if b in self.bands]
 
 
 def band_of(size: int) -> int:
@@ -146,34 +150,36 @@ def allocate(sizes: dict[int, tuple[int, int]], threshold: Fraction) -> Scheme:
     for b, (sets, total) in sizes.items():
         segments = most_different(b, threshold) + 1
         each = total / max(1, sets) / segments
-        empty = segments * math.exp(-each)
         best = None
-        for near in range(0, min(segments, 40) + 1):
+        for near in range(0, min(segments, 60) + 1):
+            # Dear are empty segments, and with a neighbourhood those of one shingle, which count twice.
+            empty = math.exp(-each) * (segments - near + 2 * near * (1 + each))
             over, term = 1.0, math.exp(-empty)
             for k in range(near + 1):
                 over -= term
                 term *= empty / (k + 1)
             over = max(over, 0.0)
-            cost = near * (each + 1) + over * empty * min(max(0, sets * over * math.exp(-each)), sets)
+            cost = near * (each + 1) + COMPARED * over * empty * sets * over * math.exp(-each)
             if best is None or cost < best[0]:
                 best = (cost, near)
         bands[b] = Band(b, segments, best[1])
     return Scheme(threshold, bands)
 
 
-def rows_of(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, ...]:
-    """Key, owner (position in ``sets``) and tag of all subset rows.
+def rows_of(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Key and owner (position in ``sets``) of all subset rows.
 
-    A tag is band * 2^40 + segment * 4 + 2 if the set only asks in that band + 1 for a neighbour.
+    A key has the band (6 bits), the segment (12 bits, the last number standing for all beyond) and
+    40 bits of the subset's hash. Keys that are equal by chance only cost a comparison.
     """
-    groups: dict[tuple[int, bool], list[int]] = {}
+    groups: dict[int, list[int]] = {}
     for i, s in enumerate(sets):
         if len(s):
-            for band, indexed in scheme.roles(len(s)):
-                groups.setdefault((band.number, indexed), []).append(i)
-    keys, owners, tags = [], [], []
+            for band in scheme.roles(len(s)):
+                groups.setdefault(band.number, []).append(i)
+    keys, owners = [], []
     with np.errstate(over="ignore"):
-        for (number, indexed), members in groups.items():
+        for number, members in groups.items():
             band = scheme.bands[number]
             if band.segments == 1 and not band.near:
                 continue  # only equal sets can be similar, and those are found by their name
@@ -187,28 +193,40 @@ def rows_of(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, ...]:
             starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             sums = np.zeros(len(members) * band.segments, np.uint64)
             sums[place[starts]] = np.add.reduceat(value, starts)
-            salts = _mix((np.arange(band.segments, dtype=np.uint64) + np.uint64((number << 32) + 1)) * ODD)
+            numbers = np.arange(band.segments, dtype=np.uint64)
+            salts = _mix((numbers + np.uint64((number << 32) + 1)) * ODD)
+            heads = np.uint64(number << 52) | np.minimum(numbers, np.uint64(SEGMENTS - 1)) << np.uint64(40)
             all_segments = np.tile(np.arange(band.segments), len(members))
-            tag = (number << 40) + (0 if indexed else 2)
-            keys.append(_mix(sums + salts[all_segments]))
+            keys.append(_mix(sums + salts[all_segments]) >> np.uint64(24) | heads[all_segments])
             owners.append(np.repeat(np.array(members), band.segments))
-            tags.append(all_segments * 4 + tag)
             if band.near:
                 own_segment = place % band.segments
                 held = own_segment < band.near
-                keys.append(_mix(sums[place[held]] - value[held] + salts[own_segment[held]]))
+                near = sums[place[held]] - value[held] + salts[own_segment[held]]
+                keys.append(_mix(near) >> np.uint64(24) | heads[own_segment[held]])
                 owners.append(np.array(members)[place[held] // band.segments])
-                tags.append(own_segment[held] * 4 + tag + 1)
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(tags)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the numbers of tokens that fall on each bit."""
+    """Parities of the numbers of tokens that fall on each bit; the bits are a power of two of them."""
+    bits = max(BITS, 1 << (WIDTH * len(tokens) - 1).bit_length()) if len(tokens) else BITS
     with np.errstate(over="ignore"):
-        at = (_mix(tokens * ODD + np.uint64(7)) >> np.uint64(30)) % np.uint64(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+        at = (_mix(tokens * ODD + np.uint64(7)) >> np.uint64(30)) % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of ``width`` bytes: longer ones are what they would be with fewer bits."""
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    lengths = np.array([len(s) for s in sketches])
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        own = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint64).reshape(len(at), n // width, width // 8)
+        out[at] = np.bitwise_xor.reduce(own, axis=1)
+    return out
 
 
 def near_in_unit(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks: np.ndarray, bits: np.ndarray,
@@ -221,8 +239,9 @@ def near_in_unit(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks:
     first, second, bit_counts = [], [], []
     parts, whole = threshold.numerator, threshold.numerator + threshold.denominator
     crossed = len(own) and own.min() != own.max()
-    for at in range(0, len(size), 32):
-        one, rest = slice(at, at + 32), slice(at + 1, None)
+    step = max(1, min(32, 4_000_000 // max(1, bits.size)))
+    for at in range(0, len(size), step):
+        one, rest = slice(at, at + step), slice(at + 1, None)
         differ = np.bitwise_count(bits[one, None, :] ^ bits[None, rest, :]).sum(axis=2, dtype=np.int64)
         both = size[one, None] + size[None, rest]
         good = differ <= both - 2 * -(-both * parts // whole)
@@ -272,7 +291,9 @@ def near_pairs(rows: DataFrame, threshold: Fraction, only_forest: bool, block: i
         unit, held = None, []
 
         def pairs():
-            own, rep, size, component, asks, bits = (np.concatenate(c) for c in zip(*held, strict=True))
+            own, rep, size, component, asks = (np.concatenate([h[i] for h in held]) for i in range(5))
+            sketches = [s for h in held for s in h[5]]
+            bits = folded(sketches, min(map(len, sketches)))
             a, b, distance = near_in_unit(own, size, component, asks, bits, threshold)
             if only_forest and len(a) > 1:
                 kept = forest(a, b, distance, component)
@@ -291,8 +312,7 @@ def near_pairs(rows: DataFrame, threshold: Fraction, only_forest: bool, block: i
             if not batch.num_rows:
                 continue
             number = batch.column(0).to_numpy()
-            bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)] + [bits]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)] + [batch.column(6).to_pylist()]
             cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])).tolist()
             for x, y in zip(cuts, [*cuts[1:], len(number)], strict=True):
                 if number[x] != unit:
@@ -331,27 +351,48 @@ def described(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text")
         run, "doc long, size long, p1 long, p2 long, sketch binary")
 
 
-def subset_rows(docs: DataFrame, scheme: Scheme, n: int, key: str, text: str) -> DataFrame:
-    """key, doc, tag, home (where the row is dealt to) and many (its task has other rows of the key).
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes, which leaves those that vary little to the shuffle's compression."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def dealt_rows(docs: DataFrame, scheme: Scheme, n: int, parts: int, key: str, text: str) -> DataFrame:
+    """part, alone, keys and docs: the subset rows that a task has for each part, packed in order.
 
-    Of rows of equal key in a task only that of the smallest document is dealt by its key; the others
-    go where a hash puts them.
+    Of rows of equal key in a task only that of the smallest document is dealt by its key. All of them
+    are also known to be shared, so they are dealt anywhere (``alone`` is false).
     """
 
     def run(batches):
-        def some(docs_, sets):
-            ids = np.array(docs_, np.int64)
-            keys, owners, tags = rows_of(sets, scheme)
-            own = ids[owners]
+        def some(ids, sets):
+            keys, owners = rows_of(sets, scheme)
+            own = np.array(ids, np.int64)[owners]
             order = np.lexsort((own, keys))
-            keys, own, tags = keys[order], own[order], tags[order]
+            keys, own = keys[order], own[order]
             first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             runs = np.diff(np.append(np.flatnonzero(first), len(keys)))
+            shared = np.repeat(runs > 1, runs)
+            out = []
             with np.errstate(over="ignore"):
-                away = _mix(keys.view(np.uint64) ^ _mix(own.view(np.uint64))).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(own), pa.array(tags), pa.array(np.where(first, keys, away)),
-                 pa.array(np.repeat(runs > 1, runs))], ["key", "doc", "tag", "home", "many"])
+                by_key = _mix(keys.view(np.uint64))
+                anywhere = _mix(by_key ^ _mix(own.view(np.uint64)))
+            for alone, mask, spread in ((True, first, by_key), (False, shared, anywhere)):
+                if not mask.any():
+                    continue
+                part = (spread[mask] % np.uint64(parts)).astype(np.int32)
+                by_part = np.argsort(part, kind="stable")
+                part, of_part, own_part = part[by_part], keys[mask][by_part], own[mask][by_part]
+                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+                out += [(int(part[x]), alone, packed(of_part[x:y]), packed(own_part[x:y]))
+                        for x, y in zip(cuts, [*cuts[1:], len(part)], strict=True)]
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                              ["part", "alone", "keys", "docs"])
 
         ids, sets, size = [], [], 0
         for batch in batches:
@@ -369,7 +410,37 @@ def subset_rows(docs: DataFrame, scheme: Scheme, n: int, key: str, text: str) ->
 
     return docs.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        run, "key long, doc long, tag long, home long, many boolean")
+        run, "part int, alone boolean, keys binary, docs binary")
+
+
+def shared_rows(dealt: DataFrame, parts: int) -> DataFrame:
+    """key and doc of the subset rows whose key another row has.
+
+    A task holds one part of the keys, in 16 bytes a row. The setting for shuffle partitions bounds it,
+    as it does what any join or sort gets at once; no key is large in it, since each task before it has
+    sent one row of a key at most.
+    """
+
+    def run(batches):
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for part, alone, keys, docs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows = unpacked(keys), unpacked(docs)
+                if alone:
+                    held.setdefault(part, []).append(rows)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], ["key", "doc"])
+        while held:
+            keys, docs = (np.concatenate(c) for c in zip(*held.popitem()[1], strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            same = keys[1:] == keys[:-1]
+            met = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            keys, docs = keys[met], docs[met]
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at:at + 100_000]), pa.array(docs[at:at + 100_000])], ["key", "doc"])
+
+    return dealt.repartition(parts, "part").mapInArrow(run, "key long, doc long")
 
 
 def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction, key: str, text: str) -> DataFrame:
@@ -414,21 +485,49 @@ def _stars(hits: DataFrame, threshold: Fraction) -> DataFrame:
                                F.col("size").alias("b_size")), threshold).distinct()
 
 
+def promising(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches are near."""
+    over, whole = threshold.numerator, threshold.numerator + threshold.denominator
+    side = {x: sketches.select(F.col("rep").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+            for x in "ab"}
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            width = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+            differ = np.zeros(len(both), np.int64)
+            for w in np.unique(width).tolist():
+                for at in np.array_split(np.flatnonzero(width == w), max(1, len(both) * w // 50_000_000)):
+                    x, y = (folded([side[i] for i in at.tolist()], w) for side in (left, right))
+                    differ[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(differ <= both - 2 * -(-both * over // whole)))
+
+    both = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def _without_hot(hits: DataFrame, scheme: Scheme, hot: int) -> DataFrame:
     """``hits`` without the subsets that sets may give up."""
-    near = F.create_map(*[F.lit(x) for b in scheme.bands.values() for x in (b.number, b.near)]) if scheme.bands else None
-    if near is None:
+    if not scheme.bands:
         return hits
-    shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    hits = hits.withColumn("band", F.shiftright("tag", 40).cast("int")).withColumn(
-        "segment", F.shiftright(F.col("tag").bitwiseAND((1 << 40) - 1), 2)).withColumn("near", near[F.col("band")])
-    dear = hits.join(shared.where(F.col("rows") > hot).select("key"), "key")
-    counts = F.when(F.col("segment") < F.col("near"), 2).otherwise(1)
-    given_up = (dear.select("rep", "band", "near", "segment", counts.alias("counts")).distinct()
+    near = F.create_map(*[F.lit(x) for b in scheme.bands.values() for x in (b.number, b.near)])
+    shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot).select("key")
+    segment = F.shiftright("key", 40).bitwiseAND(SEGMENTS - 1)
+    dear = hits.join(shared, "key").select("key", "rep", _band("key").alias("band"), segment.alias("segment"),
+                                           near[_band("key")].alias("near"))
+    # A segment with a neighbourhood counts twice, however many rows it has; each other has one row.
+    close = F.col("segment") < F.col("near")
+    given_up = (dear.select("rep", "band", "near", F.when(close, F.col("segment")).otherwise(F.col("key")).alias("of"),
+                            F.when(close, 2).otherwise(1).alias("counts")).distinct()
                 .groupBy("rep", "band").agg(F.sum("counts").alias("all"), F.max("near").alias("most"))
                 .where(F.col("all") <= F.col("most")).select("rep", "band"))
     dropped = dear.join(given_up, ["rep", "band"]).select("key", "rep")
-    return hits.join(dropped, ["key", "rep"], "left_anti").select("key", "rep", "size", "tag")
+    return hits.join(dropped, ["key", "rep"], "left_anti")
+
+
+def _band(key: str):
+    return F.shiftright(key, 52).cast("int")
 
 
 def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "doc_id", text: str = "text",
@@ -449,15 +548,12 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
         F.sum("sets").alias("sets"), F.sum(F.col("sets") * F.col("size")).alias("total")).collect()}
     scheme = allocate(sizes, threshold)
 
-    dealt = subset_rows(docs, scheme, n, key, text).repartition("home")
-    met = (dealt.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("home")))
-           .where((F.col("here") > 1) | F.col("many")).select("key", "doc", "tag"))
-    met = materialize(met, "met")
-    hits = met.join(of_class, "doc").groupBy("key", "rep", "size").agg(F.min("tag").alias("tag"))
-    hits = materialize(hits, "hits")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialize(shared_rows(dealt_rows(docs, scheme, n, parts, key, text), parts), "met")
+    hits = materialize(met.join(of_class, "doc").select("key", "rep", "size").distinct(), "hits")
     kept = materialize(_without_hot(hits, scheme, hot), "kept")
 
-    stars = materialize(_stars(kept, threshold), "pairs")
+    stars = materialize(promising(_stars(kept, threshold), classes, threshold), "pairs")
     links = linked(docs, stars, n, threshold, key, text)
     # A key whose rows differ is one document.
     first = of_class.groupBy("doc").agg(F.min("rep").alias("a"))
@@ -466,12 +562,13 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     joined = components(links)
 
     # Subsets that still hold different components, first by a forest, then by all that is near.
+    own_band = F.size(F.filter(F.array(*[F.lit(first_of(b)) for b in range(BANDS)]), lambda f: f <= F.col("size"))) - 1
     sketches = classes.select(F.col("rep").alias("s_rep"), F.col("size").alias("s_size"), "sketch")
     known_pairs = stars
     for only_forest in (True, False):
         placed = kept.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
             "key", "rep", "size", F.coalesce("component", "rep").alias("component"),
-            (F.col("tag").bitwiseAND(2) != 0).alias("asks"))
+            (_band("key") != own_band).alias("asks"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                           F.count(F.lit(1)).alias("shared")).where("lo != hi").select("key", "shared")
         rest = placed.join(mixed, "key").join(
