@@ -16,10 +16,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,70 +85,65 @@ def _result(key, text: str, after: str, own: str, other: str) -> tuple:
 NAMES = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+def _ordered(key: str, text: str) -> list:
+    """Columns that order rows by descending key, null keys last, equal keys by a hash of the text."""
+    return [F.col(key).isNull().alias("o1"), F.coalesce(-F.col(key).cast("long"), F.lit(0)).alias("o2"), F.xxhash64(text).alias("o3")]
+
+
+def slices_of(rows: DataFrame, slices: int) -> DataFrame:
+    """``rows`` (o1, o2, o3, ...) with the number of their slice, slices being ranges of that order.
+
+    Borders come from a sample of about 50 rows a slice; they only decide how even slices are.
+    """
+    total = rows.count()
+    few = rows.select("o1", "o2", "o3").sample(min(1.0, 50 * slices / max(1, total)), seed=1).collect()
+    seen = sorted(tuple(r) for r in few)
+    borders = sorted({seen[i * len(seen) // slices] for i in range(1, slices)}) if seen else []
+
+    @F.pandas_udf("int")
+    def number(o1: pd.Series, o2: pd.Series, o3: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(borders, r) for r in zip(o1, o2, o3, strict=True)], dtype="int32")
+
+    return rows.withColumn("slice", number("o1", "o2", "o3"))
+
+
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, and how like they are to it and to the next text.
 
     The next row is that of the next smaller key (equal keys by a hash of the text, null keys last), and
-    the first row for the last. Rows are dealt by ranges of the key; in a range each row sees the next
-    one. What crosses ranges is one head and one tail a range, which are put together afterwards.
+    the first row for the last. Rows are dealt by ranges of that order; the first row of each range, one
+    a range, is sent along to the range before it. So every text is shuffled once.
     """
+    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = slices_of(whole.select(*_ordered("key", "text"), "key", "text"), 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    heads = rows.groupBy("slice").agg(F.min(F.struct("o1", "o2", "o3")).alias("first")).collect()  # numbers, one a slice
+    numbers = sorted((r["slice"], tuple(r["first"])) for r in heads)
+    before = [(numbers[i - 1][0], *first) for i, (_, first) in enumerate(numbers)]
+    wanted = spark.createDataFrame(before, "to int, h1 boolean, h2 long, h3 long")
+    sent = (rows.join(F.broadcast(wanted), (F.col("o1") == F.col("h1")) & (F.col("o2") == F.col("h2")) & (F.col("o3") == F.col("h3")))
+            .select(F.col("to").alias("slice"), F.lit(True).alias("sent"), "o1", "o2", "o3", "key", "text").dropDuplicates(["slice"]))
+    every = rows.select("slice", F.lit(False).alias("sent"), "o1", "o2", "o3", "key", "text").unionByName(sent)
+    dealt = every.repartition("slice").sortWithinPartitions("slice", "sent", "o1", "o2", "o3").select("slice", "sent", "key", "text")
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
-        slice_no, waiting, first = TaskContext.get().partitionId(), None, None
-
-        def out(rows, part, texts, type_of):
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], type_of), *[pa.array(c, t) for c, t in zip(columns[1:], types[1:], strict=True)],
-                 pa.array([part] * len(rows), pa.string()), pa.array([slice_no] * len(rows), pa.int32()),
-                 pa.array(texts, pa.string())], [*NAMES, "part", "slice", "text"])
-
-        type_of = None
+        at, waiting = None, None
         for batch in batches:
-            type_of = batch.column(0).type
-            for at in range(0, batch.num_rows, CHUNK):
-                part, rows = batch.slice(at, CHUNK), []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for start in range(0, batch.num_rows, CHUNK):
+                part, out = batch.slice(start, CHUNK), []
+                for slice_no, is_sent, k, t in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     now = (k, t, fingerprint(t))
-                    if waiting:
-                        rows.append(_result(waiting[0], waiting[1], t, waiting[2], now[2]))
-                    else:
-                        first = now
-                    waiting = now
-                yield out(rows, "row", [None] * len(rows), type_of)
-        if waiting:
-            for part, (k, t, f) in (("head", first), ("tail", waiting)):
-                yield out([(k, len(t), None, f, None, None, None)], part, [t], type_of)
-
-    ranged = (docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-              .repartitionByRange(F.col("key").desc_nulls_last(), F.xxhash64("text"))
-              .sortWithinPartitions(F.col("key").desc_nulls_last(), F.xxhash64("text")))
-    schema = (f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double, part string, slice int, text string")
-    done = materialize(ranged.mapInArrow(run, schema), "spots")
-
-    # The slice after each one that has rows; numbers only, one a slice.
-    slices = sorted(r["slice"] for r in done.where("part = 'head'").select("slice").collect())
-    follow = docs.sparkSession.createDataFrame(
-        list(zip(slices, [*slices[1:], *slices[:1]], strict=True)), "t_slice int, h_slice int")
-    heads = done.where("part = 'head'").select(F.col("slice").alias("h_at"), F.col("text").alias("h_text"),
-                                               F.col("fingerprint").alias("h_print"))
-    tails = done.where("part = 'tail'").select("slice", "key", "text", "fingerprint")
-    met = (tails.join(follow, tails["slice"] == follow["t_slice"]).join(heads, F.col("h_slice") == F.col("h_at"))
-           .select("key", "text", "h_text", "fingerprint", "h_print"))
-
-    def finish(batches):
-        for batch in batches:
-            columns = (batch.column(i).to_pylist() for i in range(5))
-            rows = [_result(*r) for r in zip(*columns, strict=True)]
-            got = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], batch.column(0).type), *[
-                pa.array(c, t) for c, t in zip(got[1:], types[1:], strict=True)]], NAMES)
-
-    last = met.mapInArrow(finish, schema.split(", part")[0])
-    return done.where("part = 'row'").select(*NAMES).unionByName(last).withColumnRenamed("key", key)
+                    if waiting and slice_no == at:
+                        out.append(_result(waiting[0], waiting[1], t, waiting[2], now[2]))
+                    at, waiting = slice_no, None if is_sent else now
+                columns = list(zip(*out, strict=True)) if out else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], part.column(2).type), *[
+                    pa.array(c, t) for c, t in zip(columns[1:], types, strict=True)]], NAMES)
+
+    return dealt.mapInArrow(run, f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, "
+                                 "edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("key", key)
 
 
 def near_pairs(prints: DataFrame, least: float, key: str = "doc_id", column: str = "fingerprint") -> DataFrame:
