@@ -71,14 +71,13 @@ def allows(rules: str, agent: str, url: str) -> bool:
     return best[1]
 
 
-@F.pandas_udf(T.BooleanType())
-def _allows(rules: pd.Series, agent: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or u is None else allows(r, a, u)
-                      for r, a, u in zip(rules, agent, url)], dtype="boolean")
+def text_allows(rules: str, agent: str):
+    """A function of URL columns for one text of rules, which goes to the workers with the code."""
+    @F.pandas_udf(T.BooleanType())
+    def judge(url: pd.Series) -> pd.Series:
+        return pd.Series([None if u is None else allows(rules, agent, u) for u in url], dtype="boolean")
 
-
-def agent_allowed(rules: Column, agent: Column, url: Column) -> Column:
-    return _allows(rules, agent, url)
+    return judge
 
 
 def sitemaps(rules: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from crawlatlas.functions.robots import agent_allowed
+from crawlatlas.functions.robots import allows, text_allows
 from crawlatlas.operators import ordered
-from crawlatlas.operators.skew import look_up
+from crawlatlas.operators.skew import annotate, look_up
 
 KEY = ["collection", "scheme", "host", "port"]
 CUSTOM_IF_MISSING = ["CUSTOM_IF_MISSING", "CUSTOM_IF_MISSING_CLASSIC"]
@@ -72,17 +74,57 @@ def robots_asof(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
                         F.col("s.rules_seq").alias("rules_seq"), F.col("s.has_rules").alias("has_rules"), state.alias("state"))
 
 
-def robots_allowed(rows: DataFrame, agent: Column, policy: Column, custom: Column) -> DataFrame:
+def judged_by_rules(rows: DataFrame, texts: DataFrame, key: str, agent: str, out: str, uri: str = "uri",
+                    together: int = 100_000) -> DataFrame:
+    """Add what the rules that ``key`` points at say of each URL; NULL where they do not exist.
+
+    ``texts`` are ``key, rules`` with unique keys. A text meets its URLs in a sorted partition, where it
+    is parsed once for up to about ``together`` of them: neither is it joined to URL rows, nor broadcast,
+    nor is a host with very many URLs one task.
+    """
+    columns = rows.columns
+    salts = F.ceil(F.col("_urls") / together).cast("int")
+    asked = annotate(rows.where(F.col(key).isNotNull()), [key], {"_urls": F.count(F.lit(1))})
+    urls = asked.withColumn("_salt", F.pmod(F.xxhash64(uri), salts).cast("int")).select(
+        *columns, "_salt", F.lit(None).cast("string").alias("_rules"))
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_urls"))
+    heads = texts.select(F.col(key).alias("_k"), F.col("rules").alias("_rules")).join(counts, F.col("_k") == F.col("_key"))
+    heads = heads.select(*[F.col("_k").alias(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns],
+                         F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_rules")
+    dealt = urls.unionByName(heads).repartition(key, "_salt").sortWithinPartitions(key, "_salt", F.col("_rules").isNull())
+    places = {c: i for i, c in enumerate([*columns, "_salt", "_rules"])}
+
+    def run(batches):
+        known, rules = None, None
+        for batch in batches:
+            said = []
+            for of, text, url in zip(*(batch.column(places[c]).to_pylist() for c in (key, "_rules", uri)), strict=True):
+                if text is not None:
+                    known, rules = of, text
+                    said.append(None)
+                else:
+                    said.append(allows(rules, agent, url) if of == known and url is not None else None)
+            full = pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], pa.array(said, pa.bool_())], [*columns, out])
+            yield full.filter(batch.column(places["_rules"]).is_null())
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
+    return dealt.mapInArrow(run, schema).unionByName(
+        rows.where(F.col(key).isNull()).withColumn(out, F.lit(None).cast("boolean")))
+
+
+def robots_allowed(rows: DataFrame, fetches: DataFrame, agent: str, policy: Column, custom: str) -> DataFrame:
     """Add ``allowed``: by policy, from the rules in force; NULL is a service error.
 
-    Rows carry the rules of their host, so no host has to fit in one task, and a text of
-    rules is parsed once per batch of rows that share it.
+    ``rows`` carry the ``rules_seq`` of their host's rules, not the text.
     """
-    unreachable = (F.col("state") == "suppressed") & ~F.coalesce(F.col("has_rules"), F.lit(False))
-    obeyed = policy.isin(OBEY) & F.coalesce(F.col("has_rules"), F.lit(False))
-    own = policy.isin(CUSTOM) | (policy.isin(CUSTOM_IF_MISSING) & ~F.coalesce(F.col("has_rules"), F.lit(False)))
-    rules = F.when(obeyed, F.col("rules")).when(own, custom)
-    decided = agent_allowed(rules, agent, F.col("uri"))
+    ruled = F.coalesce(F.col("has_rules"), F.lit(False))
+    unreachable = (F.col("state") == "suppressed") & ~ruled
+    own = policy.isin(CUSTOM) | (policy.isin(CUSTOM_IF_MISSING) & ~ruled)
+    texts = fetches.where(F.col("http_status").between(200, 299)).select(F.col("seq").alias("_seq"), F.col("body").alias("rules"))
+    asked = rows.withColumn("_seq", F.when(policy.isin(OBEY) & ruled, F.col("rules_seq")))
+    judged = judged_by_rules(asked, texts, "_seq", agent, "_by_rules")
+    by_custom = text_allows(custom, agent)(F.when(own, F.col("uri")))
     error = policy.isin("OBEY_ROBOTS", "OBEY_ROBOTS_CLASSIC") & unreachable
-    return rows.withColumn("allowed", F.when(error, F.lit(None).cast("boolean"))
-                           .when(rules.isNull(), F.lit(True)).otherwise(decided))
+    return judged.withColumn("allowed", F.when(error, F.lit(None).cast("boolean"))
+                             .when(F.col("_seq").isNotNull() & F.col("_by_rules").isNotNull(), F.col("_by_rules"))
+                             .when(own, by_custom).otherwise(F.lit(True))).drop("_seq", "_by_rules")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlatlas.functions.robots import agent_allowed
 from crawlatlas.functions.status import TEMPORARY, precondition_outcome
 from crawlatlas.functions.urls import canonical, short_sha1, uri_hash
+from crawlatlas.operators.robots import judged_by_rules
 from crawlatlas.operators.scope import Rule, scope_decide
 from crawlatlas.operators.skew import look_up
 from crawlatlas.session import materialize
@@ -31,7 +31,7 @@ def admit_outlinks(outlinks: DataFrame, parents: DataFrame, dns: DataFrame, robo
     """Decide on every outlink: ``QUEUED`` (maybe for a retry) or ``REJECTED`` with a reason code.
 
     ``dns`` is ``host, ip, dns_code`` and ``robots`` is ``host, rules``, both with unique
-    hosts. Hosts are very uneven, so both are looked up without gathering a host's rows.
+    hosts. Hosts are very uneven, so neither gathers a host's rows, and rules stay out of URL rows.
     """
     rows = inherit(outlinks, parents)
     rows = rows.withColumn("_crawl", canonical(F.col("found_uri"))).withColumn("uri", F.col("_crawl.href"))
@@ -39,21 +39,21 @@ def admit_outlinks(outlinks: DataFrame, parents: DataFrame, dns: DataFrame, robo
     decided = scope_decide(rows, rules).withColumn("host", F.col("include_check_uri.host"))
     # Written once: the URL work behind it is not repeated for the counts of the look-up.
     decided = materialize(decided.drop("include_check_uri", "annotation"), "decided")
-    facts = dns.join(robots, "host", "left")
-    known = look_up(decided, facts, {"host": "host"}, ["ip", "dns_code", "rules"])
+    known = look_up(decided, dns, {"host": "host"}, ["ip", "dns_code"])
     in_scope = F.col("evaluation") == "INCLUDE"
     dns_code = F.coalesce("dns_code", F.lit(0))
     resolved = in_scope & (dns_code == 0)
-    allowed = agent_allowed(F.when(resolved, F.col("rules")), F.lit(agent), F.col("uri"))
+    asked = known.withColumn("_host", F.when(resolved, F.col("host")))
+    known = judged_by_rules(asked, robots.select(F.col("host").alias("_host"), "rules"), "_host", agent, "_allowed").drop("_host")
     retry = F.when(dns_code.isin(TEMPORARY), "RETRY").otherwise("COMPLETE")
-    checked = known.withColumn("_allowed", allowed).withColumn("outcome", precondition_outcome(
+    checked = known.withColumn("outcome", precondition_outcome(
         in_scope, F.lit(True), dns_code, F.col("_allowed"), retry, F.lit(False)))
     reason = (F.when(F.col("_illegal"), ILLEGAL_URI)
               .when(~in_scope, F.col("exclude_reason"))
               .when((dns_code != 0) & (F.col("outcome") == "COMPLETE"), dns_code)
               .when(F.col("outcome") == "COMPLETE", ROBOTS)
               .when(~F.col("active"), F.lit(0)))
-    checked = checked.withColumn("_reason", reason).withColumn("uri_hash", uri_hash(F.col("uri"))).drop("rules")
+    checked = checked.withColumn("_reason", reason).withColumn("uri_hash", uri_hash(F.col("uri")))
     return first_sights(materialize(checked, "checked"), seen)
 
 

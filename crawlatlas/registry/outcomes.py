@@ -83,11 +83,11 @@ SELECT request_id, policy, CASE WHEN policy = 'OBEY_ROBOTS' AND state = 'suppres
 def robots_allowed(spark, sf_dir):
     n = F.length("uri") % 5
     found = B.robots_asof(robots_requests(spark, sf_dir), snapshots(spark, sf_dir))
-    rows = B.with_rules(found, rowwise(spark, sf_dir, "robots_fetch")).withColumn(
+    rows = found.withColumn(
         "policy", F.when(n == 0, "IGNORE_ROBOTS").when(n == 1, "CUSTOM_ROBOTS").when(n == 2, "CUSTOM_IF_MISSING")
         .otherwise("OBEY_ROBOTS"))
-    custom = F.lit("User-agent: crawler\nDisallow: /p/2*\n")
-    return B.robots_allowed(rows, F.lit("Crawler/1.0"), F.col("policy"), custom).select("request_id", "policy", "allowed")
+    custom = "User-agent: crawler\nDisallow: /p/2*\n"
+    return B.robots_allowed(rows, rowwise(spark, sf_dir, "robots_fetch"), "Crawler/1.0", F.col("policy"), custom).select("request_id", "policy", "allowed")
 
 
 @query("robots_sitemaps", """

@@ -9,6 +9,7 @@ from crawlatlas.functions.html import extract_outlinks
 from crawlatlas.functions.robots import allows
 from crawlatlas.operators.joins import dangling_refs, join_seed_entity
 from crawlatlas.operators.listing import order_by_path
+from crawlatlas.operators.robots import judged_by_rules
 from crawlatlas.operators.scope import is_same_host, scope_decide
 from crawlatlas.operators.updates import execution_timeouts, fail_if_empty, masked_update, new_executions
 
@@ -103,3 +104,17 @@ def test_look_ups_with_one_hot_key(spark):
     limits = spark.createDataFrame([("j", 10)], "id string, max_duration_s long")
     late = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     assert execution_timeouts(executions, limits, late).count() == 500
+
+
+def test_rules_meet_urls_without_a_join(spark):
+    """One host has most URLs, some have no rules, and each URL is judged by its own host's text."""
+    urls = spark.range(3000).select(
+        F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, None).otherwise(F.concat(F.lit("h"), F.col("id") % 50)).alias("host"),
+        F.concat(F.lit("http://x/"), F.col("id") % 4).alias("uri"), F.col("id").alias("slice"))
+    texts = spark.createDataFrame(
+        [("hot", "User-agent: *\nDisallow: /1"), ("h8", "User-agent: *\nDisallow: /2"), ("other", "Disallow: /")], "host string, rules string")
+    got = judged_by_rules(urls, texts, "host", "bot", "allowed", together=100).collect()
+    assert len(got) == 3000
+    for r in got:
+        want = {"hot": not r["uri"].endswith("/1"), "h8": not r["uri"].endswith("/2")}.get(r["host"])
+        assert r["allowed"] == want
