@@ -17,8 +17,9 @@ What meets in a subset is first compared with its smallest document only, a star
 components. Subsets that still hold several components are looked at again: there, documents of
 different components are compared by parity sketches, of which no more bits can differ than shingles
 do. Sketches are compared inside a task, in blocks of at most ``BLOCK`` documents a side, so no pair
-leaves it that is not near. First a forest of the nearest ones is followed up, which is fewer pairs than
-rows; with the components that it makes, all near pairs that are left. So no link is lost, while copies
+leaves it that is not near. Where very many are near, a forest of the nearest ones is followed up first,
+which is fewer pairs than rows; with the components that it makes, all near pairs that are left. So no
+link is lost, while copies
 and near copies cost comparisons of words in proportion to their number. What is taken for a link is
 compared exactly, on the words themselves.
 
@@ -52,9 +53,11 @@ from crawlatlas.llm.components import components
 #: Ratio of the sizes in a band, rows that make a subset hot, documents that one task reduces together.
 RATIO, HOT, TOGETHER = 1.5, 48, 2048
 #: Documents a side that one task compares by sketches; least bits of a sketch, and bits a shingle;
-#: what a comparison by sketches costs, a row being 1.
-BLOCK, BITS, WIDTH, COMPARED = 4096, 2048, 3, 0.05
+#: what comparing a word of two sketches costs, a row being 1.
+BLOCK, BITS, WIDTH, COMPARED = 4096, 2048, 3, 0.01
 SEGMENTS = 4096
+#: Near pairs a row, beyond which a forest of them is followed up first.
+MANY = 2
 #: Bands that a key has numbers for, up to 10^11 shingles.
 BANDS = 63
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +162,8 @@ def allocate(sizes: dict[int, tuple[int, int]], threshold: Fraction) -> Scheme:
                 over -= term
                 term *= empty / (k + 1)
             over = max(over, 0.0)
-            cost = near * (each + 1) + COMPARED * over * empty * sets * over * math.exp(-each)
+            partners = sets * over * math.exp(-each)
+            cost = near * (each + 1) + COMPARED * bits_for(total // max(1, sets)) / 64 * over * empty * partners
             if best is None or cost < best[0]:
                 best = (cost, near)
         bands[b] = Band(b, segments, best[1])
@@ -210,9 +214,14 @@ def rows_of(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndar
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
+def bits_for(size: int) -> int:
+    """Bits of the sketch of a set: a power of two."""
+    return max(BITS, 1 << (WIDTH * size - 1).bit_length()) if size else BITS
+
+
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the numbers of tokens that fall on each bit; the bits are a power of two of them."""
-    bits = max(BITS, 1 << (WIDTH * len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    """Parities of the numbers of tokens that fall on each bit."""
+    bits = bits_for(len(tokens))
     with np.errstate(over="ignore"):
         at = (_mix(tokens * ODD + np.uint64(7)) >> np.uint64(30)) % np.uint64(bits)
     return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
@@ -239,21 +248,26 @@ def near_in_unit(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks:
     first, second, bit_counts = [], [], []
     parts, whole = threshold.numerator, threshold.numerator + threshold.denominator
     crossed = len(own) and own.min() != own.max()
-    step = max(1, min(32, 4_000_000 // max(1, bits.size)))
+    # A quarter of the bits rules out nearly all that is not near.
+    few = np.ascontiguousarray(bits[:, :bits.shape[1] // 4])
+    step = max(1, min(32, 1_000_000 // max(1, few.size)))
     for at in range(0, len(size), step):
         one, rest = slice(at, at + step), slice(at + 1, None)
-        differ = np.bitwise_count(bits[one, None, :] ^ bits[None, rest, :]).sum(axis=2, dtype=np.int64)
         both = size[one, None] + size[None, rest]
-        good = differ <= both - 2 * -(-both * parts // whole)
+        most = both - 2 * -(-both * parts // whole)
+        good = np.bitwise_count(few[one, None, :] ^ few[None, rest, :]).sum(axis=2, dtype=np.int32) <= most
         good &= component[one, None] != component[None, rest]
         good &= ~(asks[one, None] & asks[None, rest])
         if crossed:
             good &= own[one, None] != own[None, rest]
         i, j = np.nonzero(good)
-        later = j + 1 > i
-        first.append(at + i[later])
-        second.append(at + 1 + j[later])
-        bit_counts.append(differ[i[later], j[later]])
+        i, j = i[j + 1 > i], j[j + 1 > i]
+        for k in np.array_split(np.arange(len(i)), max(1, len(i) * bits.shape[1] // 4_000_000)):
+            differ = np.bitwise_count(bits[at + i[k]] ^ bits[at + 1 + j[k]]).sum(axis=1, dtype=np.int64)
+            near = differ <= most[i[k], j[k]]
+            first.append(at + i[k][near])
+            second.append(at + 1 + j[k][near])
+            bit_counts.append(differ[near])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second, bit_counts))
 
 
@@ -275,29 +289,35 @@ def forest(first: np.ndarray, second: np.ndarray, distance: np.ndarray, componen
     return np.array(kept, np.int64)
 
 
-def near_pairs(rows: DataFrame, threshold: Fraction, only_forest: bool, block: int = BLOCK) -> DataFrame:
+def near_pairs(rows: DataFrame, threshold: Fraction, again: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of different components that share a subset and whose sketches are near.
 
-    ``rows`` are key, rep, size, component, asks, sketch and shared (the rows of the key).
+    ``rows`` are key, rep, size, component, asks, sketch and shared (the rows of the key). A unit with
+    many more near pairs than rows gives a forest of them, and a row (its number, null) that says so;
+    of the units in ``again`` all near pairs come.
     """
+    whole_units = again is not None
     blocks = F.ceil(F.col("shared") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     units = rows.withColumn("own", own).select("*", other.alias("other")).select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         "own", "rep", "size", "component", "asks", "sketch")
+    if whole_units:
+        units = units.join(again, "unit", "left_semi")
 
     def run(batches):
-        unit, held = None, []
+        unit, held, unfinished = None, [], []
 
         def pairs():
             own, rep, size, component, asks = (np.concatenate([h[i] for h in held]) for i in range(5))
             sketches = [s for h in held for s in h[5]]
             bits = folded(sketches, min(map(len, sketches)))
             a, b, distance = near_in_unit(own, size, component, asks, bits, threshold)
-            if only_forest and len(a) > 1:
+            if not whole_units and len(a) > MANY * len(rep):
                 kept = forest(a, b, distance, component)
                 a, b = a[kept], b[kept]
+                unfinished.append(unit)
             return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
 
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -306,7 +326,11 @@ def near_pairs(rows: DataFrame, threshold: Fraction, only_forest: bool, block: i
             a, b = (np.concatenate(c) for c in zip(*found, strict=True))
             found.clear()
             both = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            left, right = pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())
+            more = pa.array(unfinished, pa.int64())
+            unfinished.clear()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([left, more]), pa.concat_arrays([right, pa.nulls(len(more), pa.int64())])],
+                                              ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -565,7 +589,8 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     own_band = F.size(F.filter(F.array(*[F.lit(first_of(b)) for b in range(BANDS)]), lambda f: f <= F.col("size"))) - 1
     sketches = classes.select(F.col("rep").alias("s_rep"), F.col("size").alias("s_size"), "sketch")
     known_pairs = stars
-    for only_forest in (True, False):
+    again = None
+    for _ in range(2):
         placed = kept.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
             "key", "rep", "size", F.coalesce("component", "rep").alias("component"),
             (_band("key") != own_band).alias("asks"))
@@ -573,13 +598,15 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
                                           F.count(F.lit(1)).alias("shared")).where("lo != hi").select("key", "shared")
         rest = placed.join(mixed, "key").join(
             sketches, (F.col("rep") == F.col("s_rep")) & (F.col("size") == F.col("s_size")))
-        pairs = near_pairs(rest, threshold, only_forest).join(known_pairs, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        links = materialize(links.unionByName(linked(docs, pairs, n, threshold, key, text)), "links")
-        joined = components(links)
-        known_pairs = known_pairs.unionByName(pairs)
+        found = materialize(near_pairs(rest, threshold, again), "near")
+        again = materialize(found.where(F.col("b").isNull()).select(F.col("a").alias("unit")), "again")
+        pairs = materialize(found.where(F.col("b").isNotNull()).join(known_pairs, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            links = materialize(links.unionByName(linked(docs, pairs, n, threshold, key, text)), "links")
+            joined = components(links)
+            known_pairs = known_pairs.unionByName(pairs)
+        if again.isEmpty():
+            break
 
     reps = of_class.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy(
         F.col("doc").alias("c_doc")).agg(F.min(F.coalesce("component", "rep")).alias("component"))
