@@ -550,6 +550,11 @@ def _without_hot(hits: DataFrame, scheme: Scheme, hot: int) -> DataFrame:
     return hits.join(dropped, ["key", "rep"], "left_anti")
 
 
+def _band_of(size: str):
+    """``band_of`` as a column."""
+    return F.size(F.filter(F.array(*[F.lit(first_of(b)) for b in range(BANDS)]), lambda f: f <= F.col(size))) - 1
+
+
 def _band(key: str):
     return F.shiftright(key, 52).cast("int")
 
@@ -566,10 +571,8 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     of_class = materialize(keyed.drop("sketch").join(classes.drop("sketch"), ["p1", "p2", "size"])
                            .select("doc", "rep", "size").distinct(), "members")
 
-    band = F.udf(band_of, "int")
-    counted = keyed.groupBy("size").agg(F.count(F.lit(1)).alias("sets"))
-    sizes = {r["band"]: (r["sets"], r["total"]) for r in counted.groupBy(band("size").alias("band")).agg(
-        F.sum("sets").alias("sets"), F.sum(F.col("sets") * F.col("size")).alias("total")).collect()}
+    sizes = {r["band"]: (r["sets"], r["total"]) for r in keyed.groupBy(_band_of("size").alias("band")).agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("size").alias("total")).collect()}
     scheme = allocate(sizes, threshold)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -586,14 +589,13 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     joined = components(links)
 
     # Subsets that still hold different components, first by a forest, then by all that is near.
-    own_band = F.size(F.filter(F.array(*[F.lit(first_of(b)) for b in range(BANDS)]), lambda f: f <= F.col("size"))) - 1
     sketches = classes.select(F.col("rep").alias("s_rep"), F.col("size").alias("s_size"), "sketch")
     known_pairs = stars
     again = None
     for _ in range(2):
         placed = kept.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
             "key", "rep", "size", F.coalesce("component", "rep").alias("component"),
-            (_band("key") != own_band).alias("asks"))
+            (_band("key") != _band_of("size")).alias("asks"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                           F.count(F.lit(1)).alias("shared")).where("lo != hi").select("key", "shared")
         rest = placed.join(mixed, "key").join(
