@@ -58,6 +58,8 @@ BLOCK, BITS, WIDTH, COMPARED = 4096, 2048, 3, 0.01
 SEGMENTS = 4096
 #: Near pairs a row, beyond which a forest of them is followed up first.
 MANY = 2
+#: Rows of units that are compared all at once, and rows that a task holds for that.
+SMALL, HELD = 16, 30_000
 #: Bands that a key has numbers for, up to 10^11 shingles.
 BANDS = 63
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -271,6 +273,41 @@ def near_in_unit(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second, bit_counts))
 
 
+def near_in_small(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks: np.ndarray, sketches: list[bytes],
+                  starts: np.ndarray, length: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the near pairs of different components in all units of at most ``SMALL`` rows, at once."""
+    parts, whole = threshold.numerator, threshold.numerator + threshold.denominator
+    least, most_own = np.minimum.reduceat(own, starts), np.maximum.reduceat(own, starts)
+    small = length <= SMALL
+    first, second = [], []
+    for step in range(1, SMALL):
+        units = np.flatnonzero(small & (length > step))
+        if not len(units):
+            break
+        # Each row of a unit but its last ``step`` ones, with the row ``step`` places on.
+        counts = length[units] - step
+        i = np.repeat(starts[units] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        j = i + step
+        crossed = np.repeat(least[units] != most_own[units], counts)
+        good = (component[i] != component[j]) & ~(asks[i] & asks[j]) & (~crossed | (own[i] != own[j]))
+        first.append(i[good])
+        second.append(j[good])
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(first), np.concatenate(second)
+    both = size[i] + size[j]
+    most = both - 2 * -(-both * parts // whole)
+    widths = np.array([len(s) for s in sketches])
+    width = np.minimum(widths[i], widths[j])
+    near = np.zeros(len(i), bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        for k in np.array_split(at, max(1, len(at) * w // 20_000_000)):
+            x, y = (folded([sketches[r] for r in side[k].tolist()], w) for side in (i, j))
+            near[k] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most[k]
+    return i[near], j[near]
+
+
 def forest(first: np.ndarray, second: np.ndarray, distance: np.ndarray, component: np.ndarray) -> np.ndarray:
     """Places of pairs, nearest first, of which each joins components that those before it do not."""
     parent: dict[int, int] = {}
@@ -307,23 +344,11 @@ def near_pairs(rows: DataFrame, threshold: Fraction, again: DataFrame | None = N
         units = units.join(again, "unit", "left_semi")
 
     def run(batches):
-        unit, held, unfinished = None, [], []
-
-        def pairs():
-            own, rep, size, component, asks = (np.concatenate([h[i] for h in held]) for i in range(5))
-            sketches = [s for h in held for s in h[5]]
-            bits = folded(sketches, min(map(len, sketches)))
-            a, b, distance = near_in_unit(own, size, component, asks, bits, threshold)
-            if not whole_units and len(a) > MANY * len(rep):
-                kept = forest(a, b, distance, component)
-                a, b = a[kept], b[kept]
-                unfinished.append(unit)
-            return np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
-
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list] = []
+        rows_held, unfinished, found = 0, [], []
 
         def out():
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
             found.clear()
             both = np.unique(np.stack([a, b]), axis=1)
             left, right = pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())
@@ -332,24 +357,45 @@ def near_pairs(rows: DataFrame, threshold: Fraction, again: DataFrame | None = N
             return pa.RecordBatch.from_arrays([pa.concat_arrays([left, more]), pa.concat_arrays([right, pa.nulls(len(more), pa.int64())])],
                                               ["a", "b"])
 
+        def compare(last: bool):
+            """Compare what is held, but for the last unit, which may go on."""
+            nonlocal rows_held
+            unit, own, rep, size, component, asks = (np.concatenate([h[i] for h in held]) for i in range(6))
+            sketches = [s for h in held for s in h[6]]
+            starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            ends = np.append(starts[1:], len(unit))
+            held.clear()
+            if not last:
+                keep = slice(starts[-1], None)
+                held.append([unit[keep], own[keep], rep[keep], size[keep], component[keep], asks[keep], sketches[keep]])
+                starts, ends = starts[:-1], ends[:-1]
+            rows_held = sum(len(h[0]) for h in held)
+            if not len(starts):
+                return
+            length = ends - starts
+            a, b = near_in_small(own, size, component, asks, sketches, starts, length, threshold)
+            found.append((np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])))
+            for x, y in zip(starts[length > SMALL].tolist(), ends[length > SMALL].tolist(), strict=True):
+                one = slice(x, y)
+                bits = folded(sketches[one], min(map(len, sketches[one])))
+                a, b, distance = near_in_unit(own[one], size[one], component[one], asks[one], bits, threshold)
+                if not whole_units and len(a) > MANY * (y - x):
+                    kept = forest(a, b, distance, component[one])
+                    a, b = a[kept], b[kept]
+                    unfinished.append(int(unit[x]))
+                found.append((np.minimum(rep[one][a], rep[one][b]), np.maximum(rep[one][a], rep[one][b])))
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            number = batch.column(0).to_numpy()
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)] + [batch.column(6).to_pylist()]
-            cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])).tolist()
-            for x, y in zip(cuts, [*cuts[1:], len(number)], strict=True):
-                if number[x] != unit:
-                    if len(held) > 1 or held and len(held[0][0]) > 1:
-                        found.append(pairs())
-                        if sum(len(f[0]) for f in found) > 100_000:
-                            yield out()
-                    unit, held = number[x], []
-                held.append([c[x:y] for c in columns])
+            if batch.num_rows:
+                held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)] + [batch.column(6).to_pylist()])
+                rows_held += batch.num_rows
+                if rows_held >= HELD:
+                    compare(last=False)
+                    if sum(len(f[0]) for f in found) > 100_000:
+                        yield out()
         if held:
-            found.append(pairs())
-        if found:
-            yield out()
+            compare(last=True)
+        yield out()
 
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
 
