@@ -1,9 +1,10 @@
 """License scans by a positional index of rare template words.
 
 Templates are licence texts and notices. Document frequencies of their words come from the whole
-corpus. In a file, its licence words of highest IDF are looked up in the positional index; postings
-whose position, relative to the file's, agrees are intersected; and an alignment that covers enough
-of the template's weight is kept if a mandatory key phrase stands inside it.
+corpus. A match must hold a mandatory key phrase of its template, so the words around each key phrase
+are looked up in the template's positional index; places that agree relative to the file's are
+intersected; and an alignment with the key phrase inside is kept if its words of highest IDF cover
+enough of the weight of the template's. What else stands in the file has no influence.
 
 Words are runs of digits, letters a to z (A to Z lower-cased) and all characters beyond ASCII. Base
 phrases are found wherever their words stand next to each other, whatever the index says.
@@ -52,7 +53,7 @@ TEMPLATES = [
 
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32
                    for b in range(256))
-#: Rare words looked up per file, words by which a position may be off, share of a template's weight.
+#: Rare words that count per alignment, words by which a position may be off, share of a template's weight.
 RARE_WORDS, SLACK, COVERAGE = 16, 2, 0.7
 
 
@@ -67,51 +68,70 @@ class Index:
         self.labels = [label for label, _, _ in templates]
         self.texts = [words_of(text) for _, text, _ in templates]
         self.keys = [[b" " + b" ".join(words_of(k)) + b" " for k in keys] for _, _, keys in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.texts):
+        self.places: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in self.texts]
+        for own, words in zip(self.places, self.texts, strict=True):
             for at, word in enumerate(words):
-                self.postings[word].append((t, at))
+                own[word].append(at)
         known = frequency or {}
-        self.idf = {w: math.log((documents + 1) / (known.get(w, 0) + 1)) + 1e-6 for w in self.postings}
-
-    def scan(self, words: list[bytes]) -> dict[str, float]:
+        self.idf = {w: math.log((documents + 1) / (known.get(w, 0) + 1)) + 1e-6 for own in self.places for w in own}
+        self.most = [self.weight(set(own)) for own in self.places]
+
+    def regions(self, t: int, joined: bytes) -> list[tuple[int, int]]:
+        """Ranges of words, apart from each other, that hold all alignments of a template with a key phrase inside."""
+        reach, out = len(self.texts[t]) + 2 * SLACK, []
+        for p in sorted(p for k in self.keys[t] for p in word_places(joined, k)):
+            if out and p - reach <= out[-1][1]:
+                out[-1] = (out[-1][0], p + reach)
+            else:
+                out.append((max(0, p - reach), p + reach))
+        return out
+
+    def scan(self, words: list[bytes], joined: bytes | None = None) -> dict[str, float]:
         """Labels that the method finds, with the share of the template's weight that they cover."""
-        present = self.idf.keys() & set(words)
-        if len(present) < 2:
-            return {}
-        rare = set(sorted(present, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        seen: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for at, word in enumerate(words):
-            if word in rare:
-                for t, own in self.postings[word]:
-                    seen[t, at - own].add(word)
+        joined = b" " + b" ".join(words) + b" " if joined is None else joined
         found: dict[str, float] = {}
-        for (t, shift), _ in seen.items():
-            near = set().union(*(seen.get((t, shift + d), ()) for d in range(-SLACK, SLACK + 1)))
-            # What the file's rare words could cover of the template at most.
-            most = sorted((self.idf[w] for w in set(self.texts[t])), reverse=True)[:RARE_WORDS]
-            share = min(1.0, sum(self.idf[w] for w in near) / sum(most))
-            if share >= max(COVERAGE, found.get(self.labels[t], 0)):
-                first = max(0, shift - SLACK)
-                inside = b" " + b" ".join(words[first:shift + len(self.texts[t]) + SLACK]) + b" "
-                if any(k in inside for k in self.keys[t]):
+        for t in range(len(self.texts)):
+            for first, last in self.regions(t, joined):
+                share = self.best(t, words, first, last)
+                if share >= max(COVERAGE, found.get(self.labels[t], 0)):
                     found[self.labels[t]] = share
         return found
 
+    def best(self, t: int, words: list[bytes], first: int, last: int) -> float:
+        """The largest share that an alignment within a region covers, a key phrase inside; 0 without one."""
+        own, size, best = self.places[t], len(self.texts[t]), 0.0
+        seen: dict[int, set[bytes]] = defaultdict(set)
+        for at, word in enumerate(words[first:last], first):
+            for place in own.get(word, ()):
+                seen[at - place].add(word)
+        for shift in seen:
+            near = set().union(*(seen.get(shift + d, ()) for d in range(-SLACK, SLACK + 1)))
+            share = self.weight(near) / self.most[t]
+            if share > best and share >= COVERAGE:
+                inside = b" " + b" ".join(words[max(0, shift - SLACK):shift + size + SLACK]) + b" "
+                if any(k in inside for k in self.keys[t]):
+                    best = share
+        return best
+
+    def weight(self, words: set[bytes]) -> float:
+        """Weight of the rarest words."""
+        return sum(sorted((self.idf[w] for w in words), reverse=True)[:RARE_WORDS])
+
+
+def word_places(joined: bytes, needle: bytes) -> list[int]:
+    """Numbers of the words at which a needle of words, a blank around each, begins."""
+    at, counted, n, out = joined.find(needle), 0, 0, []
+    while at >= 0:
+        n += joined.count(b" ", counted, at)
+        counted = at
+        out.append(n)
+        at = joined.find(needle, at + 1)
+    return out
+
 
-def base_places(words: list[bytes]) -> list[tuple[int, str]]:
+def base_places(joined: bytes) -> list[tuple[int, str]]:
     """(start, label) of every base phrase."""
-    joined = b" " + b" ".join(words) + b" "
-    out = []
-    for phrase, label in BASE.items():
-        needle = b" " + phrase.encode() + b" "
-        at, counted, n = joined.find(needle), 0, 0
-        while at >= 0:
-            n += joined.count(b" ", counted, at)
-            counted = at
-            out.append((n, label))
-            at = joined.find(needle, at + 1)
-    return out
+    return [(n, label) for phrase, label in BASE.items() for n in word_places(joined, b" " + phrase.encode() + b" ")]
 
 
 def frequencies(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> tuple[dict[bytes, int], int]:
@@ -146,7 +166,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
                 rows = []
                 for t in texts.slice(at, CHUNK).to_pylist():
                     words = words_of(t)
-                    base, more = base_places(words), index.scan(words)
+                    joined = b" " + b" ".join(words) + b" "
+                    base, more = base_places(joined), index.scan(words, joined)
                     own = {label for _, label in base}
                     starts = [n for n, _ in base]
                     rows.append((len(words), len(base), min(starts, default=None), max(starts, default=None),

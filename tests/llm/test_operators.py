@@ -496,3 +496,15 @@ def test_license_needs_its_phrase_and_place(spark):
             (4, bsd.replace("are permitted", "are now permitted")), (5, "mit mit license license general public public license")]
     of = {r["doc_id"]: r["labels"] for r in licenses.scan(table(spark, docs)).collect()}
     assert of == {1: "bsd", 2: "", 3: "", 4: "bsd", 5: "mit"}
+
+
+def test_licenses_beside_each_other(spark):
+    mit, bsd = licenses.TEMPLATES[0][1], licenses.TEMPLATES[7][1]
+    every = " ".join(w for i in range(40) for _, t, _ in licenses.TEMPLATES for w in t.split()[i::40] * 50)
+    docs = [(1, f"{mit}. {bsd}."), (2, f"{every} {bsd} {every}"), (3, " and ".join(t for _, t, _ in licenses.TEMPLATES)),
+            (4, f"{mit} {'plain words of a file ' * 2000} {mit.replace('deal in', 'trade with')}"), (5, every)]
+    of = {r["doc_id"]: r for r in licenses.scan(table(spark, docs)).collect()}
+    assert of[1]["labels"] == "bsd,mit" and of[1]["score"] == 1
+    assert "bsd" in of[2]["labels"].split(",") and of[2]["score"] == 1
+    assert of[3]["labels"] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert of[4]["labels"] == "mit" and "bsd" not in of[5]["labels"].split(",")
