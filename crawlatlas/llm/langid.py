@@ -7,7 +7,7 @@ needs the fewest phrases, normalised by the length of the text and of the sample
 The sample is bounded by two documented parameters: ``sample_chars`` a language and ``total_chars``
 over all of them (beyond ``total_chars / sample_chars`` languages each gets less). It is taken in
 the order of a hash of the key, so it does not depend on how rows are laid out. Every character of a
-text to be predicted is parsed; phrases do not cross windows of ``WINDOW`` characters, which lets all
+text to be predicted is parsed, every letter of the sample being a symbol of its own, in any script; phrases do not cross windows of ``WINDOW`` characters, which lets all
 windows of a batch step through the automata together.
 
 Defined results: null text or text without a letter is ``und`` with score 0; ties go to the language
@@ -26,14 +26,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 256
-#: Symbols of the automata: 0 is the gap between words, the last one a letter that no sample has.
+#: Symbols with a column of their own: 0 is the gap between words, the last one a letter that no sample has.
+#: Letters beyond the most frequent ones are symbols from SYMBOLS on, whose transitions are kept as a sorted list.
 SYMBOLS = 48
 #: Characters that are parsed together; bounds the memory of a task.
 TOGETHER = 1_500_000
 
 
-def suffix_automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings; -1 where there is none."""
+def suffix_automaton(codes: np.ndarray, symbols: int, beyond: list | None = None) -> np.ndarray:
+    """Transitions [state, symbol] of the automaton of all substrings; -1 where there is none.
+
+    Those of symbols without a column are appended to ``beyond`` as (state, symbol, next state).
+    """
     steps: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in codes.tolist():
@@ -62,7 +66,10 @@ def suffix_automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
     table = np.full((len(steps), symbols), -1, np.int32)
     for state, found in enumerate(steps):
         for c, to in found.items():
-            table[state, c] = to
+            if c < symbols:
+                table[state, c] = to
+            else:
+                beyond.append((state, c, to))
     return table
 
 
@@ -73,6 +80,23 @@ class Model:
     table: np.ndarray       # transitions of all automata, one below the other
     roots: np.ndarray       # first state of each
     bits: np.ndarray        # log2 of the sample's length: what it takes to point to a phrase
+    first: np.ndarray       # transitions of the roots [language, symbol], for all symbols
+    beyond: np.ndarray      # sorted state * symbols + symbol of the transitions that the table has no column for
+    beyond_to: np.ndarray   # next state of each
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states of [language, lane] by the symbols of the lanes; -1 where there is none."""
+        far = np.flatnonzero(symbol >= SYMBOLS)
+        if not len(far):
+            return self.table.ravel()[state * SYMBOLS + symbol].astype(np.int64)
+        to = self.table.ravel()[state * SYMBOLS + np.minimum(symbol, SYMBOLS - 1)].astype(np.int64)
+        # A language whose root has no transition by a symbol has none at all.
+        row, lane = np.nonzero(self.first[:, symbol[far]] >= 0)
+        lane = far[lane]
+        wanted = state[row, lane] * self.first.shape[1] + symbol[lane]
+        at = np.minimum(np.searchsorted(self.beyond, wanted), len(self.beyond) - 1)
+        to[row, lane] = np.where(self.beyond[at] == wanted, self.beyond_to[at], -1)
+        return to
 
     def codes(self, text: str) -> np.ndarray:
         """Symbols of the lower-cased text, with one gap between words."""
@@ -95,9 +119,7 @@ class Model:
                 length[at - 1] = len(t) - (lanes - 1) * WINDOW
         order = np.argsort(-length, kind="stable")
         columns, length, owner = np.ascontiguousarray(grid[order].T), length[order], owner[order]
-        flat_table, n = self.table.ravel(), len(self.languages)
-        root = self.roots[:, None].astype(np.int64)
-        first = self.table[self.roots]  # transitions of the roots: [language, symbol]
+        n, root = len(self.languages), self.roots[:, None].astype(np.int64)
         state = np.repeat(root, total, axis=1)
         count = np.zeros((n, total), np.int32)
         for step in range(WINDOW):
@@ -106,11 +128,11 @@ class Model:
                 break
             symbol = columns[step, :active]
             now = state[:, :active]
-            to = flat_table[now * SYMBOLS + symbol].astype(np.int64)
+            to = self.step(now, symbol)
             ended = to < 0
             # A phrase ends before this character, which begins the next one. A character that the
             # sample does not have is a phrase by itself.
-            again = first[:, symbol]
+            again = self.first[:, symbol]
             count[:, :active] += ended & (now != root)
             alone = again < 0
             count[:, :active] += ended & alone
@@ -146,23 +168,33 @@ def learn(samples: dict[str, list[str]], sample_chars: int) -> Model:
             for c in t.lower():
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-    letters = sorted(counts, key=lambda c: (-counts[c], c))[:SYMBOLS - 2]
+    letters = sorted(counts, key=lambda c: (-counts[c], c))
     letter = np.array([chr(p).isalpha() for p in range(0x110000)])
     code_of = np.where(letter, SYMBOLS - 1, 0).astype(np.int32)
     for i, c in enumerate(letters):
-        code_of[ord(c)] = i + 1
-    model = Model(languages, code_of, np.zeros((0, SYMBOLS), np.int32), np.zeros(0, np.int64), np.zeros(0))
-    tables, roots, bits, states = [], [], [], 0
-    for language in languages:
+        code_of[ord(c)] = i + 1 if i < SYMBOLS - 2 else i + 2
+    symbols = max(SYMBOLS, len(letters) + 2)
+    none = np.zeros(0, np.int64)
+    model = Model(languages, code_of, np.zeros((0, SYMBOLS), np.int32), none, np.zeros(0),
+                  np.full((len(languages), symbols), -1, np.int64), none, none)
+    tables, roots, bits, states, beyond = [], [], [], 0, [np.zeros((0, 2), np.int64)]
+    for k, language in enumerate(languages):
         codes = np.concatenate([np.zeros(0, np.int32), *map(model.codes, samples[language])])[:sample_chars]
-        codes = codes[codes != SYMBOLS - 1]
-        table = suffix_automaton(codes, SYMBOLS)
+        far: list[tuple[int, int, int]] = []
+        table = suffix_automaton(codes, SYMBOLS, far)
         tables.append(np.where(table >= 0, table + states, -1).astype(np.int32))
+        model.first[k, :SYMBOLS] = tables[-1][0]
+        if far:
+            state, symbol, to = np.array(far, np.int64).T
+            beyond.append(np.stack([(state + states) * symbols + symbol, to + states], axis=1))
+            model.first[k, symbol[state == 0]] = to[state == 0] + states
         roots.append(states)
         bits.append(np.log2(max(2, len(codes))))
         states += len(table)
     if tables:
         model.table = np.concatenate(tables)
+    every = np.concatenate(beyond)
+    model.beyond, model.beyond_to = every[np.argsort(every[:, 0])].T.copy()
     model.roots, model.bits = np.array(roots, np.int64), np.array(bits)
     return model
 

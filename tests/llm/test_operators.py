@@ -262,6 +262,36 @@ def test_phrases_are_longest_matches():
             assert got[k, j] == n, (language, t)
 
 
+def scripts():
+    """Texts of four languages of Latin letters, two that share 900 letters of one script, and one of 900 others."""
+    r, texts = random.Random(5), {}
+    for language, start, letters, size in (("a", 97, 20, 6), ("b", 99, 20, 6), ("c", 101, 20, 6), ("d", 103, 20, 6),
+                                           ("ja", 0x4e00, 900, 2), ("ko", 0xac00, 900, 3), ("zh", 0x4e00, 900, 2)):
+        words = ["".join(chr(start + r.randrange(letters)) for _ in range(size)) for _ in range(500)]
+        join = " " if start < 128 or language == "ko" else ""
+        texts[language] = [join.join(r.choices(words, k=150)) for _ in range(30)]
+    return texts
+
+
+def test_letters_of_all_scripts_are_symbols():
+    texts = scripts()
+    model = langid.learn({language: t[:20] for language, t in texts.items()}, 6000)
+    for language, own in texts.items():
+        assert [got for got, _ in model.predict([t[:60] for t in own[20:]])] == [language] * 10
+    samples = {language: "".join(map(chr, np.concatenate([model.codes(t) for t in texts[language][:20]])[:6000])) for language in texts}
+    mixed = [(texts["zh"][20 + i][:40] + texts["ko"][20 + i][:40] + texts["a"][20 + i][:40] + "Щ")[:langid.WINDOW] for i in range(10)]
+    got = model.phrases([model.codes(t) for t in mixed])
+    for k, language in enumerate(model.languages):
+        for j, t in enumerate(mixed):
+            left, n = "".join(map(chr, model.codes(t))), 0
+            while left:
+                n, size = n + 1, 1
+                while size < len(left) and left[:size + 1] in samples[language]:
+                    size += 1
+                left = left[size:]
+            assert got[k, j] == n
+
+
 LANGS = {"en": "the cat and the dog were in the house with other animals ", "de": "der hund und die katze waren mit anderen im haus "}
 
 
