@@ -1,14 +1,18 @@
 """Document fingerprints by SpotSigs.
 
 Wherever a common word (an anchor) stands, the next few content words behind it form a chain; anchor
-and chain together are a signature. The set of a document's signatures is its fingerprint. Sets are
-compared by Jaccard, and only where their sizes allow the wanted similarity: ``near_pairs`` deals sets
+and chain together are a signature. Stretches without anchors (other languages, code, tables) have a
+signature at each of their words and numbers, which stands for an anchor there; a text that still has
+none is one such stretch. The set of a document's signatures is its fingerprint. It depends on the
+text alone, so an unchanged part of a text keeps its signatures. Sets are compared by Jaccard, and only where their sizes allow the wanted similarity: ``near_pairs`` deals sets
 into partitions by size, so that a set meets its own and the next partitions only, and finds partners
 by their rarest signatures.
 
-Defined results: null text is the empty text; a text without an anchor that has a chain has an empty
-set, and its fingerprint is the hash of its whole text, which is like that of an equal text only;
-equal texts have equal fingerprints; repeated rows each get a result; extra columns are left out.
+Defined results: null text is the empty text; a text of fewer words than a signature has is one
+signature; without letters and digits, what stands between blanks counts as words; a text of blanks
+only has an empty set, and its fingerprint is the hash of its whole text, which is like that of an
+equal text only; equal texts have equal fingerprints; repeated rows each get a result; extra columns
+are left out.
 """
 
 from __future__ import annotations
@@ -35,24 +39,41 @@ al como con de del el en es esta la las lo los más no o para por que se su un u
 """.split())
 #: Content words in a chain; share of hexadecimal digits kept of a signature's hash.
 CHAIN, DIGITS = 2, 12
-WORD = re.compile(r"[^\W\d_]+")
+#: Words and numbers without an anchor that make a stretch; in texts of fewer than four times as many, a quarter of the text.
+STRETCH = 8
+# Letters of scripts that are written without blanks are words by themselves.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W\d_{ALONE}]+|\d+|[{ALONE}]")
+
+
+def plain(words: list[str], chain: int) -> set[str]:
+    """Chains of neighbouring words, each as long as an anchor with its chain."""
+    return {" ".join(words[i:i + chain + 1]) for i in range(max(1, len(words) - chain))} if words else set()
 
 
 def signatures(text: str, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> frozenset[str]:
-    """Hashes of the chains behind the anchors of a text."""
+    """Hashes of the chains behind the anchors of a text and of those in stretches without anchors."""
     words = WORD.findall(text.lower())
-    content = [w for w in words if w not in anchors]
-    found, seen = set(), 0
-    for w in words:
-        if w not in anchors:
+    content = [w for w in words if w not in anchors and not w[0].isdecimal()]
+    stretch = min(STRETCH, max(chain + 1, len(words) // 4))
+    found, seen, start = set(), 0, 0
+    for i, w in enumerate(words):
+        if w in anchors:
+            if seen + chain <= len(content):
+                found.add(" ".join((w, *content[seen:seen + chain])))
+            if i - start >= stretch:
+                found |= plain(words[start:i], chain)
+            start = i + 1
+        elif not w[0].isdecimal():
             seen += 1
-        elif seen + chain <= len(content):
-            found.add(" ".join((w, *content[seen:seen + chain])))
+    if len(words) - start >= stretch:
+        found |= plain(words[start:], chain)
+    found = found or plain(words or text.split(), chain)
     return frozenset(xxhash.xxh64_hexdigest(s)[:DIGITS] for s in found)
 
 
 def fingerprint(text: str) -> str:
-    """Sorted signatures, joined by commas; for a text without any, a mark and the text's hash."""
+    """Sorted signatures, joined by commas; for a text of blanks only, a mark and the text's hash."""
     found = signatures(text)
     return ",".join(sorted(found)) if found else "=" + hashlib.sha256(text.encode()).hexdigest()[:DIGITS * 2]
 

@@ -366,6 +366,29 @@ def test_near_pairs_equal_all_pairs(spark):
     assert rows(spotsigs.near_pairs(df.limit(0), 0.5)) == []
 
 
+def test_fingerprints_of_texts_without_anchors(spark):
+    r = random.Random(8)
+    russian = " ".join("".join(r.choice("абвгдежиклмнопрст") for _ in range(6)) for _ in range(60))
+    chinese = "".join(chr(0x4e00 + r.randrange(900)) for _ in range(80))
+    code = "\n".join(f"x{i} = f{i}(z{i * 7}, {i * 13})" for i in range(40))
+    figures = " ".join(str(r.randrange(10_000)) for _ in range(60))
+    english = "the cat sat there and the dog was not in the old house with other small animals " * 8
+    few = "одно два три четыре пять шесть семь восемь девять десять"
+    for i, t in enumerate((russian, chinese, code, figures, few)):
+        for after in (english, english.replace("the ", "")[::-1]):
+            docs = [(1, after), (2, t)]
+            got = {x["doc_id"]: x for x in spotsigs.compare_with_next(table(spark, docs)).collect()}
+            assert 0.1 < got[2]["near_edited"] < 0.9, (i, after[:20])
+            assert got[2]["near_next"] < 0.1
+    changed = {t: t[:-6] + "щ1 2" for t in (russian, chinese, code, figures)}
+    prints = [(i, spotsigs.fingerprint(t)) for i, t in enumerate([*changed, *changed.values()])]
+    pairs = spotsigs.near_pairs(spark.createDataFrame(prints, "doc_id long, fingerprint string"), 0.7)
+    assert rows(pairs, "a", "b") == sorted(tuple(sorted((prints[i][1], prints[i + 4][1]))) for i in range(4))
+    rows_of_table = ["kg 12 kg 13 kg 14 kg 15", "kg 22 kg 23 kg 24 kg 25"]
+    assert spotsigs.likeness(*map(spotsigs.fingerprint, rows_of_table)) == 0
+    assert [spotsigs.fingerprint(t)[0] == "=" for t in ("", " \n", "?!", "one")] == [True, True, False, False]
+
+
 # --- packing
 
 def first_plan(lengths, capacity):
