@@ -99,6 +99,31 @@ def test_yaml_import(spark):
     assert sorted((r["record_no"], r["reason"]) for r in bad.collect()) == [(2, "unknown field: nope"), (3, "not a record")]
 
 
+def test_seed_import_of_every_form(spark):
+    from pathlib import Path
+    folder = scratch(spark, "t")
+    local = Path(folder.removeprefix("file:"))
+    local.mkdir(parents=True, exist_ok=True)
+    files = {
+        "a.json": '{\n"uri": "a1",\n"seedLabel": [\n{\n"key": "k", "value": "v"}\n]\n}\n{"uri": "a2"} {"uri": "a3"}\n\n'
+                  '{broken\n{"uri": "lost"\n{"uri": "a4"}\n  {"uri": "a5", "nope": 1}\n{"uri":\n  "a6"} {"uri": "a7"}',
+        "b.json": '{"uri": "b1"}\n[1]\n{"uri": "b2"}\n{"uri": "unended\n{"uri": "b3"}\n',
+        "c.yaml": "# head\r\n---\r\nuri: c1\r\n--- # comment\r\nuri: c2\r\n---  \r\n\r\nuri: c3\r\n...\r\n---\r\nuri: c4\r\n",
+        "d.yml": "%YAML 1.1\n---\nuri: d1\nseedDescription: |\n  text\n  --- no mark\n---\n[bad\n---\n{uri: d2}\n---\n",
+        "e.json": '{"uri": "never ends",\n"uri": "x",\n' + '"a": [\n' * 40 + '{"uri": "e1"}\n',
+    }
+    for name, text in files.items():
+        (local / name).write_bytes(text.encode())
+    good, bad = R.read_seed_import(spark, folder)
+    of = sorted((r["file"][-6:].strip("/"), r["record_no"], r["uri"]) for r in good.collect())
+    assert [u for f, _, u in of if f != "e.json"] == ["a1", "a2", "a3", "a4", "a6", "a7", "b1", "b2", "b3", "c1", "c2", "c3", "c4", "d1", "d2"]
+    assert [n for f, n, _ in of if f == "a.json"] == [1, 2, 3, 6, 8, 9] and ("e1" in {u for _, _, u in of})
+    wrong = sorted((r["file"][-6:].strip("/"), r["record_no"], r["reason"]) for r in bad.collect())
+    assert [w for w in wrong if w[0] != "e.json"] == [
+        ("a.json", 4, "not a record"), ("a.json", 5, "not a record"), ("a.json", 7, "unknown field: nope"),
+        ("b.json", 2, "not a record"), ("b.json", 4, "not a record"), ("d.yml", 2, "not a record")]
+
+
 REQUEST = ("page_id string, idx int, request_id string, url string, redirected boolean, redirect_from_url string, referrer string, "
            "initiator string, has_crawl_log boolean, queue_path string")
 
