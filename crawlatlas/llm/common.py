@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlatlas.session import materialize, scratch
 
-__all__ = ["materialize", "scratch", "with_row", "sha256_hex", "text_or_empty", "Bounded"]
+__all__ = ["materialize", "scratch", "with_row", "sha256_hex", "text_or_empty", "portions", "Bounded"]
 
 # Documents that one yielded Arrow batch holds at most; bounds the memory of a task.
 CHUNK = 512
+# Bytes of text that a task works on at once, unless one text is longer.
+PORTION = 1 << 20
 
 
 def text_or_empty(column: str) -> Column:
@@ -24,6 +30,17 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows whose texts have at most ``most`` bytes together, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, to
+        at = to
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
