@@ -56,7 +56,7 @@ def test_query_matches_sql(spark, con, key):
 def test_entry_points_register_every_query():
     entry = importlib.import_module("__spark_entry__")
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_jaccard_join(spark, docs):
