@@ -24,9 +24,15 @@ def build_session(master: str | None = None, app: str = "crawlatlas", **conf: st
     return configure(builder.getOrCreate())
 
 
+#: Bytes of an Arrow batch between the JVM and Python. The default counts rows first and lets a batch of
+#: long texts grow to 64 MB, which each task then holds several times outside the heap.
+BATCH_BYTES = "4m"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Runtime settings that results depend on."""
+    """Runtime settings that results, or the memory of a task, depend on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
