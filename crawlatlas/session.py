@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,28 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/crawlatlas/{label}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage through a written table, which outlives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once all that was to be read from them is written itself."""
+    for table in tables:
+        path = _WRITTEN.pop(table, None)
+        if path is not None:
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever file system it is on."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
