@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlatlas.session import materialize, scratch
+from crawlatlas.session import discard, materialize, scratch
 
-__all__ = ["materialize", "scratch", "with_row", "sha256_hex", "text_or_empty", "portions", "Bounded"]
+__all__ = ["discard", "materialize", "scratch", "with_row", "sha256_hex", "text_or_empty", "portions", "tidy", "Bounded"]
 
 # Documents that one yielded Arrow batch holds at most; bounds the memory of a task.
 CHUNK = 512
@@ -41,6 +43,25 @@ def portions(texts: pa.Array, most: int = PORTION) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow`` that gives freed memory back to the system when its task ends.
+
+    Python workers live on for the tasks of later stages, next to which they would still hold it.
+    """
+
+    @wraps(run)
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return each
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -47,14 +47,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlatlas.llm.common import CHUNK, materialize
+from crawlatlas.llm.common import CHUNK, discard, materialize, tidy
 from crawlatlas.llm.components import components
 
 #: Ratio of the sizes in a band, rows that make a subset hot, documents that one task reduces together.
-RATIO, HOT, TOGETHER = 1.5, 48, 2048
+RATIO, HOT, TOGETHER = 1.5, 48, 1024
 #: Documents a side that one task compares by sketches; least bits of a sketch, and bits a shingle;
 #: what comparing a word of two sketches costs, a row being 1.
-BLOCK, BITS, WIDTH, COMPARED = 4096, 2048, 3, 0.01
+BLOCK, BITS, WIDTH, COMPARED = 4096, 512, 2, 0.01
 SEGMENTS = 4096
 #: Near pairs a row, beyond which a forest of them is followed up first.
 MANY = 2
@@ -250,8 +250,8 @@ def near_in_unit(own: np.ndarray, size: np.ndarray, component: np.ndarray, asks:
     first, second, bit_counts = [], [], []
     parts, whole = threshold.numerator, threshold.numerator + threshold.denominator
     crossed = len(own) and own.min() != own.max()
-    # A quarter of the bits rules out nearly all that is not near.
-    few = np.ascontiguousarray(bits[:, :bits.shape[1] // 4])
+    # Half of the bits rules out nearly all that is not near.
+    few = np.ascontiguousarray(bits[:, :bits.shape[1] // 2])
     step = max(1, min(32, 1_000_000 // max(1, few.size)))
     for at in range(0, len(size), step):
         one, rest = slice(at, at + step), slice(at + 1, None)
@@ -343,6 +343,7 @@ def near_pairs(rows: DataFrame, threshold: Fraction, again: DataFrame | None = N
     if whole_units:
         units = units.join(again, "unit", "left_semi")
 
+    @tidy
     def run(batches):
         held: list[list] = []
         rows_held, unfinished, found = 0, [], []
@@ -403,6 +404,7 @@ def near_pairs(rows: DataFrame, threshold: Fraction, again: DataFrame | None = N
 def described(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc (key), size (of its set), p1, p2 (128 bits that name the set) and its sketch."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             sizes, p1, p2, sketches = [], [], [], []
@@ -437,6 +439,7 @@ def dealt_rows(docs: DataFrame, scheme: Scheme, n: int, parts: int, key: str, te
     are also known to be shared, so they are dealt anywhere (``alone`` is false).
     """
 
+    @tidy
     def run(batches):
         def some(ids, sets):
             keys, owners = rows_of(sets, scheme)
@@ -491,6 +494,7 @@ def shared_rows(dealt: DataFrame, parts: int) -> DataFrame:
     sent one row of a key at most.
     """
 
+    @tidy
     def run(batches):
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
@@ -527,6 +531,7 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, threshold: Fraction, key:
     left = pairs.join(texts, F.col("a") == F.col("t_doc")).select("a", "b", F.col("t").alias("a_text"))
     both = left.join(texts, F.col("b") == F.col("t_doc")).select("a", "b", "a_text", F.col("t").alias("b_text"))
 
+    @tidy
     def run(batches):
         # Pairs come grouped by one side, and few other texts meet it.
         set_of = lru_cache(maxsize=64)(lambda t: shingles(words_of(t), n))
@@ -561,6 +566,7 @@ def promising(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> Dat
     side = {x: sketches.select(F.col("rep").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
             for x in "ab"}
 
+    @tidy
     def run(batches):
         for batch in batches:
             left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
@@ -624,7 +630,9 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(shared_rows(dealt_rows(docs, scheme, n, parts, key, text), parts), "met")
     hits = materialize(met.join(of_class, "doc").select("key", "rep", "size").distinct(), "hits")
+    discard(met)
     kept = materialize(_without_hot(hits, scheme, hot), "kept")
+    discard(hits)
 
     stars = materialize(promising(_stars(kept, threshold), classes, threshold), "pairs")
     links = linked(docs, stars, n, threshold, key, text)

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlatlas.llm.common import tidy
+
 WINDOW = 256
 #: Symbols with a column of their own: 0 is the gap between words, the last one a letter that no sample has.
 #: Letters beyond the most frequent ones are symbols from SYMBOLS on, whose transitions are kept as a sorted list.
@@ -246,6 +248,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(len(keep))]
 
+    @tidy
     def run(batches):
         model = shared.value
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlatlas.llm.common import CHUNK, materialize
+from crawlatlas.llm.common import CHUNK, materialize, tidy
 from crawlatlas.llm.tokens import encoder
 
 ENTRY = "p_length int, p_rank long, p_count long, p_sequence long, p_offset int, p_each int"
@@ -39,6 +39,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, key: str = "
     """Pieces of every row: key, piece, start, length, ids_crc32, slice (the task) and place (number
     among the pieces of its length in the slice); ``with_ids`` adds the ids."""
 
+    @tidy
     def run(batches):
         seen = np.zeros(capacity + 1, np.int64)
         slice_no, encode = TaskContext.get().partitionId(), encoder(path).encode

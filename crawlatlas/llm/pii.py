@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlatlas.llm.common import CHUNK, materialize
+from crawlatlas.llm.common import CHUNK, materialize, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Turns of scoring; what a pattern needs: different seeds, and share of its occurrences of one kind.
@@ -125,6 +125,7 @@ SEEN = "struct<pattern:string,value:string,kind:int,start:int,end:int>"
 def spans_of_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, t1, t2 (hashes that name the text), base (spans) and seen (occurrences) of every row."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column(3)
@@ -239,6 +240,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) -
     joined = joined.select(*docs.columns, "_found")
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, CHUNK):
