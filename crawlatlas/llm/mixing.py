@@ -49,7 +49,7 @@ def targets(rows: DataFrame, cycle: Sequence[int] = (3, 1, 2), share: float = 1.
     The sources in order of code points weigh as ``cycle`` says, over and over.
     """
     per = materialize(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size")), "sources")
-    ranked = ordered.row_numbers(per, [], [F.col("source").asc_nulls_last()], "rank")
+    ranked = ordered.row_numbers(per, [], [F.col("source").isNull(), F.col("source")], "rank")
     weights = F.array(*[F.lit(int(w)) for w in cycle])
     weighed = ranked.withColumn("weight", F.element_at(weights, ((F.col("rank") - 1) % len(cycle) + 1).cast("int")).cast("long"))
     # A source fills up when the common level reaches ``full``.
