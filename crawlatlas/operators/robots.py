@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from crawlatlas.functions.robots import allows, text_allows
 from crawlatlas.operators import ordered
-from crawlatlas.operators.skew import annotate, look_up
+from crawlatlas.operators.skew import look_up
 
 KEY = ["collection", "scheme", "host", "port"]
 CUSTOM_IF_MISSING = ["CUSTOM_IF_MISSING", "CUSTOM_IF_MISSING_CLASSIC"]
@@ -78,20 +78,25 @@ def judged_by_rules(rows: DataFrame, texts: DataFrame, key: str, agent: str, out
                     together: int = 100_000) -> DataFrame:
     """Add what the rules that ``key`` points at say of each URL; NULL where they do not exist.
 
-    ``texts`` are ``key, rules`` with unique keys. A text meets its URLs in a sorted partition, where it
-    is parsed once for up to about ``together`` of them: neither is it joined to URL rows, nor broadcast,
-    nor is a host with very many URLs one task.
+    ``texts`` are ``key, rules``; a NULL text is none, and of several under one key the greatest holds. A
+    text meets its URLs in a sorted partition, where it is parsed once for up to about ``together`` of
+    them: neither is it joined to URL rows, nor broadcast, nor is a host with very many URLs one task.
+    Only keys with more URLs than that are counted out and broadcast, at most rows / ``together`` of them.
     """
     columns = rows.columns
-    salts = F.ceil(F.col("_urls") / together).cast("int")
-    asked = annotate(rows.where(F.col(key).isNotNull()), [key], {"_urls": F.count(F.lit(1))})
-    urls = asked.withColumn("_salt", F.pmod(F.xxhash64(uri), salts).cast("int")).select(
-        *columns, "_salt", F.lit(None).cast("string").alias("_rules"))
-    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_urls"))
-    heads = texts.select(F.col(key).alias("_k"), F.col("rules").alias("_rules")).join(counts, F.col("_k") == F.col("_key"))
-    heads = heads.select(*[F.col("_k").alias(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns],
-                         F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_rules")
-    dealt = urls.unionByName(heads).repartition(key, "_salt").sortWithinPartitions(key, "_salt", F.col("_rules").isNull())
+    asked = rows.where(F.col(key).isNotNull())
+    many = (asked.groupBy(F.col(key).alias("_many")).agg(F.count(F.lit(1)).alias("_urls"))
+            .where(F.col("_urls") > together).select("_many", F.ceil(F.col("_urls") / together).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    urls = asked.join(F.broadcast(many), F.col(key) == F.col("_many"), "left").select(
+        *columns, F.pmod(F.xxhash64(uri), salts).cast("int").alias("_salt"), F.lit(None).cast("string").alias("_rules"))
+    known = texts.where(F.col("rules").isNotNull()).select(F.col(key).alias("_k"), F.col("rules").alias("_rules"))
+    heads = known.join(F.broadcast(many), F.col("_k") == F.col("_many"), "left").select(
+        *[F.col("_k").alias(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns],
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"), "_rules")
+    # Heads, which have rules, come before the URLs of their key.
+    dealt = urls.unionByName(heads).repartition(key, "_salt").sortWithinPartitions(
+        key, "_salt", F.col("_rules").isNull(), "_rules")
     places = {c: i for i, c in enumerate([*columns, "_salt", "_rules"])}
 
     def run(batches):
@@ -115,12 +120,14 @@ def judged_by_rules(rows: DataFrame, texts: DataFrame, key: str, agent: str, out
 def robots_allowed(rows: DataFrame, fetches: DataFrame, agent: str, policy: Column, custom: str) -> DataFrame:
     """Add ``allowed``: by policy, from the rules in force; NULL is a service error.
 
-    ``rows`` carry the ``rules_seq`` of their host's rules, not the text.
+    ``rows`` carry the ``rules_seq`` of their host's rules, not the text. An answer without a body has no rules
+    and allows everything.
     """
     ruled = F.coalesce(F.col("has_rules"), F.lit(False))
     unreachable = (F.col("state") == "suppressed") & ~ruled
     own = policy.isin(CUSTOM) | (policy.isin(CUSTOM_IF_MISSING) & ~ruled)
-    texts = fetches.where(F.col("http_status").between(200, 299)).select(F.col("seq").alias("_seq"), F.col("body").alias("rules"))
+    texts = fetches.where(F.col("http_status").between(200, 299)).select(F.col("seq").alias("_seq"),
+                                                                       F.coalesce("body", F.lit("")).alias("rules"))
     asked = rows.withColumn("_seq", F.when(policy.isin(OBEY) & ruled, F.col("rules_seq")))
     judged = judged_by_rules(asked, texts, "_seq", agent, "_by_rules")
     by_custom = text_allows(custom, agent)(F.when(own, F.col("uri")))

@@ -57,3 +57,10 @@ def test_host_groups(spark):
                        ({"use_hostname": True}, (sha["a.org"], sha["b.org"]))):
         got = admitted(spark, [], "host string, rules string", **more)
         assert {u.split("/")[0]: r["crawl_host_group_id"] for (_, u), r in got.items()} == {"a.org": want[0], "b.org": want[1], "b.org:8080": want[1]}
+
+
+def test_hosts_without_a_rules_text(spark):
+    """A NULL text is no text and adds no row; a blank one allows all."""
+    whole = admitted(spark, [("a.org", None), ("b.org", "")], "host string, rules string", custom=OWN)
+    assert len(whole) == 36 and all(page is not None for page, _ in whole)
+    assert refused(whole) == {(2, f"{h}/own") for h in ("a.org", "b.org", "b.org:8080")} | {(3, "a.org/own")}

@@ -61,3 +61,25 @@ def test_large_groups_are_sliced(rows):
     got = ordered.row_numbers(rows, ["key"], [F.col("seq"), F.col("id")], "n")
     assert got.where("key = 'hot'").agg(F.max("n"), F.count_distinct("n")).first() == (
         rows.where("key = 'hot'").count(),) * 2
+
+
+@pytest.mark.parametrize("hot_rows", [7, 40, 600])
+def test_sampled_borders_give_what_windows_give(rows, hot_rows):
+    """Only groups above the bound are cut, by borders from a sample of them."""
+    w = Window.partitionBy("key").orderBy("seq", "id")
+    want = {r["id"]: (r["n"], r["s"]) for r in rows.select("id", F.row_number().over(w).alias("n"), F.coalesce(
+        F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s")).collect()}
+    cols = [F.col("seq"), F.col("id")]
+    n = {r["id"]: r["n"] for r in ordered.row_numbers(rows, ["key"], cols, "n", hot_rows=hot_rows).collect()}
+    s = {r["id"]: r["s"] for r in ordered.running_sum(rows, ["key"], cols, F.col("value"), "s", hot_rows=hot_rows).collect()}
+    assert {i: (n[i], s[i]) for i in want} == want
+    alone = ordered.row_numbers(rows, [], cols, "n", hot_rows=hot_rows)
+    assert [r["n"] for r in alone.orderBy("seq", "id").select("n").collect()] == list(range(1, rows.count() + 1))
+
+
+def test_slices_are_of_about_the_stated_size(rows):
+    placed = rows.withColumn("_o", F.struct(F.col("seq").alias("o0"), F.col("id").alias("o1")))
+    cut = ordered._cut(placed, ["key"], ordered._borders(placed, ["key"], None, 100), "left")
+    sizes = [r["count"] for r in cut.where("key = 'hot'").groupBy("_slice").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 500
+    assert cut.where("key <> 'hot'").agg(F.count("_slice")).first()[0] == 0
