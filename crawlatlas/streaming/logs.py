@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlatlas.operators.frontier import already_seen, revisit_mark
 from crawlatlas.operators.recent import replace_rewritten, retain
-from crawlatlas.operators.skew import look_up
-from crawlatlas.session import scratch
-from crawlatlas.streaming.tables import batch_dir, batches, earlier, run_available, version_before, write_batch
+from crawlatlas.session import remove, scratch
+from crawlatlas.streaming.state import first_sights, keyed_state, known_content
+from crawlatlas.streaming.tables import batch_dir, batches, run_available, version_before, write_batch
 
 
 def normalize_logs(logs: DataFrame, now: Column | None = None) -> DataFrame:
@@ -38,13 +37,19 @@ def fanout(archive, recent, on_error=None):
 
 
 def recent_window(stream: DataFrame, crawl: int, page: int) -> DataFrame:
-    """Newest rows per log type after every batch; each batch writes the next version of the window."""
+    """Newest rows per log type after every batch; each batch writes the next version of the window.
+
+    Of the versions before it only the last one stays, from which a batch that is tried again starts.
+    """
     spark = stream.sparkSession
     path = scratch(spark, "window")
 
     def each(rows: DataFrame, batch: int) -> None:
         before = version_before(spark, path, "window", batch, rows.schema)
         write_batch(retain(replace_rewritten(before.unionByName(rows)), crawl, page), path, "window", batch)
+        for old in batches(spark, path, "window"):
+            if old < batch - 1:
+                remove(spark, batch_dir(path, "window", old))
 
     run_available(stream, each, path)
     written = batches(spark, path, "window")
@@ -54,51 +59,27 @@ def recent_window(stream: DataFrame, crawl: int, page: int) -> DataFrame:
 
 
 def already_seen_stream(stream: DataFrame, order: str, ended_jobs: DataFrame | None = None) -> DataFrame:
-    """First sights of URIs per job execution, against a table of those seen before.
+    """First sights of URIs per job execution; what an ended job execution (``ended_jobs``) has seen is forgotten.
 
-    What an ended job execution (``ended_jobs.job_execution_id``) has seen is forgotten.
+    See ``state.first_sights``.
     """
-    spark = stream.sparkSession
-    path = scratch(spark, "seen")
-    state = stream.select("job_execution_id", "uri_hash").schema
+    return _stateful(first_sights(stream, order, ended_jobs), "seen")
 
-    def each(rows: DataFrame, batch: int) -> None:
-        seen = earlier(spark, path, "seen", batch, state)
-        if ended_jobs is not None:
-            seen = seen.join(ended_jobs, "job_execution_id", "left_anti")
-        first = already_seen(rows, order, seen)
-        write_batch(first, path, "out", batch)
-        new = spark.read.schema(rows.schema).parquet(batch_dir(path, "out", batch))
-        (new.select("job_execution_id", "uri_hash").write.mode("overwrite")
-         .parquet(batch_dir(path, "seen", batch)))
 
-    run_available(stream, each, path)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+def revisit_stream(stream: DataFrame, order: list[str], expires: Column, now: Column, time: str | None = None) -> DataFrame:
+    """Mark repeated content against first sights whose period has not ended. See ``state.known_content``."""
+    return _stateful(known_content(stream, order, expires, now, time), "revisit")
 
 
-def revisit_stream(stream: DataFrame, order: list[str], expires: Column, now: Column) -> DataFrame:
-    """Mark repeated content against a table of first sights whose period has not ended."""
+def _stateful(stream: DataFrame, label: str) -> DataFrame:
+    """Run a stream with keyed state over what is there and read what it gave."""
     spark = stream.sparkSession
-    path = scratch(spark, "revisit")
-    digest = F.coalesce(F.nullif(F.col("digest"), F.lit("")), F.nullif(F.col("block_digest"), F.lit("")))
-    keyed = F.when(F.col("record_type").isin("response", "resource"), digest)
-    state = stream.select("collection", keyed.alias("key"), F.col("record_id").alias("known_id"),
-                          expires.alias("expires")).schema
-
-    def each(rows: DataFrame, batch: int) -> None:
-        known = earlier(spark, path, "known", batch, state).where(F.col("expires").isNull() | (F.col("expires") > now))
-        first_of_key = known.groupBy("collection", "key").agg(F.min("known_id").alias("known_id"))
-        marked = revisit_mark(rows, order).withColumn("key", keyed)
-        met = look_up(marked, first_of_key, {"collection": "collection", "key": "key"}, ["known_id"])
-        refers = F.coalesce("known_id", "refers_to")
-        done = met.withColumn("refers_to", refers).withColumn("is_revisit", refers.isNotNull())
-        write_batch(done.withColumn("expires", expires), path, "out", batch)
-        written = spark.read.parquet(batch_dir(path, "out", batch))
-        new = written.where(~F.col("is_revisit") & F.col("key").isNotNull())
-        write_batch(new.select("collection", "key", F.col("record_id").alias("known_id"), "expires"), path, "known", batch)
-
-    run_available(stream, each, path)
-    return spark.read.parquet(f"{path}/out").drop("known_id", "key", "expires", "batch")
+    path = scratch(spark, label)
+    with keyed_state(spark):
+        run_available(stream, lambda rows, batch: write_batch(rows, path, "out", batch), path)
+    if not batches(spark, path, "out"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def oos_stream(stream: DataFrame, existing: DataFrame) -> DataFrame:
