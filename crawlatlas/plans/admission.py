@@ -12,6 +12,7 @@ from crawlatlas.operators.joins import host_groups
 from crawlatlas.operators.robots import CUSTOM, CUSTOM_IF_MISSING, KEY, OBEY, judged_by_rules, keyed
 from crawlatlas.operators.scope import Rule, scope_decide
 from crawlatlas.operators.skew import look_up
+from crawlatlas.plans.seen import without_seen
 from crawlatlas.session import materialize
 
 ILLEGAL_URI, ALREADY_SEEN, ROBOTS = -7, -4100, -9998
@@ -70,7 +71,8 @@ def admit_outlinks(outlinks: DataFrame, parents: DataFrame, dns: DataFrame, robo
     ``dns`` is ``host, ip, dns_code`` with unique hosts; ``robots`` is ``host, rules`` and, where rules
     depend on them, ``collection``, ``scheme`` and ``port``, unique together; ``custom`` are the rules of the
     custom policies. Hosts are very uneven, so neither gathers a host's rows, and rules stay out of URL rows.
-    ``limits`` are those of ``still_active``, ``ranges`` and ``use_hostname`` those of ``host_groups``.
+    ``limits`` are those of ``still_active``, ``ranges`` and ``use_hostname`` those of ``host_groups``. ``seen``
+    has the job_execution_id and uri_hash of earlier runs, best as the lasting table of ``plans.seen``.
     """
     rows = inherit(outlinks, parents)
     rows = rows if limits is None else still_active(rows, limits)
@@ -106,7 +108,8 @@ def first_sights(checked: DataFrame, seen: DataFrame | None) -> DataFrame:
     first = (checked.where(admissible).groupBy("job_execution_id", "uri_hash")
              .agg(F.min(order).alias("first")))
     if seen is not None:
-        first = first.join(seen.select("job_execution_id", "uri_hash"), ["job_execution_id", "uri_hash"], "left_anti")
+        # Written, so that the anti-join is not pushed below the aggregate, where a hot URI would meet it unreduced.
+        first = without_seen(materialize(first, "first"), seen)
     marked = look_up(checked, first, {"job_execution_id": "job_execution_id", "uri_hash": "uri_hash"}, ["first"])
     is_first = admissible & F.col("first").isNotNull() & (F.col("first") == order)
     reason = F.when(is_first, F.lit(None).cast("int")).when(admissible, ALREADY_SEEN).otherwise(F.col("_reason"))

@@ -8,8 +8,10 @@ from crawlatlas.functions import urls as U
 from crawlatlas.operators.frontier import politeness_delay
 from crawlatlas.operators.scope import scope_default
 from crawlatlas.plans.admission import admit_outlinks
+from crawlatlas.plans.seen import remember, seen_table
 from crawlatlas.registry.base import query
 from crawlatlas.registry.joins import _SHA
+from crawlatlas.session import materialize, scratch
 from crawlatlas.sources.derived import rowwise
 from crawlatlas.sources.tables import load
 
@@ -193,3 +195,58 @@ def admit(spark, sf_dir):
     rows = admit_outlinks(outlinks, parents, dns, robots, scope_default(), "crawler")
     return rows.select("page_id", "uri", "execution_id", "sequence", "decision", "reason", "for_retry",
                        "priority_weight", "crawl_host_group_id")
+
+
+POLICIES = ["OBEY_ROBOTS", "IGNORE_ROBOTS", "CUSTOM_ROBOTS", "CUSTOM_IF_MISSING"]
+
+
+@query("admit_outlinks_full", f"""
+WITH l AS (SELECT DISTINCT page_id, page_url, regexp_extract(page_url, '://([^/?#]*)', 1) AS host, split_part(page_url, '://', 1) AS scheme,
+    {_ENCODED} AS uri, {_ENCODED} AS found FROM link),
+e AS (SELECT *, length(host) % 5 AS d, page_id % 20 AS k, split_part(uri, host, 2) AS rest,
+    length(CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'L' WHEN 2 THEN 'LL' ELSE 'L' END) + 1 AS hops,
+    list_element(['OBEY_ROBOTS', 'IGNORE_ROBOTS', 'CUSTOM_ROBOTS', 'CUSTOM_IF_MISSING'], CAST((page_id // 3) % 4 + 1 AS BIGINT)) AS policy,
+    length(host) % 3 = 0 AND scheme = 'http' AND (page_id % 5 = 0 OR page_id % 2 = 0) AS ruled FROM l),
+f AS (SELECT *, page_id % 11 <> 0 AND k % 7 <> 6 AND NOT (k % 2 = 0 AND 10 * k > 150) AND NOT (k % 3 = 0 AND k > 12) AS active,
+    CASE WHEN policy = 'IGNORE_ROBOTS' THEN false
+         WHEN policy = 'CUSTOM_ROBOTS' OR (policy = 'CUSTOM_IF_MISSING' AND NOT ruled) THEN starts_with(rest, '/s')
+         ELSE ruled AND (starts_with(rest, '/t') OR rest LIKE '/%en%') END AS denied FROM e),
+r AS (SELECT *, CASE WHEN page_id % 7 = 0 AND scheme = 'http' THEN -5001 WHEN hops > 2 THEN -4001 WHEN d = 0 THEN -9
+    WHEN d >= 2 AND denied THEN -9998 WHEN NOT active THEN 0 END AS reason0 FROM f),
+b AS (SELECT DISTINCT uri AS old FROM l WHERE page_id % 4 = 1),
+s AS (SELECT r.*, page_id % 3 = 0 AND old IS NOT NULL AS seen,
+    row_number() OVER (PARTITION BY page_id % 3, uri, reason0 IS NULL ORDER BY page_id, found) AS rn FROM r LEFT JOIN b ON uri = old),
+q AS (SELECT *, reason0 IS NULL AND rn = 1 AND NOT seen AS queued FROM s)
+SELECT page_id, uri, concat('ce', k) AS execution_id, page_id % 9 + 1 AS sequence, CASE WHEN queued THEN 'QUEUED' ELSE 'REJECTED' END AS decision,
+  CASE WHEN reason0 IS NULL AND NOT queued THEN -4100 ELSE reason0 END AS reason, CASE WHEN queued THEN d = 1 END AS for_retry,
+  CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS priority_weight,
+  CASE WHEN queued THEN CASE WHEN d = 1 THEN concat('TEMP_CHG_', {_SHA.format('host')}) WHEN length(host) = 17 THEN 'near'
+    WHEN length(host) BETWEEN 19 AND 255 THEN 'far' ELSE {_SHA.format("concat('10.0.', length(host), '.1')")} END END AS crawl_host_group_id
+FROM q""")
+def admit_full(spark, sf_dir):
+    """Admission by limits, robots policy and key, address ranges, and a bucketed table of what was seen before."""
+    parents, dns, robots = admission_input(spark, sf_dir)
+    n = F.col("page_id")
+    parents = parents.withColumn("collection", F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("c"), n % 2))).withColumn(
+        "robots_policy", F.element_at(F.array(*[F.lit(p) for p in POLICIES]), (F.floor(n / 3) % 4 + 1).cast("int")))
+    robots = robots.select(F.explode(F.array(F.lit("c0"), F.lit("unscoped"))).alias("collection"), F.lit("http").alias("scheme"), "host",
+                           F.lit(80).alias("port"), "rules")
+    k = F.col("id")
+    limits = spark.range(20).select(
+        F.concat(F.lit("ce"), k).alias("execution_id"), F.when(k % 7 == 6, "FINISHED").otherwise("FETCHING").alias("state"),
+        (10 * k).alias("bytes_crawled"), k.alias("age_s"), F.when(k % 2 == 0, 150).otherwise(0).cast("bigint").alias("max_bytes"),
+        F.when(k % 3 == 0, 12).otherwise(0).cast("bigint").alias("max_duration_s"))
+    ranges = spark.createDataFrame([("near", "10.0.17.0", "10.0.17.255"), ("wide", "10.0.16.0", "10.0.17.128"), ("far", "10.0.19.0", "10.0.255.255")],
+                                   "config_id string, ip_from string, ip_to string")
+    outlinks = materialize(H.extract_outlinks(load(spark, sf_dir, "pages")), "outlinks")
+    name = scratch(spark, "seen")
+    table = "seen_" + name[-32:]
+    seen = seen_table(spark, table, name, 32)
+    before = outlinks.where(n % 4 == 1).select(F.lit("je0").alias("job_execution_id"), U.uri_hash(F.col("uri")).alias("uri_hash"),
+                                               F.lit("QUEUED").alias("decision"))
+    remember(before, table)
+    spark.catalog.refreshTable(table)
+    rows = admit_outlinks(outlinks, parents, dns, robots, scope_default(), "crawler", seen=seen, limits=limits, ranges=ranges,
+                          custom="User-agent: *\nDisallow: /s\n")
+    return rows.select("page_id", "uri", "execution_id", "sequence", "decision", "reason", "for_retry",
+                       "priority_weight", "crawl_host_group_id")
