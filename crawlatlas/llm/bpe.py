@@ -4,8 +4,7 @@ A word is held as a list of parts and a parallel list with the merge rank of eac
 right neighbour. The smallest rank is looked for by a scan, the boundary behind it is deleted and
 the two neighbouring ranks are refreshed, until no neighbours merge. A scan is the fastest way for
 short words; words beyond ``SHORT`` parts take the same merges from a heap, so that one very long
-word costs n log n instead of n squared. Letters and digits are those of the interpreter's Unicode
-version.
+word costs n log n instead of n squared. Letters and digits are those that the vocabulary's library knows.
 
 Defined results: null text encodes as the empty text, which has no ids and decodes to the empty
 string; repeated rows each get their own result; extra columns are left out of the result.
@@ -24,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from crawlatlas.llm.common import CHUNK, Bounded, sha256_hex
 
@@ -63,21 +63,27 @@ class RankArrayBPE:
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(self._known(pattern))
+        self.words = regex.compile(self._known(pattern, path))
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo = Bounded(self._shown, MEMO)
 
-    @staticmethod
-    def _known(pattern: str) -> str:
-        """The pattern with letters and digits as the interpreter's Unicode version knows them.
+    def _known(self, pattern: str, path: str) -> str:
+        """The pattern with letters and digits as the vocabulary's library knows them.
 
-        The matcher's own tables are of a later version, whose new letters the vocabulary's
-        library still takes for signs.
+        The matcher, the interpreter and the library have tables of different Unicode versions. The library is
+        asked about each letter and digit that is newer than the interpreter: whether it takes it for a sign,
+        and what it makes of it in lower case.
         """
-        later = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000
+        library = Tokenizer.from_file(path)
+        pieces, normal = library.pre_tokenizer.pre_tokenize_str, library.normalizer.normalize_str
+        later = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000
                  and unicodedata.category(chr(c)) == "Cn" and LATER.match(chr(c))]
+        self.later_lower = {ord(c): normal(c) for c in later if normal(c) != c}
+        self.cased = re.compile("[" + "".join(map(re.escape, map(chr, self.later_lower))) + "]") if self.later_lower else None
+        # A sign stays in one piece with a sign before it.
+        signs = [ord(c) for c in later if len(pieces("!" + c)) == 1]
         runs: list[list[int]] = []
-        for c in later:
+        for c in signs:
             if runs and runs[-1][1] == c - 1:
                 runs[-1][1] = c
             else:
@@ -90,7 +96,11 @@ class RankArrayBPE:
 
     def normal(self, text: str) -> str:
         """NFC, then lower case by code point (without the context that a final sigma has)."""
+        if text.isascii():
+            return text.lower()
         text = unicodedata.normalize("NFC", text)
+        if self.cased is not None and self.cased.search(text):
+            text = text.translate(self.later_lower)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
     def merge_word(self, word: str) -> list[int]:

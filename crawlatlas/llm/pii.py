@@ -234,10 +234,14 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
     """The rows of ``docs``, all columns, with personal data in ``text`` masked. Null text stays null."""
     found = discovered(materialize(spans_of_rows(docs, key, text).select("t1", "t2", "seen"), "rows"), **bounds)
-    named = docs.select("*", *[h.alias(f"_{n}") for h, n in zip(text_hashes(text), ("t1", "t2"), strict=True)])
-    found = found.select(F.col("t1").alias("_f1"), F.col("t2").alias("_f2"), F.col("found").alias("_found"))
-    joined = named.join(found, (F.col("_t1") == F.col("_f1")) & (F.col("_t2") == F.col("_f2")), "left")
-    joined = joined.select(*docs.columns, "_found")
+    # The row travels as one column, so that its names cannot clash with those in use here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *text_hashes(text))
+    joined = rows.join(found.select(F.col("t1").alias("f1"), F.col("t2").alias("f2"), "found"),
+                       (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")), "left")
+    extra = "found"
+    while extra in docs.columns:
+        extra += "_"
+    joined = joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("found").alias(extra))
     at = docs.columns.index(text)
 
     @tidy
