@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlatlas.functions.labels import matches_all
-from crawlatlas.operators.ordered import row_numbers
+from crawlatlas.operators.ordered import sorted_numbers
 from crawlatlas.operators.projection import CONFIG_MINIMUM, field_at, mask_project
 
 
@@ -271,6 +271,6 @@ def newest_first(rows: DataFrame, seq: str, offset: int, page_size: int) -> Data
     if page_size > 0:
         return rows.orderBy(*newest).offset(max(offset, 0)).limit(page_size)
     if offset > 0:
-        numbered = row_numbers(rows, [], newest, "_place")
+        numbered = sorted_numbers(rows, newest, "_place")
         rows = numbered.where(F.col("_place") > offset).drop("_place")
     return rows.orderBy(*newest)

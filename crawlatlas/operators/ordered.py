@@ -104,3 +104,17 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out
     known = F.coalesce(F.last(value, ignorenulls=True).over(upto), F.col("_carried"))
     done = _carried(df, keys, [F.col(c) for c in order], newest, lambda c: F.last(c, ignorenulls=True), known, slices, hot_rows)
     return done.select(*[c for c in df.columns if c != out], F.col("_out").alias(out))
+
+
+def sorted_numbers(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number all rows from 1 in any sort order, descending or with nulls last too, which must be total.
+
+    Rows are range-partitioned and written once, since the borders come from sampling and both readers have
+    to see the same ones; a task numbers one range after what the ranges before it hold.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "slices")
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_slice").alias("_k"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    return ranged.join(F.broadcast(before), F.col("_slice") == F.col("_k")).withColumn(out, number).drop("_slice", "_k", "_before")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from crawlatlas.functions import labels as L
 from crawlatlas.operators import listing as R
 from crawlatlas.operators import selection as S
-from crawlatlas.operators.ordered import row_numbers
+from crawlatlas.operators.ordered import sorted_numbers
 from crawlatlas.registry.base import query
 from crawlatlas.sources.derived import (
     config_object, crawl_execution, job_execution, rowwise, seed_object,
@@ -218,7 +218,7 @@ SELECT id, row_number() OVER (ORDER BY lower(nullif(trim(description), '')) DESC
 FROM config_flat""")
 def sort_nulls_last(spark, sf_dir):
     order = R.nulls_last_order("description", descending=True)
-    return row_numbers(rowwise(spark, sf_dir, "config_flat").select("id", "description"), [], order, "pos").select(
+    return sorted_numbers(rowwise(spark, sf_dir, "config_flat").select("id", "description"), order, "pos").select(
         "id", F.col("pos").cast("bigint").alias("pos"))
 
 
