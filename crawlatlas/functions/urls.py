@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from urllib.parse import quote, quote_plus, unquote, unquote_plus, unquote_to_bytes
 
@@ -28,11 +29,13 @@ FORM_SAFE = "*-._"
 PUBLIC_SUFFIXES = [
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp",
     "or.jp", "com.br", "com.cn", "co.in", "co.kr", "co.za", "com.mx", "com.tr", "priv.no", "kommune.no",
-    "github.io", "blogspot.com",
+    "github.io", "blogspot.com", "*.bd", "*.ck", "!www.ck", "*.er", "*.fk", "*.jm", "*.kh", "*.mm", "*.np", "*.pg",
 ]
 
 COUNTRY_SUFFIX = r"^(?:ac|co|com|edu|go|gob|gouv|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$"
 
+WWW = r"(?i)^www[0-9]*\.."
+
 _SIMPLE = r"^https?://[a-z0-9]([a-z0-9-]*\.)+[a-z]+(/[A-Za-z0-9_~-][A-Za-z0-9._~-]*)*/?$"
 _SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.\-]*):")
 _BAD_HOST = re.compile(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]")
@@ -170,6 +173,10 @@ def _canonical_list(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else one(t))
 
 
+# Spark would copy a deterministic call into every place that reads its result.
+_CANONICAL_LIST = _canonical_list.asNondeterministic()
+
+
 def canonical_text(url: str) -> str:
     """One URL in canonical form."""
     return parse_uri(url, True)[0]
@@ -177,7 +184,7 @@ def canonical_text(url: str) -> str:
 
 def canonical_list(urls: Column) -> Column:
     """Space-separated URLs to an array of canonical ones; the same text is parsed once."""
-    return _canonical_list(urls)
+    return _CANONICAL_LIST(urls)
 
 
 def with_site(df: DataFrame, url: str = "url") -> DataFrame:
@@ -248,14 +255,38 @@ def range_blocks(first: Column, last: Column) -> Column:
     return _range_blocks(first, last)
 
 
-def scope_anchor(host: Column, suffixes: list[str] | None = None) -> Column:
-    """Host without one www label, unless what is left is itself a public suffix."""
-    rest = F.regexp_extract(host, r"(?i)^www[0-9]*\.(.+)$", 1)
+def suffix_rules(lines: Iterable[str]) -> list[str]:
+    """Rules of a public-suffix list in its usual text form, as ``suffixes=`` takes them.
+
+    A rule ends at the first blank; empty lines and those that begin with two slashes say nothing.
+    Names beyond ASCII are written as hosts are.
+    """
+    rules = set()
+    for line in lines:
+        rule = line.split(maxsplit=1)[0].lower() if line.strip() else ""
+        if rule and not rule.startswith("//"):
+            rules.add(".".join(label if label.isascii() else label.encode("idna").decode("ascii")
+                               for label in rule.removeprefix(".").split(".")))
+    return sorted(rules)
+
+
+def is_public_suffix(host: Column, suffixes: list[str] | None = None) -> Column:
+    """The host is one label, a rule, or one label under a ``*.`` rule without a ``!`` rule of its own."""
     known = PUBLIC_SUFFIXES if suffixes is None else suffixes
+    exact = [r for r in known if r[0] not in "*!"]
+    wild, spared = ([r.removeprefix(mark) for r in known if r.startswith(mark)] for mark in ("*.", "!"))
+    parent = F.substring(host, F.instr(host, ".") + 1, F.length(host))
+    listed = host.isin(exact) | (parent.isin(wild) & ~host.isin(spared))
     # Without a full list, a generic label under a country's domain is taken for a suffix too.
-    generic = F.lit(False) if suffixes is not None else rest.rlike(COUNTRY_SUFFIX)
-    registrable = rest.contains(".") & ~rest.isin(known) & ~generic
-    return F.when((rest != "") & registrable, rest).otherwise(host)
+    generic = F.lit(False) if suffixes is not None else host.rlike(COUNTRY_SUFFIX)
+    return ~host.contains(".") | listed | generic
+
+
+def scope_anchor(host: Column, suffixes: list[str] | None = None) -> Column:
+    """Host without one www label, unless what is left is itself a public suffix or no proper name."""
+    rest = F.when(host.rlike(WWW), F.substring(host, F.instr(host, ".") + 1, F.length(host)))
+    proper = ~(rest.startswith(".") | rest.endswith(".") | rest.contains(".."))
+    return F.when(proper & ~is_public_suffix(rest, suffixes), rest).otherwise(host)
 
 
 # How accented letters are spelled in a host shard name.

@@ -8,8 +8,10 @@ projection. Candidates have ``uri, seed_uri, discovery_path, referrer`` and a ma
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +47,10 @@ def param(name: str) -> Param:
     return Param(name)
 
 
+def value_of(given: str | Param) -> Column:
+    return F.try_element_at("annotation", F.lit(given.name)) if isinstance(given, Param) else F.lit(given)
+
+
 class Candidate:
     """The columns rules look at; a transforming rule changes what later ones see."""
 
@@ -53,7 +59,7 @@ class Candidate:
         self.href, self.query = F.col(parsed)["href"], F.col(parsed)["query"]
 
     def value(self, given: str | Param) -> Column:
-        return F.try_element_at("annotation", F.lit(given.name)) if isinstance(given, Param) else F.lit(given)
+        return value_of(given)
 
     def problem(self, *given) -> Column:
         """Message about the first missing parameter."""
@@ -73,6 +79,8 @@ class Rule:
     problem_status: int = RUNTIME_EXCEPTION
     change: Callable[[Candidate], None] | None = None
     needs: int | None = None
+    #: Columns that the test and the problem share, worked out once per row before them.
+    columns: Callable[[], dict[str, Column]] = dict
 
     def then(self, status: int | None, proceed: bool = False) -> Rule:
         return replace(self, outcomes=self.outcomes + ((True, status, proceed),))
@@ -88,16 +96,21 @@ class Rule:
         if self.change is not None:
             self.change(candidate)
         missing = candidate.problem(*self.given)
-        failed = [F.when(missing.isNotNull(), _entry(RUNTIME_EXCEPTION, True, None, missing))]
-        bad = missing.isNotNull()
+        entry = F.when(missing.isNotNull(), _entry(RUNTIME_EXCEPTION, True, None, missing))
         if self.problem is not None:
             text = self.problem(candidate)
-            failed.append(F.when(~bad & text.isNotNull(), _entry(self.problem_status, True, None, text)))
-            bad = bad | text.isNotNull()
+            entry = entry.when(text.isNotNull(), _entry(self.problem_status, True, None, text))
         match = F.coalesce(self.test(candidate), F.lit(False))
-        return failed + [
-            F.when(~bad & (match == on), _entry(status, not proceed, self.needs, None))
-            for on, status, proceed in self.outcomes]
+        # One entry holds both sides of the test, so that it is worked out once; errors stop before the others.
+        entries = []
+        for yes, no in zip_longest(*[[o for o in self.outcomes if o[0] is on] for on in (True, False)]):
+            for on, outcome in ((match, yes), (~match, no)):
+                if outcome is not None:
+                    _, status, proceed = outcome
+                    entry = entry.when(F.lit(True) if on is not match and yes else on, _entry(status, not proceed, self.needs, None))
+            entries.append(entry)
+            entry = F
+        return entries or [entry]
 
 
 def _entry(status: int | None, stop: bool, needs: int | None, error: Column | None) -> Column:
@@ -132,26 +145,32 @@ def is_referrer(referrers: str | Param) -> Rule:
 
 def is_same_host(include_subdomains: str | Param = "", alt_seeds: str | Param = "",
                  suffixes: list[str] | None = None) -> Rule:
-    def seeds(c: Candidate) -> Column:
+    """Host of the seed or of an alternative seed; with sub-domains, hosts below the seed's anchor too.
+
+    ``suffixes`` are rules of a public-suffix list, ``*.`` and ``!`` ones included (``suffix_rules`` reads them).
+    """
+    number = zlib.crc32(repr((include_subdomains, alt_seeds, suffixes)).encode())
+    seeds, tails = f"_seed_hosts_{number:x}", f"_seed_tails_{number:x}"
+
+    def columns() -> dict[str, Column]:
         """Hosts as the canonicalizer writes them; only seeds that are not plain text take that way."""
-        given = F.concat(_words(c.value(alt_seeds)), F.array(F.coalesce(F.col("seed_uri"), F.lit(""))))
+        given = F.concat(_words(value_of(alt_seeds)), F.array(F.coalesce(F.col("seed_uri"), F.lit(""))))
         text = F.concat_ws(" ", given)
         plain = text.rlike(PLAIN_SEEDS)
-        return F.transform(F.when(plain, given).otherwise(canonical_list(F.when(~plain, text))), host_of)
+        hosts = F.transform(F.when(plain, given).otherwise(canonical_list(F.when(~plain, text))), host_of)
+        below = F.transform(F.col(seeds), lambda h: F.concat(F.lit("."), scope_anchor(h, suffixes)))
+        return {seeds: hosts, tails: F.when(as_bool(value_of(include_subdomains)), below)}
 
     def same(c: Candidate) -> Column:
-        host, deep = c.parsed["host"], as_bool(c.value(include_subdomains))
-
-        def one(seed: Column) -> Column:
-            anchor = scope_anchor(seed, suffixes)
-            return (host == seed) | (deep & F.concat(F.lit("."), host).endswith(F.concat(F.lit("."), anchor)))
-
-        return F.exists(seeds(c), one)
+        host = c.parsed["host"]
+        dotted = F.concat(F.lit("."), host)
+        return F.array_contains(seeds, host) | F.coalesce(F.exists(tails, lambda t: dotted.endswith(t)), F.lit(False))
 
     def unparsable(c: Candidate) -> Column:
-        return F.when(F.array_contains(seeds(c), ""), F.lit("Could not parse seed"))
+        return F.when(F.array_contains(seeds, ""), F.lit("Could not parse seed"))
 
-    return Rule(same, (include_subdomains, alt_seeds), problem=unparsable, problem_status=ILLEGAL_URI)
+    return Rule(same, (include_subdomains, alt_seeds), problem=unparsable, problem_status=ILLEGAL_URI,
+                columns=columns)
 
 
 def exceeds_hops(path: Column, hops: Column, include_redirects: Column) -> Column:
@@ -220,20 +239,26 @@ def scope_default() -> list[Rule]:
     ]
 
 
-def with_canonical(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumn("_parsed", canonical(F.col("uri"), fully=True))
+def with_canonical(candidates: DataFrame, rules: list[Rule] = ()) -> DataFrame:
+    """``_parsed`` and the columns that the rules share."""
+    rows = candidates.withColumn("_parsed", canonical(F.col("uri"), fully=True))
+    for rule in rules:
+        for name, column in rule.columns().items():
+            rows = rows.withColumn(name, column)
+    return rows
 
 
 def matches(candidates: DataFrame, rule: Rule, out: str = "match") -> DataFrame:
     """One matcher as a column; NULL where it cannot be evaluated."""
-    rows = with_canonical(candidates)
+    rows = with_canonical(candidates, [rule])
     c = Candidate()
     if rule.change is not None:
         rule.change(c)
     bad = c.problem(*rule.given).isNotNull() | F.col("_parsed.error").isNotNull()
     if rule.problem is not None:
         bad = bad | rule.problem(c).isNotNull()
-    return rows.withColumn(out, F.when(~bad, F.coalesce(rule.test(c), F.lit(False)))).drop("_parsed")
+    return rows.withColumn(out, F.when(~bad, F.coalesce(rule.test(c), F.lit(False)))).drop(
+        "_parsed", *rule.columns())
 
 
 def _verdict(status: Column, message: Column) -> list[Column]:
@@ -254,7 +279,7 @@ def scope_decide(candidates: DataFrame, rules: list[Rule]) -> DataFrame:
             F.coalesce(e["status"], acc["status"]).alias("status"), e["stop"].alias("stop"),
             e["needs"].alias("needs"), e["error"].alias("error")))
 
-    rows = with_canonical(candidates).withColumn("_end", F.aggregate(entries, start, fold))
+    rows = with_canonical(candidates, rules).withColumn("_end", F.aggregate(entries, start, fold))
     illegal = F.col("_parsed.error").isNotNull()
     status = F.when(illegal, ILLEGAL_URI).otherwise(F.coalesce("_end.status", F.lit(BLOCKED)))
     message = (F.when(illegal, F.lit("error parsing uri"))

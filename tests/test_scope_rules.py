@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from crawlatlas.functions import urls as U
 from crawlatlas.operators import scope as S
 
 URL = "http://foo.bar/aa bb/cc?jsessionid=1&foo#bar"
@@ -66,3 +67,31 @@ def test_user_rule_gets_parameters(spark):
 
     assert sorted(r["exclude_reason"] for r in S.scope_user_rule(df, rule).collect()) == [-5001, 0]
     assert S.scope_outcomes(S.scope_user_rule(df, rule)).where(F.col("n") == 1).count() == 2
+
+
+def test_suffix_rules_with_wildcards_and_exceptions(spark):
+    rules = U.suffix_rules(["// ICANN", "", "ck", "*.ck", "!www.ck", "com.sg  // note", "SG", "kobe.jp", "公司.cn", "*.kobe.jp"])
+    assert rules == sorted(["ck", "*.ck", "!www.ck", "com.sg", "sg", "kobe.jp", "xn--55qx5d.cn", "*.kobe.jp"])
+    want = {
+        "www.foo.ck": "www.foo.ck", "www.a.foo.ck": "a.foo.ck", "www.www.ck": "www.ck", "www2.com.sg": "www2.com.sg",
+        "www.shop.com.sg": "shop.com.sg", "www.a.sg": "a.sg", "www.city.kobe.jp": "www.city.kobe.jp",
+        "www.b.city.kobe.jp": "b.city.kobe.jp", "www.sg": "www.sg", "www.xn--55qx5d.cn": "www.xn--55qx5d.cn",
+        "www..a.sg": "www..a.sg", "www.a..sg": "www.a..sg", "shop.com.sg": "shop.com.sg", "": "",
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "h string")
+    assert {r["h"]: r["a"] for r in hosts.select("h", U.scope_anchor(F.col("h"), rules).alias("a")).collect()} == want
+    # By default too, no seed is widened to a suffix that a wildcard rule makes.
+    assert hosts.where("h = 'www.foo.ck'").select(U.scope_anchor(F.col("h"))).first()[0] == "www.foo.ck"
+    same = S.is_same_host("true", suffixes=rules).then(S.INCLUDE)
+    assert decide(spark, "http://x.foo.ck/", "http://www.foo.ck/", [same])["exclude_reason"] == S.BLOCKED
+    assert decide(spark, "http://x.a.foo.ck/", "http://www.a.foo.ck/", [same])["exclude_reason"] == S.INCLUDE
+    assert decide(spark, "http://x.www.ck/", "http://www.www.ck/", [same])["exclude_reason"] == S.INCLUDE
+
+
+def test_same_host_rules_with_different_arguments_in_one_list(spark):
+    rules = [S.is_same_host().then(S.INCLUDE), S.is_same_host("true", "a.org").then(S.CHAFF_DETECTION)]
+    assert decide(spark, "http://b.a.org/", "http://s.org/", rules)["exclude_reason"] == S.CHAFF_DETECTION
+    assert decide(spark, "http://s.org/", "http://s.org/", rules)["exclude_reason"] == S.INCLUDE
+    assert "_seed" not in " ".join(S.scope_decide(spark.createDataFrame(
+        [("http://s.org/", "http://s.org/", "", "", {})], "uri string, seed_uri string, discovery_path string, "
+        "referrer string, annotation map<string,string>"), rules).columns)
