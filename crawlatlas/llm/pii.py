@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find seed entities. The one or two words before an entity are its lexical patterns;
-other tokens that could be an identifier (seven digits or more, or a spelt-out at sign) and stand
-behind the same words are unseen instances. Spark scores the graph of patterns and instances in
-turns: a pattern is worth the share of its instances that are of a kind, an instance is worth what
-its patterns make likely together, and seeds keep their kind. Instances of patterns that hold enough
-different seeds and are nearly always of one kind become spans of that kind.
+Base patterns find seed entities. What stands around an entity gives its lexical patterns: the one or
+two words before it, the last word with the signs behind it, the words on both sides, and the word
+behind it at the start of a line. Other tokens that could be an identifier (7 to 25 digits, or a
+spelt-out at sign) and stand in the same patterns are unseen instances. Patterns of addresses and of
+numbers are kept apart. Spark scores the graph of patterns and instances in turns: a pattern is worth
+the share of its instances that are of a kind, an instance is worth what its best
+pattern makes likely, and seeds keep their kind. Patterns that hold enough different seeds and are nearly always
+of one kind are sure; their instances become spans of that kind, and seeds of the next generation,
+until a generation adds none.
 
 Defined results: null text is the empty text and has no spans; repeated rows each get a result; an
 empty table gives none; extra columns are left out (``redact`` keeps all columns).
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from crawlatlas.llm.common import CHUNK, materialize, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-#: Turns of scoring; what a pattern needs: different seeds, and share of its occurrences of one kind.
+#: Turns of scoring a generation; what a pattern needs: different seeds, and share of its occurrences of one kind.
 TURNS, MIN_SEEDS, MIN_SHARE = 3, 5, 0.9
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,10 +97,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(kind, a, b) for kind, spans in enumerate(found) for a, b in spans]
 
 
-def patterns_before(text: str, start: int) -> list[str]:
-    """The last word, and the last two words, before a place."""
-    words = [w.lower() for w in WORD.findall(text, max(0, start - CONTEXT), start)[-2:]]
-    return [" ".join(words[-n:]) for n in range(1, len(words) + 1)]
+def patterns_around(text: str, start: int, end: int, address: bool) -> list[str]:
+    """Lexical patterns of a place: words before it, signs between, the word behind it, the start of a line."""
+    kind = "a" if address else "n"
+    words = list(WORD.finditer(text, max(0, start - CONTEXT), start))[-2:]
+    right = WORD.search(text, end, end + CONTEXT)
+    after = right.group().lower() if right else ""
+    out = []
+    if words:
+        last = words[-1].group().lower()
+        out.append(f"{kind}<{last}")
+        if len(words) == 2:
+            out.append(f"{kind}<{words[0].group().lower()} {last}")
+        signs = "".join(text[words[-1].end():start].split())
+        if signs:
+            out.append(f"{kind}<{last}{signs}")
+        if after:
+            out.append(f"{kind}<{last}>{after}")
+    line = text.rfind("\n", max(0, start - CONTEXT), start) + 1
+    if after and (line or start <= CONTEXT) and not text[line:start].strip():
+        out.append(f"{kind}^>{after}")
+    return out
 
 
 def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, int | None, int, int]]:
@@ -113,8 +133,10 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str,
             if i == len(taken) or taken[i][0] >= m.end():
                 found.append((None, *m.span()))
     for kind, a, b in found:
-        value = re.sub(r"[\s().-]", "", text[a:b]).lower()
-        out += [(p, value, kind, a, b) for p in patterns_before(text, a)]
+        shown_as = text[a:b].lower()
+        value = re.sub(r"[\s().-]", "", shown_as)
+        address = kind == 0 or kind is None and ("(at)" in shown_as or "[at]" in shown_as)
+        out += [(p, value, kind, a, b) for p in patterns_around(text, a, b, address)]
     return out
 
 
@@ -155,11 +177,13 @@ def text_hashes(text: str) -> list:
     return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("text"), whole).alias("t2")]
 
 
-def scored_patterns(seen: DataFrame, turns: int = TURNS) -> DataFrame:
-    """pattern, seeds (different ones) and share_0 to share_3 (by kind) after scoring the graph in turns."""
+def scored_patterns(edges: DataFrame, known: DataFrame, turns: int = TURNS) -> DataFrame:
+    """pattern, seeds (different ones) and share_0 to share_3 (by kind) after scoring the graph in turns.
+
+    ``edges`` has pattern, value and n, ``known`` the kind of the values that are seeds.
+    """
     kinds = range(len(KINDS))
-    edges = materialize(
-        seen.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")), "edges")
+    edges = edges.join(known, "value", "left")
     scores = edges.groupBy("value").agg(F.max("kind").alias("kind")).select(
         "value", "kind", *[F.when(F.col("kind") == k, 1.0).otherwise(0.0).alias(f"s_{k}") for k in kinds])
     for turn in range(turns):
@@ -171,10 +195,10 @@ def scored_patterns(seen: DataFrame, turns: int = TURNS) -> DataFrame:
         patterns = materialize(patterns.where("seeds > 0"), "patterns")
         if turn + 1 == turns:
             return patterns
-        # An instance is of a kind unless each of its patterns says otherwise by chance.
-        doubt = [F.sum(F.log(1.000001 - F.col(f"share_{k}") * F.col("seeds") / (F.col("seeds") + 1))) for k in kinds]
+        # The best pattern speaks for an instance, as the patterns of one place are no independent witnesses.
+        worth = [F.max(F.col(f"share_{k}") * F.col("seeds") / (F.col("seeds") + 1)).alias(f"u_{k}") for k in kinds]
         unseen = (edges.where(F.col("kind").isNull()).select("pattern", "value").join(patterns, "pattern")
-                  .groupBy("value").agg(*[(1 - F.exp(d)).alias(f"u_{k}") for k, d in zip(kinds, doubt, strict=True)]))
+                  .groupBy("value").agg(*worth))
         scores = scores.select("value", "kind", *[F.col(f"s_{k}").alias(f"o_{k}") for k in kinds]).join(unseen, "value", "left")
         scores = materialize(scores.select("value", "kind", *[
             F.when(F.col("kind").isNotNull(), F.col(f"o_{k}")).otherwise(F.coalesce(F.col(f"u_{k}"), F.lit(0.0))).alias(f"s_{k}")
@@ -182,15 +206,34 @@ def scored_patterns(seen: DataFrame, turns: int = TURNS) -> DataFrame:
     raise ValueError("turns must be at least 1")
 
 
+def sure_patterns(seen: DataFrame, turns: int = TURNS, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE) -> DataFrame:
+    """pattern, p_kind and p_share of the sure patterns of all generations.
+
+    Each generation adds seeds, of which there are no more than values, so the turns end.
+    """
+    edges = seen.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
+    edges = materialize(edges, "edges")
+    known = edges.groupBy("value").agg(F.max("kind").alias("kind")).where("kind IS NOT NULL")
+    edges, sure, best = edges.drop("kind"), None, F.greatest(*[F.col(f"share_{k}") for k in range(len(KINDS))])
+    kind = F.coalesce(*[F.when(F.col(f"share_{k}") == best, F.lit(k)) for k in range(len(KINDS))])
+    while True:
+        own = scored_patterns(edges, known, turns).where((F.col("seeds") >= min_seeds) & (best >= min_share)).select(
+            "pattern", kind.alias("p_kind"), best.alias("p_share"))
+        # A pattern keeps the kind that it was first sure of.
+        sure = own if sure is None else sure.unionByName(own.join(sure, "pattern", "left_anti"))
+        sure = materialize(sure, "sure")
+        added = (edges.join(known, "value", "left_anti").join(sure, "pattern").groupBy("value")
+                 .agg(F.max_by("p_kind", F.struct("p_share", "p_kind")).alias("kind")))
+        added = materialize(added, "added")
+        if added.isEmpty():
+            return sure
+        known = materialize(known.unionByName(added), "known")
+
+
 def discovered(rows: DataFrame, turns: int = TURNS, min_seeds: int = MIN_SEEDS, min_share: float = MIN_SHARE) -> DataFrame:
     """t1, t2 and found (spans that patterns add), one row for each text that has any."""
     seen = rows.select("t1", "t2", F.explode("seen").alias("o")).select("t1", "t2", "o.*")
-    patterns = scored_patterns(seen, turns)
-    best = F.greatest(*[F.col(f"share_{k}") for k in range(len(KINDS))])
-    kind = F.coalesce(*[F.when(F.col(f"share_{k}") == best, F.lit(k)) for k in range(len(KINDS))])
-    sure = patterns.where((F.col("seeds") >= min_seeds) & (best >= min_share)).select(
-        "pattern", kind.alias("p_kind"), best.alias("p_share"))
-    sure = materialize(sure, "sure")
+    sure = sure_patterns(seen, turns, min_seeds, min_share)
     hits = (seen.where(F.col("kind").isNull()).select("t1", "t2", "pattern", "start", "end").distinct()
             .join(sure, "pattern")
             .groupBy("t1", "t2", "start", "end").agg(F.max_by("p_kind", F.struct("p_share", "p_kind")).alias("kind")))
