@@ -207,14 +207,19 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, sample_chars: int = 40_000, total_chars: int = 400_000, key: str = "doc_id",
-           text: str = "text", lang: str = "lang") -> tuple[dict[str, list[str]], int]:
+           text: str = "text", lang: str = "lang", languages: int = 1000) -> tuple[dict[str, list[str]], int]:
     """Labelled texts by language and the symbols of them to use.
 
+    The ``languages`` labels with the most rows (ties by label) are learnt. Of rows with one key and label,
+    the smallest text counts.
     Per language, at most ``sample_chars / 400`` rows of at least 400 characters are taken, by the
     hash of their key; each task passes on no more than that.
     """
     most = max(1, sample_chars // 400)
-    rows = (docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key) & F.col(text).isNotNull())
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
+    counts = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    names = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    rows = (labelled.where(F.col(lang).cast("string").isin(names) & F.col(text).isNotNull())
             .select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"),
                     F.xxhash64(F.col(key).cast("string")).alias("h"), F.length(text).alias("n")))
     first = Window.partitionBy("lang").orderBy((F.col("n") < 400), "h", "key")
@@ -231,7 +236,8 @@ def sample(docs: DataFrame, sample_chars: int = 40_000, total_chars: int = 400_0
     most_chars = min(sample_chars, total_chars // max(1, len(chosen)))
     found = (docs.where(F.col(key).isin(list(keys)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
              .select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"),
-                     F.substring(text, 1, most_chars).alias("text")).distinct().collect())
+                     F.substring(text, 1, most_chars).alias("text"))
+             .groupBy("key", "lang").agg(F.min("text").alias("text")).where(F.col("lang").isin(list(chosen))).collect())
     order = {(r["lang"], r["key"]): r["rank"] for r in picked}
     samples: dict[str, list[str]] = {}
     for r in sorted(found, key=lambda r: (order.get((r["lang"], r["key"]), 1 << 40), r["text"])):

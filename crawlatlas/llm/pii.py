@@ -5,10 +5,10 @@ two words before it, the last word with the signs behind it, the words on both s
 behind it at the start of a line. Other tokens that could be an identifier (7 to 25 digits, or a
 spelt-out at sign) and stand in the same patterns are unseen instances. Patterns of addresses and of
 numbers are kept apart. Spark scores the graph of patterns and instances in turns: a pattern is worth
-the share of its instances that are of a kind, an instance is worth what its best
-pattern makes likely, and seeds keep their kind. Patterns that hold enough different seeds and are nearly always
-of one kind are sure; their instances become spans of that kind, and seeds of the next generation,
-until a generation adds none.
+the share of its instances that are of a kind, an instance is worth what its best pattern makes
+likely, and seeds keep their kind. Patterns that hold enough different seeds and are nearly always of
+one kind are sure; their instances become spans of that kind, and seeds of the next generation, until
+a generation adds none.
 
 Defined results: null text is the empty text and has no spans; repeated rows each get a result; an
 empty table gives none; extra columns are left out (``redact`` keeps all columns).

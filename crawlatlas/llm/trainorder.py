@@ -71,7 +71,10 @@ def sequences(docs: DataFrame, path: str, length: int, end: int, key: str = "doc
             for at in range(0, len(texts), CHUNK):
                 source, rows = [], []
                 for i, t in enumerate(texts.slice(at, CHUNK).to_pylist()):
-                    ids = np.append(encode(t or ""), end).astype("<u2")
+                    ids = np.append(encode(t or ""), end)
+                    if ids.max() > 0xFFFF:
+                        raise ValueError(f"id {ids.max()} of {path} does not fit the 2 bytes of an id")
+                    ids = ids.astype("<u2")
                     for piece, start in enumerate(range(0, len(ids), length)):
                         own = ids[start:start + length]
                         source.append(at + i)
