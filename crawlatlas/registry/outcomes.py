@@ -233,4 +233,4 @@ def execution_timeout_at(spark, sf_dir):
 
 @query("seed_type", "SELECT id, lower(coalesce(seed_type, 'url')) AS seed_type FROM seed")
 def seed_type(spark, sf_dir):
-    return seed_object(spark, sf_dir).select("id", first_label(F.col("meta.label"), "v7n_seed-type", "url").alias("seed_type"))
+    return seed_object(spark, sf_dir).select("id", first_label(F.col("meta.label"), "seed-type", "url").alias("seed_type"))

@@ -416,7 +416,7 @@ def seed_object(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.lit("v1").alias("apiVersion"), F.lit("seed").alias("kind"),
         F.struct("name", "description",
                  key_values(("segment", F.col("segment")), ("balance", F.col("balance")),
-                            ("v7n_seed-type", F.col("seed_type"))).alias("label")).alias("meta"),
+                            ("seed-type", F.col("seed_type"))).alias("label")).alias("meta"),
         F.struct(
             F.when(F.col("entity_id").isNotNull(),
                    F.struct(F.col("entity_kind").alias("kind"), F.col("entity_id").alias("id"))).alias("entityRef"),

@@ -9,7 +9,8 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
-@pytest.mark.parametrize("missing", [["corpus_pipeline"], ["crawlatlas.llm"], ["corpus_pipeline", "crawlatlas.llm"]])
+@pytest.mark.parametrize("missing", [["corpus_pipeline"], ["crawlatlas.llm"], ["corpus_pipeline", "crawlatlas.llm"],
+                                     ["public_tokenizers"]])
 def test_entry_points_without_the_subpackage(missing):
     code = f"import sys; [sys.modules.__setitem__(m, None) for m in {missing!r}]; import __spark_entry__ as e; " \
            "from crawlatlas.registry import QUERIES; assert set(e.queries()) == set(QUERIES) == set(e.oracle_sql()); print('fine')"
