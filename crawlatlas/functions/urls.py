@@ -223,36 +223,30 @@ def short_sha1(text: Column) -> Column:
     return F.regexp_replace(F.sha1(text), "^0+", "")
 
 
-def address_bits(ip: Column) -> Column:
-    """An address as text of 32 or 128 bits, after a letter for its family."""
-    def bits_of(hex_text: Column) -> Column:
-        return F.concat_ws("", F.transform(
-            F.split(hex_text, ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")))
-
-    v4 = F.concat_ws("", F.transform(F.split(ip, r"\."), lambda b: F.lpad(F.bin(b.cast("bigint")), 8, "0")))
-    halves = F.split(ip, "::")
+def address_key(ip: Column) -> Column:
+    """An address as text of fixed width that sorts as its number: a letter for the family, then 8 or 32 hex digits.
+
+    Null for what is no address. An IPv6 address may be shortened or end with an IPv4 address.
+    """
+    def quad(text: Column) -> Column:
+        parts = F.transform(F.split(text, r"\."), lambda b: b.try_cast("bigint"))
+        fits = text.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & F.forall(parts, lambda b: b <= 255)
+        return F.when(fits, F.concat_ws("", F.transform(parts, lambda b: F.lpad(F.hex(b), 2, "0"))))
+
+    tail = F.regexp_extract(ip, r":([0-9]+(?:\.[0-9]+)+)$", 1)
+    hexed = F.concat(F.regexp_extract(ip, r"^(.*:)", 1),
+                     F.substring(quad(tail), 1, 4), F.lit(":"), F.substring(quad(tail), 5, 4))
+    text = F.lower(F.when(tail != "", hexed).otherwise(ip))
+    halves = F.split(text, "::")
     left = F.filter(F.split(F.get(halves, 0), ":"), lambda g: g != "")
     right = F.filter(F.split(F.coalesce(F.get(halves, 1), F.lit("")), ":"), lambda g: g != "")
-    gap = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+    gap = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))).otherwise(
+        F.array().cast("array<string>"))
     groups = F.concat(left, gap, right)
-    v6 = bits_of(F.concat_ws("", F.transform(groups, lambda g: F.lpad(g, 4, "0"))))
-    return F.when(ip.contains(":"), F.concat(F.lit("s"), v6)).otherwise(F.concat(F.lit("f"), v4))
-
-
-@F.pandas_udf(STRINGS)
-def _range_blocks(first: pd.Series, last: pd.Series) -> pd.Series:
-    def blocks(a: str, b: str) -> list[str]:
-        lo, hi = ipaddress.ip_address(a), ipaddress.ip_address(b)
-        family = "f" if lo.version == 4 else "s"
-        return [family + format(int(n.network_address), f"0{n.max_prefixlen}b")[:n.prefixlen]
-                for n in ipaddress.summarize_address_range(lo, hi)]
-
-    return pd.Series([blocks(a, b) for a, b in zip(first, last)])
-
-
-def range_blocks(first: Column, last: Column) -> Column:
-    """An address range as the bit prefixes that make it up (at most 254)."""
-    return _range_blocks(first, last)
+    formed = (text.rlike("^([0-9a-f]{0,4}:){2,8}[0-9a-f]{0,4}$") & ~text.rlike("^:[^:]|[^:]:$|:::") & (F.size(halves) <= 2)
+              & (F.size(groups) == 8) & (F.size(left) + F.size(right) <= F.when(F.size(halves) == 2, 7).otherwise(8)))
+    wide = F.when(formed, F.upper(F.concat_ws("", F.transform(groups, lambda g: F.lpad(g, 4, "0")))))
+    return F.when(ip.contains(":"), F.concat(F.lit("s"), wide)).otherwise(F.concat(F.lit("f"), quad(ip)))
 
 
 def suffix_rules(lines: Iterable[str]) -> list[str]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlatlas.functions.labels import selector_token, selector_tokens
-from crawlatlas.functions.urls import address_bits, range_blocks, short_sha1, url_key
+from crawlatlas.functions.urls import address_key, short_sha1, url_key
+from crawlatlas.operators.intervals import least_cover
 from crawlatlas.operators.rollups import duplicate_keys
 from crawlatlas.operators.skew import attach, look_up
 
@@ -150,22 +151,19 @@ def convert_oos(lines: DataFrame, known: DataFrame, entity_name: str = "", entit
 def host_groups(rows: DataFrame, ranges: DataFrame, use_hostname: bool = False) -> DataFrame:
     """Add ``host_group_id``: hash of the host, else the first range that covers the IP, else hash of the IP.
 
-    A range is cut into its address blocks, so the range join becomes an equi join on
-    the bits of a block, and it runs over distinct addresses only.
+    The first range is the one with the smallest ``config_id``. Distinct addresses and the ends of ranges are
+    put in one order and swept, so no key is shared by all addresses, however wide a range is. A range
+    whose ends are no addresses, of two families or in the wrong order covers nothing.
     """
     by_host = short_sha1(F.col("host"))
     if use_hostname:
         return rows.withColumn("host_group_id", by_host)
-    blocks = ranges.select("config_id", F.explode(range_blocks(F.col("ip_from"), F.col("ip_to"))).alias("block"))
-    block_length = blocks.select(F.length("block").alias("block_length")).distinct()
-    counts = rows.where("ip IS NOT NULL").groupBy("ip").agg(F.count(F.lit(1)).alias("_n"))
-    lengths = sorted(r[0] for r in block_length.collect())  # at most 162 prefix lengths exist
-    bits = counts.withColumn("_bits", address_bits(F.col("ip")))
-    probes = bits.select("ip", F.explode(F.array(*[F.substring("_bits", 1, n) for n in lengths])
-                                         if lengths else F.array().cast("array<string>")).alias("block"))
-    covered = probes.join(blocks, "block").groupBy("ip").agg(F.min("config_id").alias("_covered"))
-    per_ip = counts.join(covered, "ip", "left")
-    grouped = attach(rows, per_ip, ["ip"], ["_covered"])
+    # What is no address sorts behind all addresses, where no range ends.
+    counts = rows.groupBy("ip").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_place", F.coalesce(address_key(F.col("ip")), F.concat(F.lit("x"), F.coalesce("ip", F.lit("")))))
+    spans = ranges.select(address_key(F.col("ip_from")).alias("first"), address_key(F.col("ip_to")).alias("last"),
+                          F.col("config_id").alias("value")).where("left(first, 1) = left(last, 1)")
+    grouped = attach(rows, least_cover(counts, "_place", spans, "_covered"), ["ip"], ["_covered"])
     return grouped.withColumn(
         "host_group_id",
         F.when(F.col("ip").isNull(), F.concat(F.lit("TEMP_CHG_"), by_host))

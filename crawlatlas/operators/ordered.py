@@ -59,6 +59,18 @@ def _cut(df: DataFrame, keys: list[str], borders: DataFrame, how: str) -> DataFr
     return joined.withColumn("_slice", F.when(F.col("_chunks").isNotNull(), found)).drop("_chunks", *["_k_" + k for k in keys])
 
 
+def number_slices(df: DataFrame, places: dict[str, str], slices: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with, for each column of ``places``, the slice of one common order that its value falls in."""
+    def at(table: DataFrame, column: str) -> DataFrame:
+        return table.withColumn("_all", F.lit(0)).withColumn("_o", F.struct(F.col(column).alias("o0")))
+
+    borders = _borders(reduce(DataFrame.unionByName, [at(df, c).select("_all", "_o") for c in places]), ["_all"], slices, hot_rows)
+    for column, name in places.items():
+        cut = _cut(at(df, column), ["_all"], borders, "left")
+        df = cut.withColumn(name, F.coalesce(F.col("_slice").cast("int"), F.lit(0))).drop("_slice", "_all", "_o")
+    return df
+
+
 def _carried(df: DataFrame, keys: list[str], order: list[Column], per_slice, carried, out: Column, slices: int | None,
              hot_rows: int) -> DataFrame:
     """``df`` with ``_out``: ``out`` over the window of its slice, where ``_carried`` is what earlier slices give."""
