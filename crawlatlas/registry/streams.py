@@ -181,4 +181,4 @@ def oos_stream(spark, sf_dir):
     uris = U.with_site(stream_of(spark, sf_dir, "queued_uri").select(F.col("uri").alias("url")))
     existing = load(spark, sf_dir, "nation").select(
         F.lit("http").alias("scheme"), F.concat(F.lit("h"), "n_nationkey", F.lit(".example.com")).alias("host"))
-    return T.appended(S.oos_stream(uris, existing), "oos")
+    return S.new_oos_hosts(uris, existing)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +82,28 @@ def _stateful(stream: DataFrame, label: str) -> DataFrame:
         run_available(stream, lambda rows, batch: write_batch(rows, path, "out", batch), path)
     if not batches(spark, path, "out"):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def oos_stream(stream: DataFrame, existing: DataFrame) -> DataFrame:
-    """First sight of each scheme and host that earlier output does not hold, as a stream."""
-    return stream.select("scheme", "host").join(existing, ["scheme", "host"], "left_anti").dropDuplicates(["scheme", "host"])
+    """First sight of each scheme and host that earlier output does not hold, as a stream.
+
+    A host that fills much of a batch is cut down before the shuffle. Only first sights go on to earlier output.
+    """
+    few = stream.select("scheme", "host").mapInArrow(_distinct_in_batch, stream.select("scheme", "host").schema)
+    return few.dropDuplicates(["scheme", "host"]).join(existing.select("scheme", "host"), ["scheme", "host"], "left_anti")
+
+
+def new_oos_hosts(stream: DataFrame, existing: DataFrame) -> DataFrame:
+    """Run ``oos_stream`` over what is there, with the hosts seen in the store on disk, whose files have Bloom filters:
+    what a filter does not hold costs no read, and what it wrongly holds costs one look-up."""
+    return _stateful(oos_stream(stream, existing), "oos")
+
+
+def _distinct_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        yield from table.group_by(table.column_names).aggregate([]).select(table.column_names).to_batches()
 
 
 def rate(rows: DataFrame, time: str, keys: list[str], window: str = "5 minutes", slide: str = "1 minute",

@@ -21,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Memory of the stores of an executor is shared and bounded, by Spark's default size; the rest of the state is on disk.
+BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
 #: Keys that a job execution or a collection is parted into.
 SHARDS = 16
 
@@ -28,12 +30,14 @@ SHARDS = 16
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in the store that maps and timers need."""
-    before = spark.conf.get(PROVIDER)
+    before, bounded = spark.conf.get(PROVIDER), spark.conf.get(BOUNDED, "false")
     spark.conf.set(PROVIDER, ROCKS)
+    spark.conf.set(BOUNDED, "true")
     try:
         yield
     finally:
         spark.conf.set(PROVIDER, before)
+        spark.conf.set(BOUNDED, bounded)
 
 
 def _rank(row: Row, order: list[str]) -> tuple:

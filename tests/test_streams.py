@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from crawlatlas.operators.executions import fold_changes
 from crawlatlas.operators.rollups import job_totals_from_changes
-from crawlatlas.operators.frontier import already_seen, revisit_mark
+from crawlatlas.operators.frontier import already_seen, oos_new_hosts, revisit_mark
 from crawlatlas.operators.recent import replace_rewritten, retain
 from crawlatlas.session import scratch
 from crawlatlas.streaming import executions as E
@@ -129,6 +129,23 @@ def test_revisits_over_batches(spark):
     assert expired.where("is_revisit").count() < sum(v is not None for v in want.values())
 
 
+def test_out_of_scope_hosts_over_batches(spark):
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.lit("http")).alias("scheme"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 13 == 0, F.lit(None)).otherwise(
+            F.concat(F.lit("h"), F.col("id") % 701)).alias("host"), F.lit("clash").alias("_shard"))
+    existing = spark.createDataFrame([("http", "h5", 1), ("http", "h6", 2), (None, "hot", 3)], "scheme string, host string, id int")
+    want = oos_new_hosts(rows, existing.drop("id"))
+    got = S.new_oos_hosts(batches(spark, rows, 6, "id"), existing)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_a_hot_host_is_cut_down_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("http", "hot")] * 500 + [("http", "h1"), (None, None), (None, None)], "scheme string, host string").coalesce(1)
+    few = rows.mapInArrow(S._distinct_in_batch, rows.schema).collect()
+    assert sorted(map(tuple, few), key=repr) == [("http", "h1"), ("http", "hot"), (None, None)]
+
+
 def test_records_of_one_write_are_not_compared(spark):
     rows = spark.createDataFrame([("r1", "w1"), ("r2", "w1"), ("r3", "w2")], "record_id string, write_id string").select(
         "*", F.lit("c").alias("collection"), F.lit("d").alias("digest"), F.lit("").alias("block_digest"),
