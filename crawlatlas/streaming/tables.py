@@ -17,10 +17,14 @@ from crawlatlas.session import scratch
 
 
 def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A table's files as a stream, a bounded number of them per batch."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """A table's files as a stream, a bounded number of them per batch. The table is one file or a folder of parts."""
+    table = f"{folder}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", files_per_trigger)
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(location).isDirectory():
+        return stream.parquet(table)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], path: str, mode: str = "append") -> None:

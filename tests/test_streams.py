@@ -172,3 +172,16 @@ def test_failed_archive_skips_the_recent_copy(spark):
     assert done == []
     S.fanout(lambda r, b: done.append(("archive", b)), fail, lambda b, e: done.append(("lost", b)))(None, 2)
     assert done == [("archive", 2), ("lost", 2)]
+
+
+def test_source_reads_a_file_and_a_folder_of_parts(spark):
+    """Large tables are folders of part files, which a name filter on the files inside would miss."""
+    folder = scratch(spark, "tables")
+    spark.range(40).repartition(4).write.parquet(f"{folder}/many.parquet")
+    spark.range(7).coalesce(1).write.parquet(f"{folder}/parts")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in files.listStatus(jvm.Path(f"{folder}/parts")) if s.getPath().getName().endswith(".parquet"))
+    files.rename(part, jvm.Path(f"{folder}/one.parquet"))
+    assert sorted(r["id"] for r in T.appended(T.source(spark, folder, "many"), "many").collect()) == list(range(40))
+    assert sorted(r["id"] for r in T.appended(T.source(spark, folder, "one"), "one").collect()) == list(range(7))
