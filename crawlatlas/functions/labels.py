@@ -71,6 +71,6 @@ def selector_token(selector: Column) -> Column:
     s = F.lower(selector)
     has_key = F.instr(s, ":") > 0
     key = F.when(has_key, F.substring_index(s, ":", 1)).otherwise(F.lit(""))
-    value = F.when(has_key, F.expr("substring(lower(%s), instr(%s, ':') + 1)" % ("_selector", "_selector"))).otherwise(s)
+    value = F.when(has_key, F.substring(s, F.instr(s, ":") + 1, F.length(s))).otherwise(s)
     return F.when(value.endswith("*"), F.concat(F.lit("*"), key, F.lit("\n"), F.regexp_replace(value, r"\*$", ""))) \
             .otherwise(F.concat(F.lit("="), key, F.lit("\n"), value))

@@ -217,3 +217,18 @@ def test_selector_join_matches_predicate(spark):
     want = {(c, r["script_id"]) for c, s in asked.items()
             for r in scripts.where(matches_all(F.col("label"), s)).collect()}
     assert got == want
+
+
+def test_script_selectors_gather_nothing_by_script(spark):
+    """All selectors of a configuration hold for one row of a script, so no row of scripts is kept for a count."""
+    rows = [(f"s{i}", [("kind", f"v{i % 4}"), ("site", f"h{i % 3}.example")]) for i in range(60)]
+    scripts = spark.createDataFrame(rows, "script_id string, label array<struct<key:string,value:string>>")
+    asked = [("a", ["kind:v1", "SITE:h2*"]), ("b", [":", "kind:v3"]), ("c", [":"]), ("d", ["h0*", "v0", "v0"]), ("e", ["kind:v1", None]),
+             ("f", ["kind:v1", "kind:v2"]), ("g", ["kind:"]), ("h", [None])]
+    configs = spark.createDataFrame(asked, "config_id string, script_selector array<string>")
+    met = J.script_selector_match(configs, scripts)
+    want = {"a": lambda i: i % 4 == 1 and i % 3 == 2, "b": lambda i: i % 4 == 3, "c": lambda i: True, "d": lambda i: i % 12 == 0,
+            "e": lambda i: i % 4 == 1, "g": lambda i: True}
+    assert sorted((r["config_id"], r["script_id"]) for r in met.collect()) == sorted(
+        (c, f"s{i}") for c, holds in want.items() for i in range(60) if holds(i))
+    assert "Aggregate" not in met._jdf.queryExecution().optimizedPlan().toString()
