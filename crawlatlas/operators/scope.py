@@ -79,6 +79,8 @@ class Rule:
     problem_status: int = RUNTIME_EXCEPTION
     change: Callable[[Candidate], None] | None = None
     needs: int | None = None
+    #: Lists that Python works out, for all rules in the same pass as the candidate: one worker a task does it all.
+    lists: Callable[[], dict[str, Column]] = dict
     #: Columns that the test and the problem share, worked out once per row before them.
     columns: Callable[[], dict[str, Column]] = dict
 
@@ -150,14 +152,21 @@ def is_same_host(include_subdomains: str | Param = "", alt_seeds: str | Param =
     ``suffixes`` are rules of a public-suffix list, ``*.`` and ``!`` ones included (``suffix_rules`` reads them).
     """
     number = zlib.crc32(repr((include_subdomains, alt_seeds, suffixes)).encode())
-    seeds, tails = f"_seed_hosts_{number:x}", f"_seed_tails_{number:x}"
+    seeds, tails, odd = f"_seed_hosts_{number:x}", f"_seed_tails_{number:x}", f"_seed_odd_{number:x}"
 
-    def columns() -> dict[str, Column]:
-        """Hosts as the canonicalizer writes them; only seeds that are not plain text take that way."""
+    def seed_list() -> tuple[Column, Column, Column]:
         given = F.concat(_words(value_of(alt_seeds)), F.array(F.coalesce(F.col("seed_uri"), F.lit(""))))
         text = F.concat_ws(" ", given)
-        plain = text.rlike(PLAIN_SEEDS)
-        hosts = F.transform(F.when(plain, given).otherwise(canonical_list(F.when(~plain, text))), host_of)
+        return given, text, text.rlike(PLAIN_SEEDS)
+
+    def lists() -> dict[str, Column]:
+        _, text, plain = seed_list()
+        return {odd: canonical_list(F.when(~plain, text))}
+
+    def columns() -> dict[str, Column]:
+        """Hosts as the canonicalizer writes them; only seeds that are not plain text take that way."""
+        given, _, plain = seed_list()
+        hosts = F.transform(F.when(plain, given).otherwise(F.col(odd)), host_of)
         below = F.transform(F.col(seeds), lambda h: F.concat(F.lit("."), scope_anchor(h, suffixes)))
         return {seeds: hosts, tails: F.when(as_bool(value_of(include_subdomains)), below)}
 
@@ -170,7 +179,7 @@ def is_same_host(include_subdomains: str | Param = "", alt_seeds: str | Param =
         return F.when(F.array_contains(seeds, ""), F.lit("Could not parse seed"))
 
     return Rule(same, (include_subdomains, alt_seeds), problem=unparsable, problem_status=ILLEGAL_URI,
-                columns=columns)
+                lists=lists, columns=columns)
 
 
 def exceeds_hops(path: Column, hops: Column, include_redirects: Column) -> Column:
@@ -190,7 +199,8 @@ def max_hops_from_seed(hops: str | Param, include_redirects: str | Param = "") -
 def is_url(urls: str | Param) -> Rule:
     """A list given as text is made canonical once, here; one from a parameter, for each different text."""
     if isinstance(urls, Param):
-        return Rule(lambda c: F.array_contains(canonical_list(c.value(urls)), c.href), (urls,))
+        listed = f"_urls_{zlib.crc32(urls.name.encode()):x}"
+        return Rule(lambda c: F.array_contains(listed, c.href), (urls,), lists=lambda: {listed: canonical_list(value_of(urls))})
     known = [canonical_text(u) for u in urls.split()]
     return Rule(lambda c: c.href.isin(known) if known else F.lit(False), (urls,))
 
@@ -241,7 +251,8 @@ def scope_default() -> list[Rule]:
 
 def with_canonical(candidates: DataFrame, rules: list[Rule] = ()) -> DataFrame:
     """``_parsed`` and the columns that the rules share."""
-    rows = candidates.withColumn("_parsed", canonical(F.col("uri"), fully=True))
+    lists = {name: column for rule in rules for name, column in rule.lists().items()}
+    rows = candidates.withColumns({"_parsed": canonical(F.col("uri"), fully=True), **lists})
     for rule in rules:
         for name, column in rule.columns().items():
             rows = rows.withColumn(name, column)
@@ -258,7 +269,7 @@ def matches(candidates: DataFrame, rule: Rule, out: str = "match") -> DataFrame:
     if rule.problem is not None:
         bad = bad | rule.problem(c).isNotNull()
     return rows.withColumn(out, F.when(~bad, F.coalesce(rule.test(c), F.lit(False)))).drop(
-        "_parsed", *rule.columns())
+        "_parsed", *rule.lists(), *rule.columns())
 
 
 def _verdict(status: Column, message: Column) -> list[Column]:

@@ -95,3 +95,14 @@ def test_same_host_rules_with_different_arguments_in_one_list(spark):
     assert "_seed" not in " ".join(S.scope_decide(spark.createDataFrame(
         [("http://s.org/", "http://s.org/", "", "", {})], "uri string, seed_uri string, discovery_path string, "
         "referrer string, annotation map<string,string>"), rules).columns)
+
+
+def test_scope_rules_share_one_pass_through_python(spark):
+    """Each further pass is a Python worker more in every task."""
+    rows = spark.createDataFrame([("http://a.example.com/x?b=1&a=2", "http://Ø.example.com/", "L", "", {
+        "scope_allowedSchemes": "http", "scope_includeSubdomains": "true", "scope_altSeeds": "http://a.example.com/",
+        "scope_maxHopsFromSeed": "2", "scope_hopsIncludeRedirects": "", "scope_excludedUris": "http://a.example.com/./y"})],
+        "uri string, seed_uri string, discovery_path string, referrer string, annotation map<string,string>")
+    decided = S.scope_decide(rows, S.scope_default())
+    assert decided.collect()[0]["evaluation"] == "INCLUDE"
+    assert decided._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
