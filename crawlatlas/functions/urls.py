@@ -102,9 +102,16 @@ def _ascii_host(host: str) -> str:
     return host
 
 
-@lru_cache(maxsize=65536)
+#: A worker remembers parts of this many URLs, none of them longer than this: some 20 MB, whatever the table.
+KEPT_URLS, KEPT_LENGTH = 8192, 512
+
+
 def parse_uri(text: str, fully: bool = False, keep_fragment: bool = False) -> tuple:
     """href, scheme, host, port, username, password, path, query, fragment, error of one URL."""
+    return (_kept_uri if len(text) <= KEPT_LENGTH else _parse_uri)(text, fully, keep_fragment)
+
+
+def _parse_uri(text: str, fully: bool, keep_fragment: bool) -> tuple:
     try:
         cleaned = re.sub(r"[\t\r\n]", "", text.strip("".join(map(chr, range(33)))))
         if not cleaned:
@@ -132,6 +139,9 @@ def parse_uri(text: str, fully: bool = False, keep_fragment: bool = False) -> tu
         return (text, None, None, None, None, None, None, None, None, str(error) or "invalid url")
 
 
+_kept_uri = lru_cache(maxsize=KEPT_URLS)(_parse_uri)
+
+
 def _parser(fully: bool, keep_fragment: bool):
     @F.pandas_udf(PARSED_URI)
     def parse(urls: pd.Series) -> pd.DataFrame:

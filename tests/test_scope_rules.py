@@ -106,3 +106,15 @@ def test_scope_rules_share_one_pass_through_python(spark):
     decided = S.scope_decide(rows, S.scope_default())
     assert decided.collect()[0]["evaluation"] == "INCLUDE"
     assert decided._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_what_workers_remember_is_bounded_by_length():
+    from crawlatlas.functions import robots as R
+    from crawlatlas.functions import urls as U
+    kept, rules = U._kept_uri.cache_info().currsize, R._kept_rules.cache_info().currsize
+    for i in range(5):
+        assert U.parse_uri(f"http://a.org/{i}/" + "x" * 5000)[2] == "a.org"
+        assert not R.allows(f"User-agent: *\nDisallow: /p{i}\n" + "# long\n" * 2000, "crawler", f"http://a.org/p{i}")
+    assert (U._kept_uri.cache_info().currsize, R._kept_rules.cache_info().currsize) == (kept, rules)
+    assert U._kept_uri.cache_info().maxsize * U.KEPT_LENGTH <= 1 << 22
+    assert R._kept_rules.cache_info().maxsize * R.KEPT_LENGTH <= 1 << 22 and R._last_rules.cache_info().currsize == 1
