@@ -9,13 +9,13 @@ smallest sets it can be similar to.
 A segment subset that very many sets share (an empty one, above all) would be dear. So each band also
 allots r segments a one-deletion neighbourhood: subsets that differ in one shingle meet there too, and
 such a segment counts twice. Any segments of together r counts may then be given up, and every set gives
-up its subsets that more than ``HOT`` rows share, if they are no more than r; if they are more, it keeps
-all of them (its group is then one of near copies). ``allocate`` takes the r of least cost, from the
-histogram of sizes over all documents.
+up the subsets that most rows share, down an order that is the same for all sets, as far as r counts go
+and more than ``HOT`` rows share them. ``allocate`` takes the r of least cost, from the histogram of sizes
+over all documents.
 
 What meets in a subset is first compared with its smallest document only, a star. Links found make
-components. Subsets that still hold several components are looked at again: there, documents of
-different components are compared by parity sketches, of which no more bits can differ than shingles
+components. Subsets that hold several components beside that document are looked at again: there, documents
+of different components are compared by parity sketches, of which no more bits can differ than shingles
 do. Sketches are compared inside a task, in blocks of at most ``BLOCK`` documents a side, so no pair
 leaves it that is not near. Where very many are near, a forest of the nearest ones is followed up first,
 which is fewer pairs than rows; with the components that it makes, all near pairs that are left. So no
@@ -44,14 +44,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlatlas.llm.common import CHUNK, discard, materialize, tidy
 from crawlatlas.llm.components import components
 
-#: Ratio of the sizes in a band, rows that make a subset hot, documents that one task reduces together.
-RATIO, HOT, TOGETHER = 1.5, 48, 1024
+#: Ratio of the sizes in a band, rows of a subset that is never given up, documents that one task reduces together.
+RATIO, HOT, TOGETHER = 1.5, 1, 1024
 #: Documents a side that one task compares by sketches; least bits of a sketch, and bits a shingle;
 #: what comparing a word of two sketches costs, a row being 1.
 BLOCK, BITS, WIDTH, COMPARED = 4096, 512, 2, 0.01
@@ -152,18 +152,18 @@ def allocate(sizes: dict[int, tuple[int, int]], threshold: Fraction) -> Scheme:
     costs as many comparisons as there are such sets.
     """
     bands = {}
+    log_factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, SEGMENTS)))])
     for b, (sets, total) in sizes.items():
         segments = most_different(b, threshold) + 1
         each = total / max(1, sets) / segments
         best = None
-        for near in range(0, min(segments, 60) + 1):
+        for near in range(0, min(segments, SEGMENTS - 1) + 1):
+            if best is not None and near * (each + 1) >= best[0]:
+                break
             # Dear are empty segments, and with a neighbourhood those of one shingle, which count twice.
-            empty = math.exp(-each) * (segments - near + 2 * near * (1 + each))
-            over, term = 1.0, math.exp(-empty)
-            for k in range(near + 1):
-                over -= term
-                term *= empty / (k + 1)
-            over = max(over, 0.0)
+            empty = max(1e-300, math.exp(-each) * (segments - near + 2 * near * (1 + each)))
+            within = np.exp(np.arange(near + 1) * math.log(empty) - empty - log_factorials[:near + 1]).sum()
+            over = max(0.0, 1.0 - float(within))
             partners = sets * over * math.exp(-each)
             cost = near * (each + 1) + COMPARED * bits_for(total // max(1, sets)) / 64 * over * empty * partners
             if best is None or cost < best[0]:
@@ -552,12 +552,18 @@ def _fitting(pairs: DataFrame, threshold: Fraction) -> DataFrame:
     return pairs.where(small * threshold.denominator >= large * threshold.numerator).select("a", "b")
 
 
-def _stars(hits: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of each class and the smallest one that shares a subset with it."""
+def _spokes(hits: DataFrame) -> DataFrame:
+    """``hits`` but for the smallest class of each subset, its centre, which stands beside each other row."""
     least = hits.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("least"))
-    met = hits.join(least, "key").where(F.col("rep") != F.col("least.rep"))
-    return _fitting(met.select(F.col("least.rep").alias("a"), F.col("rep").alias("b"), F.col("least.size").alias("a_size"),
-                               F.col("size").alias("b_size")), threshold).distinct()
+    return hits.join(least, "key").where(F.struct("rep", "size") != F.col("least")).select(
+        "key", "rep", "size", F.col("least.rep").alias("centre"), F.col("least.size").alias("centre_size"))
+
+
+def _stars(spokes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs of each class and the smallest one that shares a subset with it."""
+    return _fitting(spokes.where("rep != centre").select(
+        F.col("centre").alias("a"), F.col("rep").alias("b"), F.col("centre_size").alias("a_size"),
+        F.col("size").alias("b_size")), threshold).distinct()
 
 
 def promising(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> DataFrame:
@@ -583,23 +589,26 @@ def promising(pairs: DataFrame, sketches: DataFrame, threshold: Fraction) -> Dat
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _without_hot(hits: DataFrame, scheme: Scheme, hot: int) -> DataFrame:
-    """``hits`` without the subsets that sets may give up."""
+def _without_dearest(hits: DataFrame, scheme: Scheme, hot: int) -> DataFrame:
+    """``hits`` without subsets of one class only, and without the dearest ones of each set, which it may give up.
+
+    The order, by rows and then by key, is the same for all sets. Of what two similar sets share, the last
+    subset in it comes after more counts than a set may give up, so neither of them gives it up.
+    """
     if not scheme.bands:
         return hits
     near = F.create_map(*[F.lit(x) for b in scheme.bands.values() for x in (b.number, b.near)])
-    shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot).select("key")
+    shared = hits.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     segment = F.shiftright("key", 40).bitwiseAND(SEGMENTS - 1)
-    dear = hits.join(shared, "key").select("key", "rep", _band("key").alias("band"), segment.alias("segment"),
-                                           near[_band("key")].alias("near"))
+    met = hits.join(shared, "key").withColumns({"band": _band("key"), "segment": segment, "most": near[_band("key")]})
+    met = met.repartition("rep", "band")
+    dearest = F.col("rows").desc(), F.col("key")
     # A segment with a neighbourhood counts twice, however many rows it has; each other has one row.
-    close = F.col("segment") < F.col("near")
-    given_up = (dear.select("rep", "band", "near", F.when(close, F.col("segment")).otherwise(F.col("key")).alias("of"),
-                            F.when(close, 2).otherwise(1).alias("counts")).distinct()
-                .groupBy("rep", "band").agg(F.sum("counts").alias("all"), F.max("near").alias("most"))
-                .where(F.col("all") <= F.col("most")).select("rep", "band"))
-    dropped = dear.join(given_up, ["rep", "band"]).select("key", "rep")
-    return hits.join(dropped, ["key", "rep"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("rep", "band", "segment").orderBy(*dearest))
+    counts = F.when(F.col("segment") >= F.col("most"), 1).when(F.col("turn") == 1, 2).otherwise(0)
+    so_far = F.sum("counts").over(Window.partitionBy("rep", "band").orderBy(*dearest).rowsBetween(Window.unboundedPreceding, 0))
+    return (met.withColumn("turn", turn).withColumn("counts", counts).withColumn("so_far", so_far)
+            .where((F.col("so_far") > F.col("most")) | (F.col("rows") <= hot)).select("key", "rep", "size"))
 
 
 def _band_of(size: str):
@@ -631,10 +640,12 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     met = materialize(shared_rows(dealt_rows(docs, scheme, n, parts, key, text), parts), "met")
     hits = materialize(met.join(of_class, "doc").select("key", "rep", "size").distinct(), "hits")
     discard(met)
-    kept = materialize(_without_hot(hits, scheme, hot), "kept")
+    kept = materialize(_without_dearest(hits, scheme, hot), "kept")
     discard(hits)
+    spokes = materialize(_spokes(kept), "spokes")
+    discard(kept)
 
-    stars = materialize(promising(_stars(kept, threshold), classes, threshold), "pairs")
+    stars = materialize(promising(_stars(spokes, threshold), classes, threshold), "pairs")
     links = linked(docs, stars, n, threshold, key, text)
     # A key whose rows differ is one document.
     first = of_class.groupBy("doc").agg(F.min("rep").alias("a"))
@@ -642,12 +653,12 @@ def near_duplicates(docs: DataFrame, n: int, threshold: Fraction, key: str = "do
     links = materialize(links.unionByName(same), "links")
     joined = components(links)
 
-    # Subsets that still hold different components, first by a forest, then by all that is near.
+    # Subsets that still hold different components beside the centre, first by a forest, then by all that is near.
     sketches = classes.select(F.col("rep").alias("s_rep"), F.col("size").alias("s_size"), "sketch")
     known_pairs = stars
     again = None
     for _ in range(2):
-        placed = kept.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        placed = spokes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
             "key", "rep", "size", F.coalesce("component", "rep").alias("component"),
             (_band("key") != _band_of("size")).alias("asks"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
